@@ -1,9 +1,36 @@
-"""All registered queries: name to (spark, sf_dir) -> DataFrame, and name to SQL."""
+"""All registered queries: name to (spark, sf_dir) -> DataFrame, and name to equivalent SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = ""
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+FLAGSHIP = "ngram_first_match"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The driver's tables below a folder, read on demand."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its name, with its SQL."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+from . import corpus, evals, extract, logs, relational, retrieval, rows, scalars  # noqa: E402, F401
