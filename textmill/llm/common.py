@@ -56,6 +56,13 @@ def semi_by_id(df: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, col, "left_semi")
 
 
+def anti_by_id(df: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
+    """Rows of df whose id is not in ids; rows with a null id stay. Broadcast as in semi_by_id."""
+    ids = ids.select(col)
+    n = ids.count()
+    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, col, "left_anti")
+
+
 def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of a bounded number of rows, so that long texts don't pile up."""
     spark = df.sparkSession

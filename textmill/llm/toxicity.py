@@ -245,16 +245,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     return {"lexicon": whole, "model": model, "calibration": isotonic(fair, y), "prior": float(share)}
 
 
-def score(docs: DataFrame, model: dict, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns `keep` with score and predicted."""
+def score(docs: DataFrame, model: dict, keep: list[str] | None = None, threshold: float = THRESHOLD, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs' columns `keep` with the score and the prediction, named by `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
+    text = "text" if "text" in keep else "_text"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         tool = Featurizer(*model["lexicon"]) if "model" in model else None
         for batch in batches:
-            buf_all, offs_all = buffers(text_array(batch.column("_text")))
+            buf_all, offs_all = buffers(text_array(batch.column(text)))
             for i, j in slices(offs_all):
                 if tool is None:
                     p = np.full(j - i, model["prior"])
@@ -262,10 +263,10 @@ def score(docs: DataFrame, model: dict, keep: list[str] | None = None, threshold
                     raw = model["model"].raw(tool.features(buf_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]))
                     # the fit is a step function; a thousandth of the raw probability keeps the order within a step
                     p = 0.999 * np.interp(raw, *model["calibration"]) + 0.001 / (1 + np.exp(-raw))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, *out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return arrow_map(docs.select(*keep, F.col("text").alias("_text")), step, f"{fields}, score double, predicted int")
+    return arrow_map(docs.select(*keep, *([] if text == "text" else [F.col("text").alias(text)])), step, f"{fields}, {out[0]} double, {out[1]} int")
 
 
 def learnable(labels: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
