@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import pass_at_k
+from .ordered import sum_before
 
 
 def funnel(df: DataFrame, by: list[str], stages: dict[str, Column]) -> DataFrame:
@@ -42,19 +43,17 @@ def coverage(counts: DataFrame, n: str, correct: str, top: int) -> DataFrame:
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the share of (positive, negative) pairs in order, ties half; null with one class only.
 
-    From counts by distinct score, with a running sum of negatives: no pair is ever formed.
+    From counts by distinct score, with a running sum of negatives over ranges: no pair is formed and no task sees all rows.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    rows = sum_before(counts, score, F.col("n"), out="under")
     return rows.agg((F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auroc"))
 
 
 def calibration_error(df: DataFrame, score: str, label: str, key: str, bins: int = 10) -> DataFrame:
     """One row: expected calibration error over bins of equal count (bounds b n // bins), and the Brier score."""
-    w = Window.orderBy(score, key)
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    ranked = df.select((F.row_number().over(w) - 1).alias("i"), F.col(score).alias("s"), F.col(label).cast("double").alias("y")).crossJoin(F.broadcast(total))
+    ranked = sum_before(df, score, F.lit(1), [key], "i").select("i", F.col(score).alias("s"), F.col(label).cast("double").alias("y")).crossJoin(F.broadcast(total))
     # the bin b holds b n // bins <= i < (b + 1) n // bins
     b = F.floor(((F.col("i") + 1) * bins - 1) / F.col("total"))
     rows = ranked.withColumn("b", b).groupBy("b", "total").agg(F.count(F.lit(1)).alias("m"), F.avg("s").alias("s"), F.avg("y").alias("y"), F.sum(F.pow(F.col("s") - F.col("y"), 2)).alias("q"))

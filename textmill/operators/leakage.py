@@ -20,15 +20,16 @@ def gram_index(protected: DataFrame, n: int = 13, key: str = "item_id") -> DataF
 def first_matches(docs: DataFrame, protected: DataFrame, n: int = 13) -> DataFrame:
     """doc_id, pos, gram, owners: the first protected n-gram of every document that has one.
 
-    Documents are narrowed first by a cheap key, the n-gram's first word and its 64-bit hash,
-    so that only matching positions build their texts.
+    Positions are compared by a 64-bit hash of their words, so no text is built for them; the
+    few documents with a hit are then read again to compare the words themselves.
     """
-    index = gram_index(protected, n).withColumn("h", F.xxhash64("gram"))
+    index = gram_index(protected, n).withColumn("h", F.xxhash64(F.split("gram", " ")))
     small = index.count() <= BROADCAST_GRAMS
     words = docs.select("doc_id", alnum_words("text").alias("w")).where(F.size("w") >= n)
-    at = words.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).alias("pos", "gram"))
-    hits = at.withColumn("h", F.xxhash64("gram")).join(F.broadcast(index) if small else index, ["h", "gram"])
-    return hits.groupBy("doc_id").agg(F.min_by(F.struct("pos", "gram", "owners"), "pos").alias("m")).select("doc_id", F.col("m.pos").alias("pos"), F.col("m.gram").alias("gram"), F.col("m.owners").alias("owners"))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n)))
+    hits = words.select("doc_id", F.posexplode(hashes).alias("pos", "h")).join(F.broadcast(index) if small else index, "h")
+    sure = words.join(hits, "doc_id").where(F.array_join(F.slice("w", F.col("pos") + 1, n), " ") == F.col("gram"))
+    return sure.groupBy("doc_id").agg(F.min_by(F.struct("pos", "gram", "owners"), "pos").alias("m")).select("doc_id", F.col("m.pos").alias("pos"), F.col("m.gram").alias("gram"), F.col("m.owners").alias("owners"))
 
 
 def split_rows(split: DataFrame, docs: DataFrame) -> DataFrame:

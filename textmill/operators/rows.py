@@ -24,7 +24,7 @@ def cap_per_group(df: DataFrame, group: list[str], order: list[Column], k: int)
 def round_robin(df: DataFrame, kind: str, order: list[Column], n: int) -> DataFrame:
     """n rows, one of each kind in turn; kinds in their own order."""
     w = Window.partitionBy(kind).orderBy(*order)
-    return df.withColumn("turn", F.row_number().over(w)).orderBy("turn", kind).limit(n)
+    return df.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n).orderBy("turn", kind).limit(n)
 
 
 def tiered(df: DataFrame, group: list[str], tier: str, order: list[Column], caps: dict[str, int], total: int) -> DataFrame:
