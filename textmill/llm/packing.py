@@ -40,8 +40,8 @@ END_ID = 1
 CACHE_WORDS = 2_000_000
 #: Triples enumerated for each greatest length.
 TRIPLES = 4
-#: Buckets of each tail length by which ranks are dealt.
-RANK_BUCKETS = 256
+#: Hex digits of the hash by which a length's ranks are dealt (256 buckets).
+RANK_DIGITS = 2
 
 # ------------------------------------------------------------------ tokens
 
@@ -257,7 +257,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     histogram = {r["tail_len"]: r["count"] for r in tails.groupBy("tail_len").count().collect()}  # at most window-1 rows
     patterns = plan(histogram, window)
     table = spark.createDataFrame(places(patterns), "tail_len int, first long, stop long, n long, base long, at long")
-    ranked = with_slots(tails, "tail_len", ["doc_id", "doc_tokens", "tail_crc"], RANK_BUCKETS)
+    ranked = with_slots(tails, "tail_len", ["doc_id", "doc_tokens", "tail_crc"], RANK_DIGITS)
     step = F.col("slot") - F.col("first")
     packed = (
         ranked.join(F.broadcast(table), "tail_len")  # a few rows for each length below the window

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, chat, dedup_substring, jaccard_join, packing, sharding, suffix_tree, syncmers, toxicity
+from . import ann, byte_bpe, chat, dedup_substring, jaccard_join, oracles, packing, sharding, suffix_tree, syncmers, toxicity
 
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ def op10_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_hash_tree_sharding": oracles.SHARDS,
+    "op3_substring_dedup": oracles.REPEATS,
+    "op7_ngram_jaccard_join": oracles.NEAR,
+}
 
 QUERIES = {
     f.__name__: f

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Buckets within a shard by which slots are dealt; their counts are the only global state.
-BUCKETS = 4096
+#: Hex digits of the hash by which slots are dealt: 16 ** DIGITS buckets a shard, whose counts are the only global state.
+DIGITS = 3
 #: Shards of the balanced part of the tree: 2 regions of 2 racks of 2 shards.
 BASE = 8
 
@@ -81,14 +81,14 @@ def assign(df: DataFrame, tree: Node, key: str, out: str = "shard") -> DataFrame
     return df.withColumn(out, descend(tree, F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("int"))
 
 
-def with_slots(df: DataFrame, group: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
+def with_slots(df: DataFrame, group: str, order: list[str], digits: int = DIGITS) -> DataFrame:
     """Gapless slots from 0 within each value of `group`, without gathering a group in one task.
 
-    Rows are dealt to `buckets` buckets by a hash of the order columns; a running sum over
-    the bucket counts (at most groups x buckets rows) gives each bucket's first slot, and
-    row_number within (group, bucket) does the rest.
+    Rows are dealt to buckets by the first digits of a hash of the order columns; a running
+    sum over the bucket counts (at most groups x 16 ** digits rows) gives each bucket's first
+    slot, and row_number within (group, bucket) does the rest.
     """
-    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    rows = df.withColumn("_bucket", F.substring(F.md5(F.concat_ws(":", *order)), 1, digits))
     counts = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
