@@ -33,4 +33,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import corpus, evals, extract, logs, policies, relational, retrieval, rows, scalars  # noqa: E402, F401
+from . import corpus, curation, evals, extract, logs, policies, relational, retrieval, rows, scalars  # noqa: E402, F401
