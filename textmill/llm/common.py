@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import ship_code
 
 #: Bytes of text that a numpy step works on at once (a single longer text is one step).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Ids that may be broadcast for a semi join; above it the join is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -70,7 +70,12 @@ def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > 2000 or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, "2000")
-    return df.mapInArrow(step, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps freed memory
+        yield from step(batches)
+
+    return df.mapInArrow(lean, schema)
 
 
 # ------------------------------------------------------------------ text buffers
@@ -145,7 +150,7 @@ def _powers(which: int, inverse: bool, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), _U(base))
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 8 * SLICE_BYTES:
+        if n <= 16 * SLICE_BYTES:
             _POWERS[(which, inverse)] = have
     return have[:n]
 

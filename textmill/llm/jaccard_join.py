@@ -53,12 +53,12 @@ from .common import (
 )
 
 #: Entries of the incidence matrix that one block holds, about.
-BLOCK_ENTRIES = 1_500_000
+BLOCK_ENTRIES = 800_000
 #: Frequent n-grams whose counts are used for the order (16 bytes each in every worker).
 ORDERED = 500_000
 PIVOT_ROUNDS = 2
 #: Entries that a task holds before it sends them to their blocks.
-HELD = 1_200_000
+HELD = 500_000
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ def summarize(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(count), pa.array(node), pa.array(check)], ["doc_id", "n_shingles", "node", "check"])
                 held.append(h)
                 size += len(h)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield recurring()
                     held, size = [], 0
         if held:
