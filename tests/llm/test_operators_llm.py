@@ -323,6 +323,13 @@ def test_jaccard_join(spark, docs, nothing, percent):
     assert jaccard_join.near_duplicates(nothing).count() == 0
 
 
+def test_jaccard_full_columns(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    monkeypatch.setattr(jaccard_join, "TILE", 4)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect())
+    assert got == brute_components([d[:2] for d in corpus()])
+
+
 def test_jaccard_chain_of_edits(spark):
     """A chain whose ends don't link directly, and texts at exactly the threshold."""
     base = [f"w{i}" for i in range(104)]

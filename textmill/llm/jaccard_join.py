@@ -15,11 +15,11 @@ is the part of A x A' that a Jaccard similarity of `percent` leaves.
    of the entered columns, the whole overlap is at most c + min(n_x - p_x, n_y - c) or the same
    with x and y swapped, and must be at least t / (1 + t) (n_x + n_y); other pairs are
    discarded. The rest are compared on their whole sets.
-5. *Groups.* A large group of near copies would give all its pairs. So each column first
-   offers one of its rows as pivot, each row is compared with the pivot it shares most
-   columns with, and rows that link join a component. After PIVOT_ROUNDS such rounds (with other
-   pivots each) the full product runs, but only between rows of different components.
-   Links inside a component are implied, all others are found.
+5. *Full columns.* A column with more than HOT rows (a large group of near copies) would give
+   a table of all its pairs. Rows that full columns connect are a cluster instead, multiplied
+   with whole sets in dense tiles of TILE x TILE rows; a tile returns no pairs but a spanning
+   forest of its links, at most one row for each of its rows. For pairs met in other
+   columns, c then counts all full columns that both rows could share.
 
 Nulls and edges: a null or empty text has no n-grams and links with nothing; texts of
 fewer words than n have their whole sequence as the one n-gram; a row with a null doc_id
@@ -56,7 +56,8 @@ from .common import (
 BLOCK_ENTRIES = 800_000
 #: Frequent n-grams whose counts are used for the order (16 bytes each in every worker).
 ORDERED = 500_000
-PIVOT_ROUNDS = 2
+#: Rows beyond which a column is multiplied as a dense block, and rows on a tile's side.
+HOT, TILE = 100, 1000
 #: Entries that a task holds before it sends them to their blocks.
 HELD = 500_000
 
@@ -216,15 +217,63 @@ def _recurring_columns(table: pa.Table) -> pa.Table:
 
 
 def _possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """x, y, c that the sizes and the shared entries c don't rule out."""
-    nx, ny, c = F.col("nx"), F.col("ny"), F.col("c")
+    """x, y that the sizes, the shared entries c and the full columns of either don't rule out."""
+    side = lambda k: sizes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("full").alias(f"f{k}"))
+    nx, ny, c = F.col("nx"), F.col("ny"), F.col("c") + F.least("fx", "fy")
     rest = lambda n: F.floor((n * percent + 99) / 100) - 1  # n - p
     most = c + F.greatest(F.least(rest(nx), ny - c), F.least(rest(ny), nx - c))
-    return (
-        pairs.join(sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x")
-        .join(sizes.select(F.col("node").alias("y"), F.col("n").alias("ny")), "y")
-        .where((F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (most * (100 + percent) >= (nx + ny) * percent))
-    )
+    near = (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (most * (100 + percent) >= (nx + ny) * percent)
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(near)
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(parent, child) for a spanning forest of a symmetric boolean matrix."""
+    seen, out = np.zeros(len(linked), bool), []
+    for start in range(len(linked)):
+        if seen[start]:
+            continue
+        seen[start] = True
+        front = np.array([start])
+        while len(front):
+            reach = linked[front]
+            new = np.flatnonzero(reach.any(0) & ~seen)
+            seen[new] = True
+            out += zip(front[reach[:, new].argmax(0)].tolist(), new.tolist(), strict=True)
+            front = new
+    return out
+
+
+def _tile(percent: int):
+    """The links within one tile of a cluster, as a spanning forest."""
+
+    def step(table: pa.Table) -> pa.Table:
+        sets = table["hs"].combine_chunks()
+        flat, size = sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
+        m = len(size)
+        row = np.repeat(np.arange(m), size)
+        _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = times[col] > 1
+        row, col = row[keep], col[keep]
+        shared = np.zeros((m, m), np.float32)
+        _, col = np.unique(col, return_inverse=True)
+        width = 2048
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for k in range(0, int(col[-1]) + 1 if len(col) else 0, width):  # some columns at a time bound the memory
+            i, j = np.searchsorted(col, [k, k + width])
+            block = np.zeros((m, width), np.float32)
+            block[row[i:j], col[i:j] - k] = 1
+            shared += block @ block.T
+        linked = 100.0 * shared >= percent * (size[:, None] + size[None, :] - shared)
+        np.fill_diagonal(linked, False)
+        side = table["i"].to_numpy()
+        if table["a"][0].as_py() != table["b"][0].as_py():
+            linked &= side[:, None] != side[None, :]  # pairs of one side belong to its own tile
+        node = table["node"].to_numpy()
+        pairs = forest(linked)
+        return pa.table({"x": pa.array([int(node[p]) for p, _ in pairs], pa.int64()), "y": pa.array([int(node[q]) for _, q in pairs], pa.int64())})
+
+    return step
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,44 +324,37 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     leaders = classes.select(F.col("least").alias("doc_id")).distinct()
     lead_docs = semi_by_id(docs, leaders)
     cells = entries(lead_docs, n, percent, shared, blocks).groupBy("block").applyInArrow(_recurring_columns, "h long, node long")
-    sizes = classes.groupBy("node").agg(F.min("least").alias("least"), F.first("n").alias("n"))
+    sizes = classes.select("node", "least", "n")
     cells = materialize(cells.distinct())
 
-    def linked_pairs(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that reach the threshold; only the documents in them are read again."""
-        pairs = materialize(pairs.select("x", "y"))
-        nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    def whole_sets(nodes: DataFrame) -> DataFrame:
+        """node, hs of the given nodes; only their documents are read again."""
         ids = materialize(sizes.join(nodes, "node").select(F.col("least").alias("doc_id")).distinct())
-        sets = materialize(_sets(semi_by_id(docs, ids), n).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-        return materialize(verify(pairs, sets, percent))
-
-    links = None
-    groups = cells.select("node").distinct().withColumn("component", F.col("node"))
-    for round_ in range(PIVOT_ROUNDS):
-        placed = cells.join(groups, "node") if links is not None else cells.withColumn("component", F.col("node"))
-        pick = F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(round_)))
-        pivots = placed.groupBy("h").agg(pick.alias("p"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("h", "p")
-        pairs = placed.join(pivots, "h").where("component <> p.component").groupBy(F.col("p.node").alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("c"))
-        pairs = _possible(pairs, sizes, percent).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
-        found = linked_pairs(pairs)
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        groups = components(links)
-        groups = materialize(groups.unionByName(cells.select("node").distinct().join(groups, "node", "left_anti").withColumn("component", F.col("node"))))
-    placed = cells.join(groups, "node")
-    mixed = placed.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("h")
-    placed = materialize(placed.join(mixed, "h", "left_semi"))
-    left, right = placed.select("h", F.col("node").alias("x"), F.col("component").alias("cx")), placed.select("h", F.col("node").alias("y"), F.col("component").alias("cy"))
-    pairs = left.join(right, "h").where("cx < cy").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    found = linked_pairs(_possible(pairs, sizes, percent))
-    if not found.isEmpty():
-        links = found if links is None else links.unionByName(found)
-        groups = materialize(components(links))
-    elif links is not None:
-        groups = materialize(components(links))
-    else:
-        groups = groups.limit(0)
+        return _sets(semi_by_id(docs, ids), n).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    full = cells.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT)
+    placed = materialize(cells.join(full, "h", "left"))
+    hot = placed.where("m is not null")
+    full_of = hot.groupBy("node").agg(F.count(F.lit(1)).alias("full"))
+    sizes = materialize(sizes.join(full_of, "node", "left").withColumn("full", F.coalesce("full", F.lit(0))))
+
+    # full columns: rows that they connect are one cluster, cut into tiles of whole sets
+    cluster = components(hot.select(F.col("h").alias("x"), F.col("node").alias("y")))
+    nodes = materialize(cluster.join(full_of, "node").select("node", "component"))
+    counts = nodes.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
+    tiled = nodes.join(counts, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("t")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    tiled = tiled.select("component", "node", "i", F.least("i", "k").alias("a"), F.greatest("i", "k").alias("b"))
+    links = tiled.join(whole_sets(nodes.select("node")), "node").groupBy("component", "a", "b").applyInArrow(_tile(percent), "x long, y long").distinct()
+
+    # the other columns: accumulated counts, bounds, whole sets of the pairs that are left
+    rare = placed.where("m is null").select("h", "node")
+    left, right = rare.withColumnRenamed("node", "x"), rare.withColumnRenamed("node", "y")
+    pairs = left.join(right, "h").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    pairs = materialize(_possible(pairs, sizes, percent).select("x", "y"))
+    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    found = verify(pairs, materialize(whole_sets(materialize(nodes))), percent)
+    links = materialize(links.unionByName(found.select("x", "y")))
+    groups = materialize(components(links))
     # the component's least document
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
