@@ -133,7 +133,7 @@ def _near(found: np.ndarray, pos: np.ndarray, length: int, longer: int, wo_text:
 def extend(window: int, length: int):
     """From surviving hashes of windows of `length` words to the next level's windows.
 
-    Below the last level: their anchors' hashes. At the last: all windows, as two hashes and the word position.
+    Below the last level: their anchors' hashes. At the last: all windows, as two hashes and their word positions.
     """
     longer = min(2 * length, window)
     last = longer == window
@@ -165,8 +165,17 @@ def extend(window: int, length: int):
                 if last:
                     words2 = range_hash(buf, starts, ends, 1)
                     h2 = range_hash(words2, at2, at2 + longer, 1)
-                    pos = at2 - np.repeat(wo[:-1], np.diff(a_cut))
-                    yield pa.RecordBatch.from_arrays([*ids, long_list(h1, a_cut), long_list(h2, a_cut), long_list(pos, a_cut)], ["doc_id", "tk", "h1", "h2", "pos"])
+                    # a window that recurs within its text is one entry with several places
+                    text = np.repeat(np.arange(j - i), np.diff(a_cut))
+                    pos = at2 - wo[:-1][text]
+                    order = np.lexsort((pos, h2, h1, text))
+                    h1, h2, text, pos = h1[order], h2[order], text[order], pos[order]
+                    new = np.ones(len(h1), bool)
+                    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (text[1:] != text[:-1])
+                    first = np.flatnonzero(new)
+                    cut2 = np.searchsorted(text[first], np.arange(j - i + 1))
+                    places = pa.ListArray.from_arrays(pa.array(cut2.astype(np.int32)), long_list(pos, np.append(first, len(pos))))
+                    yield pa.RecordBatch.from_arrays([*ids, long_list(h1[first], cut2), long_list(h2[first], cut2), places], ["doc_id", "tk", "h1", "h2", "pos"])
                 else:
                     all_at, all_h = hash_windows(words, wo, longer)
                     keep = all_at[anchors(all_h, wo, longer, min(2 * longer, window))]
@@ -231,12 +240,12 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
         alive = materialize(found.join(repeated(found, ["h"]), "h").groupBy("doc_id", "tk").agg(F.collect_set("h").alias("alive")))
         rows = semi_by_id(docs, alive.select("doc_id").distinct()).join(alive, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"])
         if min(2 * length, window) == window:
-            hits = arrow_map(rows, extend(window, length), "doc_id long, tk long, h1 array<long>, h2 array<long>, pos array<long>")
+            hits = arrow_map(rows, extend(window, length), "doc_id long, tk long, h1 array<long>, h2 array<long>, pos array<array<long>>")
         else:
             seeds = materialize(arrow_map(rows, extend(window, length), "doc_id long, tk long, anchors array<long>"))
     hits = materialize(hits)
     flat = hits.select("doc_id", "tk", F.explode(F.arrays_zip("h1", "h2", "pos")).alias("w")).select("doc_id", "tk", "w.h1", "w.h2", "w.pos")
-    covered = flat.join(repeated(flat, ["h1", "h2"]), ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "tk").agg(F.collect_list("pos").alias("where"))
+    covered = flat.join(repeated(flat, ["h1", "h2"]), ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("pos")).alias("where"))
     covered = materialize(covered)
     changed = semi_by_id(docs, covered.select("doc_id").distinct()).join(covered, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"])
     changed = materialize(arrow_map(changed, cover(window), "doc_id long, tk long, n_removed long, kept string, kept_sha256 string"))
