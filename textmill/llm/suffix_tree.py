@@ -51,10 +51,18 @@ DIVERGENCE = 1.0
 ENTRIES = 2_000_000
 DISCOUNT = 0.75
 LOOKED_UP = 250_000
-#: Symbols: the end, the classes, the common tokens. BITS hold one.
+#: Symbols: the end, the classes, the common tokens. BITS hold one, or more bits where symbols are more.
 END, BITS = 0, 12
 
 
+def bits_for(size: int, depth: int = DEPTH) -> int:
+    """The bits of each of `size` symbols; a context, its next symbol and a leading 1 have to fit a signed long."""
+    bits = max(BITS, (size - 1).bit_length())
+    if 1 + (depth + 1) * bits > 63:
+        raise ValueError(f"{size} symbols: contexts of {depth} don't fit 64 bits")
+    return bits
+
+
 def held_out(col: str = "doc_id", parts: int = 7, part: int = 2):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % parts == part
 
@@ -128,18 +136,18 @@ def sequences(sym: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, offs
 
 
-def contexts(sym: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def contexts(sym: np.ndarray, offs: np.ndarray, length: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(positions, codes) of the symbols that have `length` symbols before them; a code packs those below a leading 1."""
     at = np.flatnonzero(np.arange(len(sym)) - np.repeat(offs[:-1], np.diff(offs)) >= max(length, 1))
     code = np.ones(len(at), np.uint64)
     for k in range(length, 0, -1):
-        code = code << np.uint64(BITS) | sym[at - k]
+        code = code << np.uint64(bits) | sym[at - k]
     return at, code
 
 
-def shorter(code: np.ndarray, length: int) -> np.ndarray:
+def shorter(code: np.ndarray, length: int, bits: int = BITS) -> np.ndarray:
     """The codes without their first symbol."""
-    return code & np.uint64((1 << BITS * (length - 1)) - 1) | np.uint64(1 << BITS * (length - 1))
+    return code & np.uint64((1 << bits * (length - 1)) - 1) | np.uint64(1 << bits * (length - 1))
 
 
 def _mix(code: np.ndarray, nxt: np.ndarray | None = None) -> np.ndarray:
@@ -154,7 +162,7 @@ def _mix(code: np.ndarray, nxt: np.ndarray | None = None) -> np.ndarray:
 # ------------------------------------------------------------------ the tree
 
 
-def context_counts(docs: DataFrame, common, candidates: np.ndarray, length: int) -> DataFrame:
+def context_counts(docs: DataFrame, common, candidates: np.ndarray, length: int, bits: int = BITS) -> DataFrame:
     """code, next, n of the candidate contexts of one length, over all training texts."""
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
 
@@ -168,7 +176,7 @@ def context_counts(docs: DataFrame, common, candidates: np.ndarray, length: int)
             return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
 
         def send(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array(codes[k >> BITS].view(np.int64)), pa.array((k & (1 << BITS) - 1).astype(np.int32)), pa.array(n)], ["code", "next", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes[k >> bits].view(np.int64)), pa.array((k & (1 << bits) - 1).astype(np.int32)), pa.array(n)], ["code", "next", "n"])
 
         for batch in batches:
             buf_all, offs_all = buffers(text_array(batch.column("text")))
@@ -176,10 +184,10 @@ def context_counts(docs: DataFrame, common, candidates: np.ndarray, length: int)
                 buf = LOWER[buf_all[offs_all[i] : offs_all[j]]]
                 starts, ends, wo = word_spans(buf, offs_all[i : j + 1] - offs_all[i])
                 sym, offs = sequences(symbols.of(buf, starts, ends), wo)
-                at, code = contexts(sym, offs, length)
+                at, code = contexts(sym, offs, length, bits)
                 f = index.find(_mix(code))
                 hit = f >= 0
-                k, n = np.unique(f[hit] << BITS | sym[at[hit]].astype(np.int64), return_counts=True)
+                k, n = np.unique(f[hit] << bits | sym[at[hit]].astype(np.int64), return_counts=True)
                 keys.append(k)
                 counts.append(n)
                 size += len(k)
@@ -198,17 +206,18 @@ def context_counts(docs: DataFrame, common, candidates: np.ndarray, length: int)
 def grow(docs: DataFrame, common, root: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, next, n) of the retained contexts; root: the symbols' counts in training."""
     spark = docs.sparkSession
+    bits = bits_for(len(root), depth)
     total = int(root.sum())
     least = max(SEEN, -(-total // SHARE))
     seen = np.flatnonzero(root >= least)
-    candidates = (seen.astype(np.uint64) | np.uint64(1 << BITS))
+    candidates = (seen.astype(np.uint64) | np.uint64(1 << bits))
     up = spark.createDataFrame([(1, int(s), int(n)) for s, n in enumerate(root) if n], "code long, next int, n long")
     tables, tests = [], []
     for length in range(1, depth + 1):
         if not len(candidates):
             break
-        counts = materialize(context_counts(docs, common, candidates, length))
-        kin = spark.createDataFrame([(int(c), int(p)) for c, p in zip(candidates.tolist(), shorter(candidates, length).tolist(), strict=True)], "code long, parent long")
+        counts = materialize(context_counts(docs, common, candidates, length, bits))
+        kin = spark.createDataFrame([(int(c), int(p)) for c, p in zip(candidates.tolist(), shorter(candidates, length, bits).tolist(), strict=True)], "code long, parent long")
         sums = counts.groupBy("code").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         up_sums = up.groupBy("code").agg(F.sum("n").alias("up_total")).withColumnRenamed("code", "parent")
         both = counts.join(F.broadcast(kin), "code").join(F.broadcast(sums), "code")  # at most SHARE contexts
@@ -219,7 +228,7 @@ def grow(docs: DataFrame, common, root: np.ndarray, depth: int = DEPTH) -> tuple
         tests += [(r["g"], r["kinds"], r["code"], length) for r in gain.collect() if r["g"] >= DIVERGENCE * r["kinds"]]  # at most SHARE rows
         tables.append(counts)
         longer = counts.where((F.col("n") >= least) & (F.col("next") != END)).select("code", "next").toArrow()  # at most SHARE rows
-        candidates = longer["code"].to_numpy().view(np.uint64) << np.uint64(BITS) | longer["next"].to_numpy().astype(np.uint64)
+        candidates = longer["code"].to_numpy().view(np.uint64) << np.uint64(bits) | longer["next"].to_numpy().astype(np.uint64)
         up = counts
     kept, room = [], ENTRIES
     for _, kinds, code, length in sorted(tests, key=lambda t: (-t[0], t[2])):
@@ -237,7 +246,7 @@ class Tree:
     """Retained contexts with smoothed next-symbol probabilities."""
 
     def __init__(self, root: np.ndarray, code: np.ndarray, nxt: np.ndarray, n: np.ndarray, depth: int = DEPTH):
-        self.root, self.depth = (root + 1.0) / (root.sum() + len(root)), depth
+        self.root, self.depth, self.bits = (root + 1.0) / (root.sum() + len(root)), depth, bits_for(len(root), depth)
         order = np.lexsort((nxt, code))
         code, nxt, n = code[order], nxt[order], n[order].astype(np.float64)
         lead = np.ones(len(code), bool)
@@ -252,7 +261,7 @@ class Tree:
         """log10 of every symbol's probability in its place (0 for the end symbols that begin texts)."""
         p = self.root[sym.astype(np.int64)]
         for length in range(1, self.depth + 1):  # each longer retained context refines what the shorter ones say
-            at, code = contexts(sym, offs, length)
+            at, code = contexts(sym, offs, length, self.bits)
             s = self.state.find(_mix(code))
             known = s >= 0
             at, code, s = at[known], code[known], s[known]
