@@ -9,12 +9,13 @@ class's tokens and distinct tokens, d the discount). So tokens never seen in tra
 are one symbol a class, as the base formula's V + 1 has one symbol for them.
 
 *Contexts.* A context is the 1 to DEPTH symbols before a token; a text begins with an end
-symbol. Level by level, a context is a candidate if it was seen SEEN times and in 1 /
-SHARE of all places (so a level has at most SHARE candidates), and is retained if its
+symbol. A context is a candidate if it was seen SEEN times, and is retained if its
 next-symbol distribution diverges from its parent's (the context without its first
 symbol): n KL(context | parent) of at least DIVERGENCE nats for each distinct next symbol.
-Retained contexts are kept, those of the greatest divergence first, while their
-next-symbol counts fit in ENTRIES, so the tree that every worker holds has a fixed bound.
+Nothing else decides, so the retained contexts grow with the corpus. Those of one symbol are
+a square of counts; the others are one table, written once. Workers hold those behind the most
+frequent pairs, at most ENTRIES next-symbol counts; the places of texts behind other pairs
+are, distinct, joined with the table. Scores do not depend on ENTRIES.
 
 *Smoothing.* Each retained distribution is mixed with that of its longest retained suffix by Witten
 and Bell's weights, (n + k P_parent) / (N + k) with k distinct next symbols, down to the root,
@@ -32,6 +33,7 @@ no training token every symbol is equally likely; an empty table gives an empty
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +48,11 @@ from .common import LOWER, arrow_map, buffers, materialize, range_hash, ranges,
 
 COMMON, CLASSES = 2000, 509
 DEPTH = 3
-SEEN, SHARE = 32, 2500
+SEEN = 32
 DIVERGENCE = 1.0
 ENTRIES = 2_000_000
+#: Training tokens a bucket of contexts.
+BUCKET = 400_000
 DISCOUNT = 0.75
 LOOKED_UP = 250_000
 #: Symbols: the end, the classes, the common tokens. BITS hold one, or more bits where symbols are more.
@@ -162,13 +166,54 @@ def _mix(code: np.ndarray, nxt: np.ndarray | None = None) -> np.ndarray:
 # ------------------------------------------------------------------ the tree
 
 
-def context_counts(docs: DataFrame, common, candidates: np.ndarray, length: int, bits: int = BITS) -> DataFrame:
-    """code, next, n of the candidate contexts of one length, over all training texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+def pair_counts(docs: DataFrame, common, size: int) -> np.ndarray:
+    """How often each symbol (column) follows each other (row) in the training texts: size x size counts."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, codes = Symbols(common.value), shared.value
-        index = HashIndex(_mix(codes))
+        symbols, n = Symbols(common.value), np.zeros(size * size, np.int64)
+        for batch in batches:
+            for sym, offs in blocks(batch, symbols):
+                at, code = contexts(sym, offs, 1, 31)
+                np.add.at(n, (code & np.uint64((1 << 31) - 1)).astype(np.int64) * size + sym[at].astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(n[at[i : i + 100_000]])], ["pair", "n"])
+
+    rows = arrow_map(docs.where("not held_out").select("text"), step, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most size^2 rows
+    n = np.zeros(size * size, np.int64)
+    n[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    return n.reshape(size, size)
+
+
+def blocks(batch: pa.RecordBatch, symbols: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    buf_all, offs_all = buffers(text_array(batch.column("text")))
+    for i, j in slices(offs_all):
+        buf = LOWER[buf_all[offs_all[i] : offs_all[j]]]
+        starts, ends, wo = word_spans(buf, offs_all[i : j + 1] - offs_all[i])
+        yield sequences(symbols.of(buf, starts, ends), wo)
+
+
+_square: list = []
+
+
+def _pairs(shared) -> tuple[np.ndarray, np.ndarray]:
+    """The pair counts and their sums by first symbol, unpacked once per worker: a broadcast is a file in every process, and most counts are 0."""
+    if not _square or _square[0] is not shared:
+        size, data = shared.value
+        n = np.frombuffer(zlib.decompress(data), np.int64).reshape(size, size)
+        _square[:] = [shared, (n, n.sum(axis=1))]
+    return _square[1]
+
+
+def gram_counts(docs: DataFrame, common, pairs, bits: int) -> DataFrame:
+    """gram, n: the symbols of training places behind their contexts, packed below a leading 1.
+
+    A gram has three symbols before the last, or two where the first two are a pair (or the text
+    begins) that is seen too rarely to be in a context; no gram where the last two before it are.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, often = Symbols(common.value), _pairs(pairs)[0] >= SEEN
         keys, counts, size, tidy = [], [], 0, 0
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
@@ -176,77 +221,94 @@ def context_counts(docs: DataFrame, common, candidates: np.ndarray, length: int,
             return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
 
         def send(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array(codes[k >> bits].view(np.int64)), pa.array((k & (1 << bits) - 1).astype(np.int32)), pa.array(n)], ["code", "next", "n"])
+            for i in range(0, len(k), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["gram", "n"])
 
         for batch in batches:
-            buf_all, offs_all = buffers(text_array(batch.column("text")))
-            for i, j in slices(offs_all):
-                buf = LOWER[buf_all[offs_all[i] : offs_all[j]]]
-                starts, ends, wo = word_spans(buf, offs_all[i : j + 1] - offs_all[i])
-                sym, offs = sequences(symbols.of(buf, starts, ends), wo)
-                at, code = contexts(sym, offs, length, bits)
-                f = index.find(_mix(code))
-                hit = f >= 0
-                k, n = np.unique(f[hit] << bits | sym[at[hit]].astype(np.int64), return_counts=True)
+            for sym, offs in blocks(batch, symbols):
+                at, code = contexts(sym, offs, 2, bits)
+                s = sym.astype(np.int64)
+                keep = often[s[at - 2], s[at - 1]]
+                at, code = at[keep], code[keep]
+                first = s[at - 3]
+                whole = (at - np.repeat(offs[:-1], np.diff(offs))[at] >= 3) & often[first, s[at - 2]]
+                wide = code & np.uint64((1 << 2 * bits) - 1) | first.astype(np.uint64) << np.uint64(2 * bits) | np.uint64(1 << 3 * bits)
+                k, n = np.unique(np.where(whole, wide, code) << np.uint64(bits) | sym[at], return_counts=True)
                 keys.append(k)
                 counts.append(n)
                 size += len(k)
-                if size > 2 * tidy + 1_000_000:
+                if size > 2 * tidy + 500_000:
                     k, n = merge()
                     keys, counts, size, tidy = [k], [n], len(k), len(k)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield from send(k, n)
                     keys, counts, size, tidy = [], [], 0, 0
         if size:
             yield from send(*merge())
 
-    return arrow_map(docs.where("not held_out").select("text"), step, "code long, next int, n long").groupBy("code", "next").agg(F.sum("n").alias("n"))
-
-
-def grow(docs: DataFrame, common, root: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, next, n) of the retained contexts; root: the symbols' counts in training."""
-    spark = docs.sparkSession
-    bits = bits_for(len(root), depth)
-    total = int(root.sum())
-    least = max(SEEN, -(-total // SHARE))
-    seen = np.flatnonzero(root >= least)
-    candidates = (seen.astype(np.uint64) | np.uint64(1 << bits))
-    up = spark.createDataFrame([(1, int(s), int(n)) for s, n in enumerate(root) if n], "code long, next int, n long")
-    tables, tests = [], []
-    for length in range(1, depth + 1):
-        if not len(candidates):
-            break
-        counts = materialize(context_counts(docs, common, candidates, length, bits))
-        kin = spark.createDataFrame([(int(c), int(p)) for c, p in zip(candidates.tolist(), shorter(candidates, length, bits).tolist(), strict=True)], "code long, parent long")
-        sums = counts.groupBy("code").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        up_sums = up.groupBy("code").agg(F.sum("n").alias("up_total")).withColumnRenamed("code", "parent")
-        both = counts.join(F.broadcast(kin), "code").join(F.broadcast(sums), "code")  # at most SHARE contexts
-        both = both.join(F.broadcast(up_sums), "parent").join(up.select(F.col("code").alias("parent"), "next", F.col("n").alias("up_n")), ["parent", "next"])
-        gain = both.groupBy("code").agg(
-            F.sum(F.col("n") * F.ln(F.col("n") * F.col("up_total") / (F.col("total") * F.col("up_n")))).alias("g"), F.first("kinds").alias("kinds")
-        )
-        tests += [(r["g"], r["kinds"], r["code"], length) for r in gain.collect() if r["g"] >= DIVERGENCE * r["kinds"]]  # at most SHARE rows
-        tables.append(counts)
-        longer = counts.where((F.col("n") >= least) & (F.col("next") != END)).select("code", "next").toArrow()  # at most SHARE rows
-        candidates = longer["code"].to_numpy().view(np.uint64) << np.uint64(bits) | longer["next"].to_numpy().astype(np.uint64)
-        up = counts
-    kept, room = [], ENTRIES
-    for _, kinds, code, length in sorted(tests, key=lambda t: (-t[0], t[2])):
-        if kinds <= room:
-            kept.append((code,))
-            room -= kinds
-    if not kept:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = [t.join(F.broadcast(spark.createDataFrame(kept, "code long")), "code", "left_semi").select("code", "next", "n").toArrow() for t in tables]  # ENTRIES rows in all
-    table = pa.concat_tables(rows)
-    return table["code"].to_numpy().view(np.uint64), table["next"].to_numpy().astype(np.int64), table["n"].to_numpy()
+    return arrow_map(docs.where("not held_out").select("text"), step, "gram long, n long")
+
+
+def diverging(code: np.ndarray, n: np.ndarray, up_n: np.ndarray, up_total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by context: whether the context is retained, and its total."""
+    if not len(code):
+        return np.zeros(0, bool), np.zeros(0, np.int64)
+    lead = np.ones(len(code), bool)
+    lead[1:] = code[1:] != code[:-1]
+    at = np.flatnonzero(lead)
+    kinds = np.diff(np.append(at, len(code)))
+    total = np.repeat(np.add.reduceat(n, at), kinds)
+    gain = np.add.reduceat(n * np.log(n / total * (up_total / up_n)), at)
+    return (total >= SEEN) & np.repeat(gain >= DIVERGENCE * kinds, kinds), total
+
+
+def _bucket(middle, tokens: int):
+    """Contexts of two and three symbols meet by their last two, in buckets whose number grows with the corpus."""
+    return F.pmod(F.xxhash64(middle), F.lit(1 + tokens // BUCKET)).cast("int")
+
+
+def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes], np.ndarray, DataFrame]:
+    """The pair counts (size, compressed), which single symbols are retained, and code, next, n, freq of all longer retained contexts as a written table."""
+    spark, size, bits = docs.sparkSession, len(root), bits_for(len(root))
+    pairs = pair_counts(docs, common, size)
+    single, total = np.zeros(size, bool), max(int(root.sum()), 1)
+    for c in range(size):
+        nxt = np.flatnonzero(pairs[c])
+        if len(nxt):
+            single[c] = diverging(np.full(len(nxt), c), pairs[c, nxt], root[nxt], total)[0][0]
+    packed = (size, zlib.compress(pairs.tobytes(), 1))
+    shared = spark.sparkContext.broadcast(packed)
+    mask = (1 << bits) - 1
+
+    def step(table: pa.Table) -> pa.Table:
+        held, sums = _pairs(shared)
+        order = np.argsort(table["gram"].to_numpy())
+        gram, n = table["gram"].to_numpy()[order], table["n"].to_numpy()[order]
+        wide = gram >= 1 << 4 * bits
+        low, inverse = np.unique(np.where(wide, gram & (1 << 3 * bits) - 1 | 1 << 3 * bits, gram), return_inverse=True)
+        low_n = np.bincount(inverse, n, len(low)).astype(np.int64)
+        last = low >> bits & mask
+        keep, low_total = diverging(low >> bits, low_n, held[last, low & mask], sums[last])
+        inverse, gram, n = inverse[wide], gram[wide], n[wide]
+        keep3, _ = diverging(gram >> bits, n, low_n[inverse], low_total[inverse])
+        gram, n = np.concatenate([low[keep], gram[keep3]]), np.concatenate([low_n[keep], n[keep3]])
+        freq = held[gram >> 2 * bits & mask, gram >> bits & mask]
+        return pa.table([gram >> bits, (gram & mask).astype(np.int32), n, freq], ["code", "next", "n", "freq"])
+
+    middle = F.shiftright("gram", bits).bitwiseAND((1 << 2 * bits) - 1)
+    grams = gram_counts(docs, common, shared, bits).withColumn("bucket", _bucket(middle, total)).repartition("bucket").groupBy("bucket", "gram").agg(F.sum("n").alias("n"))
+    kept = materialize(grams.groupBy("bucket").applyInArrow(step, "code long, next int, n long, freq long"))
+    shared.destroy()
+    return packed, single, kept
 
 
 class Tree:
     """Retained contexts with smoothed next-symbol probabilities."""
 
-    def __init__(self, root: np.ndarray, code: np.ndarray, nxt: np.ndarray, n: np.ndarray, depth: int = DEPTH):
+    def __init__(self, root: np.ndarray, code: np.ndarray, nxt: np.ndarray, n: np.ndarray, depth: int = DEPTH, first: np.ndarray | None = None):
+        """first: what follows each symbol, with the probabilities of the contexts of one symbol (which are then not among the codes)."""
         self.root, self.depth, self.bits = (root + 1.0) / (root.sum() + len(root)), depth, bits_for(len(root), depth)
+        self.first = first
         order = np.lexsort((nxt, code))
         code, nxt, n = code[order], nxt[order], n[order].astype(np.float64)
         lead = np.ones(len(code), bool)
@@ -257,17 +319,29 @@ class Tree:
         self.state, self.share = HashIndex(_mix(code[at])), kinds / (total + kinds)
         self.edge, self.value = HashIndex(_mix(code, nxt)), n / np.repeat(total + kinds, kinds)
 
-    def log10(self, sym: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 of every symbol's probability in its place (0 for the end symbols that begin texts)."""
+    def refine(self, p: np.ndarray, at: np.ndarray, code: np.ndarray, nxt: np.ndarray) -> None:
+        """What the retained ones of the contexts `code` say of the next symbols, mixed into p[at]."""
+        s = self.state.find(_mix(code))
+        known = s >= 0
+        at, code, s = at[known], code[known], s[known]
+        e = self.edge.find(_mix(code, nxt[known]))
+        own = np.where(e >= 0, self.value[e], 0.0) if len(self.value) else np.zeros(len(at))
+        p[at] = own + self.share[s] * p[at]
+
+    def begin(self, sym: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Every symbol's probability after at most one symbol, as far as `first` has it."""
         p = self.root[sym.astype(np.int64)]
-        for length in range(1, self.depth + 1):  # each longer retained context refines what the shorter ones say
+        if self.first is not None:
+            at, _ = contexts(sym, offs, 1, self.bits)
+            p[at] = self.first[sym[at - 1].astype(np.int64), sym[at].astype(np.int64)]
+        return p
+
+    def log10(self, sym: np.ndarray, offs: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
+        """log10 of every symbol's probability in its place (0 for the end symbols that begin texts)."""
+        p = self.begin(sym, offs) if p is None else p
+        for length in range(1 if self.first is None else 2, self.depth + 1):  # each longer retained context refines what the shorter ones say
             at, code = contexts(sym, offs, length, self.bits)
-            s = self.state.find(_mix(code))
-            known = s >= 0
-            at, code, s = at[known], code[known], s[known]
-            e = self.edge.find(_mix(code, sym[at]))
-            own = np.where(e >= 0, self.value[e], 0.0) if len(self.value) else np.zeros(len(at))
-            p[at] = own + self.share[s] * p[at]
+            self.refine(p, at, code, sym[at])
         p[offs[:-1]] = 1.0
         return np.log10(p)
 
@@ -277,14 +351,54 @@ class Tree:
 _held: list = []
 
 
-def _tools(shared) -> tuple[Symbols, Tree, HashIndex]:
+def after_one(root: np.ndarray, packed: tuple[int, bytes], single: np.ndarray) -> np.ndarray:
+    """Each symbol's (column's) probability after each other one (row)."""
+    pairs = np.frombuffer(zlib.decompress(packed[1]), np.int64).reshape(packed[0], packed[0])
+    p = np.tile((root + 1.0) / (root.sum() + len(root)), (len(root), 1))
+    for c in np.flatnonzero(single):
+        kinds = np.count_nonzero(pairs[c])
+        p[c] = (pairs[c] + kinds * p[c]) / (pairs[c].sum() + kinds)
+    return p
+
+
+def _per_text(keys: np.ndarray, text: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each text's each distinct key, how often it is in the text, offsets of m texts)."""
+    order = np.lexsort((keys, text))
+    lead = np.ones(len(order), bool)
+    lead[1:] = (keys[order[1:]] != keys[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+    first = np.flatnonzero(lead)
+    return order[first], np.diff(np.append(first, len(order))), np.searchsorted(text[order[first]], np.arange(m + 1)).astype(np.int32)
+
+
+def _tools(shared) -> tuple[Symbols, Tree, HashIndex, HashIndex]:
     """Built once per worker."""
     if not _held or _held[0] is not shared:
-        common, tree, table = shared.value
-        _held[:] = [shared, (Symbols(common), Tree(*tree), HashIndex(table[0]))]
+        common, tree, far, table = shared.value
+        root, packed, single, *kept = tree
+        code, nxt, n = (np.frombuffer(zlib.decompress(x), np.int64) for x in kept)
+        _square.clear()
+        _held[:] = [shared, (Symbols(common), Tree(root, code.view(np.uint64), nxt, n, first=after_one(root, packed, single)), HashIndex(_mix(far)), HashIndex(table[0]))]
     return _held[1]
 
 
+def _answers(grams: DataFrame, kept: DataFrame, root: np.ndarray, bits: int, tokens: int) -> DataFrame:
+    """gram, log: log10 of each distinct gram's last symbol's probability, by the contexts in the table `kept`."""
+
+    def step(asked: pa.Table, table: pa.Table) -> pa.Table:
+        gram, p = asked["gram"].to_numpy().view(np.uint64), asked["start"].to_numpy().copy()
+        tree = Tree(root, table["code"].to_numpy().view(np.uint64), table["next"].to_numpy().astype(np.int64), table["n"].to_numpy())
+        nxt, code = gram & np.uint64((1 << bits) - 1), gram >> np.uint64(bits)
+        tree.refine(p, np.arange(len(p)), code & np.uint64((1 << 2 * bits) - 1) | np.uint64(1 << 2 * bits), nxt)
+        at = np.flatnonzero(code >= np.uint64(1 << 3 * bits))
+        tree.refine(p, at, code[at], nxt[at])
+        return pa.table([asked["gram"], pa.array(np.log10(p))], ["gram", "log"])
+
+    middle = (1 << 2 * bits) - 1
+    grams = grams.withColumn("bucket", _bucket(F.shiftright("gram", bits).bitwiseAND(middle), tokens)).groupBy("bucket", "gram").agg(F.first("start").alias("start"))
+    kept = kept.withColumn("bucket", _bucket(F.col("code").bitwiseAND(middle), tokens))
+    return grams.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(step, "gram long, log double")
+
+
 def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -306,7 +420,16 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     for r in words.where(~named & (F.col("n") > 0)).groupBy("class").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # at most CLASSES rows
         root[r["class"]] = size[r["class"]] = r["c"]
         types[r["class"]] = r["v"]
-    tree = grow(docs, spark.sparkContext.broadcast(common), root)
+    pairs, single, kept = grow(docs, spark.sparkContext.broadcast(common), root)
+    bits = bits_for(len(root))
+    middle = (1 << 2 * bits) - 1
+    # the contexts behind frequent pairs are held by every worker; the others stay in their table, and grams are joined with it
+    cut = least_count(kept.select(F.col("freq").alias("n")), ENTRIES, 1)
+    near = kept.where(F.col("freq") >= cut).select("code", "next", "n").toArrow().sort_by([("code", "ascending"), ("next", "ascending")])
+    tree = (root, pairs, single, *(zlib.compress(near[c].to_numpy().astype(np.int64).tobytes(), 1) for c in ("code", "next", "n")))
+    del near
+    kept = kept.where(F.col("freq") < cut).select("code", "next", "n")
+    far = kept.select(F.col("code").bitwiseAND(middle).alias("pair")).distinct().toArrow()["pair"].to_numpy().view(np.uint64)  # at most symbols^2 rows
 
     # each token's base term and its share of its symbol
     classes = spark.createDataFrame([(c, float(max(size[c], 1)), float(DISCOUNT * types[c] / size[c]) if size[c] else 1.0) for c in range(1, CLASSES + 1)], "class int, size double, unknown double")
@@ -318,11 +441,11 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     table = words.where(F.col("n") >= least_count(words, LOOKED_UP, 1)).toArrow()
     buf, offs = buffers(text_array(table["word"]))
     keys = range_hash(buf, offs[:-1], offs[1:]) if len(table) else np.zeros(0, np.uint64)
-    shared = spark.sparkContext.broadcast((common, (root, *tree), (keys, table["base"].to_numpy(), table["own"].to_numpy(), table["n"].to_numpy() > 0)))
+    shared = spark.sparkContext.broadcast((common, tree, far, (keys, table["base"].to_numpy(), table["own"].to_numpy(), table["n"].to_numpy() > 0)))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, tree, index = _tools(shared)
-        _, base_of, own_of, known_of = shared.value[2]
+        symbols, tree, away, index = _tools(shared)
+        _, base_of, own_of, known_of = shared.value[3]
         prefix = np.random.SeedSequence().entropy  # tells tasks apart; the rows are written before they are used
         row = 0
         for batch in batches:
@@ -332,7 +455,24 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
                 starts, ends_, wo = word_spans(buf, offs_all[i : j + 1] - offs_all[i])
                 keys = range_hash(buf, starts, ends_)
                 sym, offs = sequences(symbols.of(buf, starts, ends_, keys), wo)
-                placed = np.concatenate([[0.0], np.cumsum(tree.log10(sym, offs))])
+                m = j - i
+                p = tree.begin(sym, offs)
+                start = p.copy() if len(away.keys) else p
+                logs = tree.log10(sym, offs, p)
+                # the places whose contexts are not held here, distinct per text
+                grams, starts_at, gram_times, gram_cut = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(m + 1, np.int32)
+                if len(away.keys):
+                    at, code = contexts(sym, offs, 2, bits)
+                    at = at[away.find(_mix(code & np.uint64(middle))) >= 0]
+                    logs[at] = 0.0
+                    text = np.repeat(np.arange(m), np.diff(offs))[at]
+                    whole = at - offs[text] >= 3
+                    gram = np.where(whole, np.uint64(1) << np.uint64(bits) | sym[at - 3], np.uint64(1))
+                    for k in (2, 1, 0):
+                        gram = gram << np.uint64(bits) | sym[at - k]
+                    pick, gram_times, gram_cut = _per_text(gram, text, m)
+                    grams, starts_at = gram[pick].view(np.int64), start[at[pick]]
+                placed = np.concatenate([[0.0], np.cumsum(logs)])
                 found = index.find(keys)
                 hit = found >= 0
                 sums = []
@@ -345,14 +485,8 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
                 # the other words, distinct per text
                 at = np.flatnonzero(~hit)
                 text = np.searchsorted(wo, at, "right") - 1
-                order = np.lexsort((keys[at], text))
-                at, text = at[order], text[order]
-                lead = np.ones(len(at), bool)
-                lead[1:] = (keys[at[1:]] != keys[at[:-1]]) | (text[1:] != text[:-1])
-                first = np.flatnonzero(lead)
-                times = np.diff(np.append(first, len(at)))
-                cut = np.searchsorted(text[first], np.arange(j - i + 1)).astype(np.int32)
-                m = j - i
+                pick, times, cut = _per_text(keys[at], text, m)
+                at = at[pick]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f"{prefix:x}.{row + k}" for k in range(m)]),
@@ -362,14 +496,17 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
                         pa.array(sums[2].astype(np.int64)),
                         pa.array(sums[0]),
                         pa.array(sums[1] + placed[offs[1:]] - placed[offs[:-1]]),
-                        pa.ListArray.from_arrays(pa.array(cut), take_spans(buf, starts[at[first]], ends_[at[first]])),
+                        pa.ListArray.from_arrays(pa.array(cut), take_spans(buf, starts[at], ends_[at])),
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(times)),
+                        pa.ListArray.from_arrays(pa.array(gram_cut), pa.array(grams)),
+                        pa.ListArray.from_arrays(pa.array(gram_cut), pa.array(starts_at)),
+                        pa.ListArray.from_arrays(pa.array(gram_cut), pa.array(gram_times)),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "words", "times"],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "words", "times", "grams", "starts", "gram_times"],
                 )
                 row += m
 
-    rows = materialize(arrow_map(docs, step, "row string, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<string>, times array<long>"))
+    rows = materialize(arrow_map(docs, step, "row string, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<string>, times array<long>, grams array<long>, starts array<double>, gram_times array<long>"))
     rare = (
         rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
         .select("row", "w.times", F.col("w.words").alias("word"))
@@ -377,8 +514,14 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
         .groupBy("row")
         .agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum(F.col("times") * F.col("base")).alias("b2"), F.sum(F.col("times") * F.col("own")).alias("o2"))
     )
+    more = rare.select("row", "k2", "b2", "o2")
+    if len(far):
+        asked = rows.select("row", F.explode(F.arrays_zip("grams", "starts", "gram_times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.starts").alias("start"), F.col("g.gram_times").alias("times"))
+        told = asked.join(_answers(asked.select("gram", "start"), kept, root, bits, int(root.sum())), "gram")
+        more = more.unionByName(told.groupBy("row").agg(F.lit(0).cast("long").alias("k2"), F.lit(0.0).alias("b2"), F.sum(F.col("times") * F.col("log")).alias("o2")))
+        more = more.groupBy("row").agg(F.sum("k2").alias("k2"), F.sum("b2").alias("b2"), F.sum("o2").alias("o2"))
     zero = F.lit(0.0)
-    return rows.drop("words", "times").join(rare, "row", "left").select(
+    return rows.drop("words", "times", "grams", "starts", "gram_times").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
