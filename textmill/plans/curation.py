@@ -28,8 +28,9 @@ def quote_check(t: Tables):
     c = t.conversations
     p = c.select("conv_id", "turn", F.col("text").alias("claim")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("source")), ["conv_id", "turn"])
     squeeze = lambda x: F.regexp_replace(x, r"\s+", " ")
+    whole = F.trim(squeeze(F.col("claim")))
     return p.select(
-        "conv_id", "turn", F.contains(squeeze(F.col("source")), squeeze(F.substring("claim", 1, 20))).alias("quoted"), F.size(F.array_except(alnum_words("claim"), alnum_words("source"))).cast("long").alias("unsupported")
+        "conv_id", "turn", ((whole != "") & F.contains(squeeze(F.col("source")), whole)).alias("quoted"), F.size(F.array_except(alnum_words("claim"), alnum_words("source"))).cast("long").alias("unsupported")
     )
 
 
