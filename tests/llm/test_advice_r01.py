@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from textmill.llm import byte_bpe, suffix_tree
+from textmill.llm import byte_bpe, components, suffix_tree
 from textmill.plans import registry
 
 
@@ -87,3 +87,10 @@ def test_quote_check_tests_the_whole_claim(spark, tmp_path):
     spark.createDataFrame([(c, i, x) for c, xs in turns.items() for i, x in enumerate(xs)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r.quoted for r in registry.QUERIES["quote_check"](spark, str(tmp_path)).collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_components_are_never_split(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "x long, y long")
+    with pytest.raises(RuntimeError):
+        components.components(chain, rounds=1)
+    assert {r.component for r in components.components(chain).collect()} == {0}

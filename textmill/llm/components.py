@@ -7,6 +7,8 @@ n links need about log(n) rounds; stars need two.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,17 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(links: DataFrame, a: str = "x", b: str = "y", rounds: int = 60) -> DataFrame:
-    """node, component (its least node) for every node that has a link to another node."""
+def components(links: DataFrame, a: str = "x", b: str = "y", rounds: int | None = None) -> DataFrame:
+    """node, component (its least node) for every node that has a link to another node.
+
+    Goes on until nothing changes; an error if that takes more than `rounds`, where given.
+    """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = materialize(edges)
     mark = _mark(edges)
-    for _ in range(rounds):
+    for k in count():
+        if k == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         # each u now has only smaller neighbours: hang them, and u, onto the least of them
