@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .bpe import HashIndex
 from .byte_bpe import Distinct, least_count
-from .common import LOWER, arrow_map, buffers, materialize, range_hash, ranges, slices, take_spans, text_array, word_spans
+from .common import LOWER, arrow_map, buffers, give_back, materialize, range_hash, ranges, slices, take_spans, text_array, word_spans
 
 COMMON, CLASSES = 2000, 509
 DEPTH = 3
@@ -53,6 +53,8 @@ DIVERGENCE = 1.0
 ENTRIES = 2_000_000
 #: Training tokens a bucket of contexts.
 BUCKET = 400_000
+#: Marks of contexts: 2^MARKS bits.
+MARKS = 23
 DISCOUNT = 0.75
 LOOKED_UP = 250_000
 #: Symbols: the end, the classes, the common tokens. BITS hold one, or more bits where symbols are more.
@@ -281,6 +283,8 @@ def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes],
     mask = (1 << bits) - 1
 
     def step(table: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())  # as in arrow_map
+        give_back()
         held, sums = _pairs(shared)
         order = np.argsort(table["gram"].to_numpy())
         gram, n = table["gram"].to_numpy()[order], table["n"].to_numpy()[order]
@@ -309,8 +313,10 @@ class Tree:
         """first: what follows each symbol, with the probabilities of the contexts of one symbol (which are then not among the codes)."""
         self.root, self.depth, self.bits = (root + 1.0) / (root.sum() + len(root)), depth, bits_for(len(root), depth)
         self.first = first
-        order = np.lexsort((nxt, code))
-        code, nxt, n = code[order], nxt[order], n[order].astype(np.float64)
+        if len(code) and not (code[1:] >= code[:-1]).all():
+            order = np.argsort(code, kind="stable")
+            code, nxt, n = code[order], nxt[order], n[order]
+        n = n.astype(np.float64)
         lead = np.ones(len(code), bool)
         lead[1:] = code[1:] != code[:-1]
         at = np.flatnonzero(lead)
@@ -375,26 +381,61 @@ def _tools(shared) -> tuple[Symbols, Tree, HashIndex, HashIndex]:
     if not _held or _held[0] is not shared:
         common, tree, far, table = shared.value
         root, packed, single, *kept = tree
-        code, nxt, n = (np.frombuffer(zlib.decompress(x), np.int64) for x in kept)
         _square.clear()
-        _held[:] = [shared, (Symbols(common), Tree(root, code.view(np.uint64), nxt, n, first=after_one(root, packed, single)), HashIndex(_mix(far)), HashIndex(table[0]))]
+        _held.clear()
+        first = after_one(root, packed, single)
+        give_back()
+        code, nxt, n = (np.frombuffer(zlib.decompress(x), np.int64) for x in kept)
+        tree = Tree(root, code.view(np.uint64), nxt, n, first=first)
+        del code, nxt, n
+        give_back()
+        _held[:] = [shared, (Symbols(common), tree, HashIndex(_mix(far[0])), HashIndex(table[0]))]
     return _held[1]
 
 
-def _answers(grams: DataFrame, kept: DataFrame, root: np.ndarray, bits: int, tokens: int) -> DataFrame:
+def _mark(code: np.ndarray) -> np.ndarray:
+    return (_mix(code) >> np.uint64(64 - MARKS)).astype(np.int64)
+
+
+def marks_of(kept: DataFrame) -> np.ndarray:
+    """2^MARKS bits: those of the contexts in the table are set. Others may share a bit; then a place is joined in vain, no more."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_mark(batch.column("code").to_numpy().view(np.uint64))))], ["mark"])
+
+    bits = np.zeros(1 << MARKS, bool)
+    bits[arrow_map(kept.select("code").distinct(), step, "mark long").distinct().toArrow()["mark"].to_numpy()] = True
+    return np.packbits(bits)
+
+
+def _kept_in(marks: np.ndarray, sym: np.ndarray, offs: np.ndarray, places: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the places may have a context in the table."""
+    near = np.zeros(len(sym), bool)
+    for length in (2, 3):
+        at, code = contexts(sym, offs, length, bits)
+        m = _mark(code)
+        near[at] |= (marks[m >> 3] >> (7 - (m & 7)).astype(np.uint8) & 1).astype(bool)
+    return near[places]
+
+
+def _answers(grams: DataFrame, kept: DataFrame, shared, root: np.ndarray, bits: int) -> DataFrame:
     """gram, log: log10 of each distinct gram's last symbol's probability, by the contexts in the table `kept`."""
 
     def step(asked: pa.Table, table: pa.Table) -> pa.Table:
-        gram, p = asked["gram"].to_numpy().view(np.uint64), asked["start"].to_numpy().copy()
+        pa.set_memory_pool(pa.system_memory_pool())  # as in arrow_map
+        give_back()
+        gram = asked["gram"].to_numpy().view(np.uint64)
         tree = Tree(root, table["code"].to_numpy().view(np.uint64), table["next"].to_numpy().astype(np.int64), table["n"].to_numpy())
         nxt, code = gram & np.uint64((1 << bits) - 1), gram >> np.uint64(bits)
+        p = _tools(shared)[1].first[(code & np.uint64((1 << bits) - 1)).astype(np.int64), nxt.astype(np.int64)]
         tree.refine(p, np.arange(len(p)), code & np.uint64((1 << 2 * bits) - 1) | np.uint64(1 << 2 * bits), nxt)
         at = np.flatnonzero(code >= np.uint64(1 << 3 * bits))
         tree.refine(p, at, code[at], nxt[at])
         return pa.table([asked["gram"], pa.array(np.log10(p))], ["gram", "log"])
 
-    middle = (1 << 2 * bits) - 1
-    grams = grams.withColumn("bucket", _bucket(F.shiftright("gram", bits).bitwiseAND(middle), tokens)).groupBy("bucket", "gram").agg(F.first("start").alias("start"))
+    middle, tokens = (1 << 2 * bits) - 1, int(root.sum())
+    grams = grams.withColumn("bucket", _bucket(F.shiftright("gram", bits).bitwiseAND(middle), tokens)).distinct()
     kept = kept.withColumn("bucket", _bucket(F.col("code").bitwiseAND(middle), tokens))
     return grams.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(step, "gram long, log double")
 
@@ -430,6 +471,7 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     del near
     kept = kept.where(F.col("freq") < cut).select("code", "next", "n")
     far = kept.select(F.col("code").bitwiseAND(middle).alias("pair")).distinct().toArrow()["pair"].to_numpy().view(np.uint64)  # at most symbols^2 rows
+    marks = marks_of(kept)
 
     # each token's base term and its share of its symbol
     classes = spark.createDataFrame([(c, float(max(size[c], 1)), float(DISCOUNT * types[c] / size[c]) if size[c] else 1.0) for c in range(1, CLASSES + 1)], "class int, size double, unknown double")
@@ -441,10 +483,11 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     table = words.where(F.col("n") >= least_count(words, LOOKED_UP, 1)).toArrow()
     buf, offs = buffers(text_array(table["word"]))
     keys = range_hash(buf, offs[:-1], offs[1:]) if len(table) else np.zeros(0, np.uint64)
-    shared = spark.sparkContext.broadcast((common, tree, far, (keys, table["base"].to_numpy(), table["own"].to_numpy(), table["n"].to_numpy() > 0)))
+    shared = spark.sparkContext.broadcast((common, tree, (far, marks), (keys, table["base"].to_numpy(), table["own"].to_numpy(), table["n"].to_numpy() > 0)))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, tree, away, index = _tools(shared)
+        marks = shared.value[2][1]
         _, base_of, own_of, known_of = shared.value[3]
         prefix = np.random.SeedSequence().entropy  # tells tasks apart; the rows are written before they are used
         row = 0
@@ -456,14 +499,13 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
                 keys = range_hash(buf, starts, ends_)
                 sym, offs = sequences(symbols.of(buf, starts, ends_, keys), wo)
                 m = j - i
-                p = tree.begin(sym, offs)
-                start = p.copy() if len(away.keys) else p
-                logs = tree.log10(sym, offs, p)
+                logs = tree.log10(sym, offs)
                 # the places whose contexts are not held here, distinct per text
-                grams, starts_at, gram_times, gram_cut = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(m + 1, np.int32)
+                grams, gram_times, gram_cut = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(m + 1, np.int32)
                 if len(away.keys):
                     at, code = contexts(sym, offs, 2, bits)
                     at = at[away.find(_mix(code & np.uint64(middle))) >= 0]
+                    at = at[_kept_in(marks, sym, offs, at, bits)]
                     logs[at] = 0.0
                     text = np.repeat(np.arange(m), np.diff(offs))[at]
                     whole = at - offs[text] >= 3
@@ -471,7 +513,7 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
                     for k in (2, 1, 0):
                         gram = gram << np.uint64(bits) | sym[at - k]
                     pick, gram_times, gram_cut = _per_text(gram, text, m)
-                    grams, starts_at = gram[pick].view(np.int64), start[at[pick]]
+                    grams = gram[pick].view(np.int64)
                 placed = np.concatenate([[0.0], np.cumsum(logs)])
                 found = index.find(keys)
                 hit = found >= 0
@@ -499,14 +541,13 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
                         pa.ListArray.from_arrays(pa.array(cut), take_spans(buf, starts[at], ends_[at])),
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(times)),
                         pa.ListArray.from_arrays(pa.array(gram_cut), pa.array(grams)),
-                        pa.ListArray.from_arrays(pa.array(gram_cut), pa.array(starts_at)),
                         pa.ListArray.from_arrays(pa.array(gram_cut), pa.array(gram_times)),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "words", "times", "grams", "starts", "gram_times"],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "words", "times", "grams", "gram_times"],
                 )
                 row += m
 
-    rows = materialize(arrow_map(docs, step, "row string, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<string>, times array<long>, grams array<long>, starts array<double>, gram_times array<long>"))
+    rows = materialize(arrow_map(docs, step, "row string, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<string>, times array<long>, grams array<long>, gram_times array<long>"))
     rare = (
         rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
         .select("row", "w.times", F.col("w.words").alias("word"))
@@ -516,12 +557,12 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     )
     more = rare.select("row", "k2", "b2", "o2")
     if len(far):
-        asked = rows.select("row", F.explode(F.arrays_zip("grams", "starts", "gram_times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.starts").alias("start"), F.col("g.gram_times").alias("times"))
-        told = asked.join(_answers(asked.select("gram", "start"), kept, root, bits, int(root.sum())), "gram")
+        asked = rows.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.gram_times").alias("times"))
+        told = asked.join(_answers(asked.select("gram"), kept, shared, root, bits), "gram")
         more = more.unionByName(told.groupBy("row").agg(F.lit(0).cast("long").alias("k2"), F.lit(0.0).alias("b2"), F.sum(F.col("times") * F.col("log")).alias("o2")))
         more = more.groupBy("row").agg(F.sum("k2").alias("k2"), F.sum("b2").alias("b2"), F.sum("o2").alias("o2"))
     zero = F.lit(0.0)
-    return rows.drop("words", "times", "grams", "starts", "gram_times").join(more, "row", "left").select(
+    return rows.drop("words", "times", "grams", "gram_times").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
