@@ -9,7 +9,7 @@
    text unchanged; documents of which nothing is left go.
 4. packing: the rest is tokenised and packed into sequences of 2048 tokens.
 
-Stages 1 to 3 return the columns of documents (and any further ones, unchanged).
+Stages 1 to 3 return the columns of documents (and any further ones, whatever their names, unchanged).
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import dedup_substring, jaccard_join, packing, toxicity
-from textmill.llm.common import anti_by_id, materialize, semi_by_id
+from textmill.llm.common import anti_by_id, fresh, materialize, quoted, semi_by_id
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs.select("doc_id", "text"), toxicity.learnable(labels))
-    scored = toxicity.score(docs, model, docs.columns, out=("_score", "_predicted"))
-    return scored.where("_predicted = 0").select(docs.columns)
+    chance, flag = fresh(docs.columns, "chance", "flag")
+    return toxicity.score(docs, model, docs.columns, out=(chance, flag)).where(F.col(flag) == 0).select(*map(quoted, docs.columns))
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     again = materialize(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept
-    return anti_by_id(kept, again).unionByName(semi_by_id(kept, again).dropDuplicates(["doc_id", "text"]).select(kept.columns))
+    return anti_by_id(kept, again).unionByName(semi_by_id(kept, again).dropDuplicates(["doc_id", "text"]).select(*map(quoted, kept.columns)))
 
 
 def substring_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,14 @@ def substring_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = materialize(rows.where("n_words > 0 and n_removed = n_words").select("doc_id", "tk").distinct())
     ids = materialize(changed.select("doc_id").unionByName(gone.select("doc_id")).distinct())
     same = anti_by_id(docs, ids)
-    edited = semi_by_id(docs, ids).withColumn("_tk", F.xxhash64("text"))
-    new = changed.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk2"), "kept")
-    edited = edited.join(gone.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk2")), F.expr("doc_id = _id and _tk = _tk2"), "left_anti")
-    edited = edited.join(new, F.expr("doc_id = _id and _tk = _tk2"), "left").withColumn("text", F.coalesce("kept", "text"))
+    tk, of, of_tk, left = fresh(docs.columns, "tk", "of", "of_tk", "left")
+    same_row = (F.col("doc_id") == F.col(of)) & (F.col(tk) == F.col(of_tk))
+    row = (F.col("doc_id").alias(of), F.col("tk").alias(of_tk))
+    edited = semi_by_id(docs, ids).withColumn(tk, F.xxhash64("text")).join(gone.select(*row), same_row, "left_anti")
+    edited = edited.join(changed.select(*row, F.col("kept").alias(left)), same_row, "left").withColumn("text", F.coalesce(left, "text"))
     if "n_chars" in docs.columns:
         edited = edited.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(edited.select(docs.columns)).select(docs.columns)
+    return same.unionByName(edited.select(*map(quoted, docs.columns)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

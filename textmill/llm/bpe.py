@@ -5,10 +5,11 @@ from __future__ import annotations
 import base64
 import json
 import unicodedata
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 
-from .common import ranges
+from .common import ranges, same_bytes
 
 LETTER, NUMBER, OTHER, SPACE, UNASSIGNED = range(5)
 #: The code points of Unicode's White_Space property.
@@ -139,23 +140,59 @@ class HashIndex:
         return out
 
 
+class Pile:
+    """An array that grows at its end."""
+
+    def __init__(self, values: np.ndarray):
+        self.held, self.n = values, len(values)
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(end, 1024), self.held.dtype)])
+        self.held[self.n : end] = values
+        self.n = end
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Words:
-    """Token ids of distinct words: hash -> ids, as one flat array with offsets."""
+    """Token ids of distinct words: hash -> ids, as one flat array with offsets, and the words themselves."""
 
-    def __init__(self, keys: np.ndarray, ids: np.ndarray, offs: np.ndarray):
-        self.index, self.ids, self.offs = HashIndex(keys), ids, offs
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, offs: np.ndarray, data: np.ndarray, cuts: np.ndarray):
+        self.index, self.id_pile, self.off_pile = HashIndex(keys), Pile(ids), Pile(offs)
+        self.data, self.cut_pile = Pile(np.append(data, np.zeros(8, np.uint8))), Pile(cuts)  # eight more bytes for `eights`
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+    @property
+    def offs(self) -> np.ndarray:
+        return self.off_pile.values
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> None:
         self.index.extend(keys)
-        self.ids = np.concatenate([self.ids, ids])
-        self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(counts)])
+        self.id_pile.add(ids)
+        self.off_pile.add(self.offs[-1] + np.cumsum(counts))
+        self.data.n -= 8
+        self.data.add(np.append(data, np.zeros(8, np.uint8)))
+        self.cut_pile.add(self.cut_pile.values[-1] + np.cumsum(sizes))
+
+    def same(self, which: np.ndarray, view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the words found are these: `sizes` bytes from `starts` of view (see `eights`)."""
+        data, cuts = self.data.values, self.cut_pile.values
+        held = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        out = cuts[which + 1] - cuts[which] == sizes
+        rows = np.flatnonzero(out)
+        out[rows] = same_bytes(held, cuts[which[rows]], view, starts[rows], sizes[rows])
+        return out
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after another, offset of each word's ids)."""
-        counts = self.offs[which + 1] - self.offs[which]
+        offs = self.offs
+        counts = offs[which + 1] - offs[which]
         out = np.zeros(len(which) + 1, np.int64)
         np.cumsum(counts, out=out[1:])
-        return self.ids[ranges(self.offs[which], counts)], out
+        return self.id_pile.values[ranges(offs[which], counts)], out
 
 
 # ------------------------------------------------------------------ merges
@@ -164,10 +201,11 @@ class Words:
 class MergeTable:
     """Byte-level BPE with word ends, applied to many words at once.
 
-    Each round merges, in every unfinished word, the leftmost pair of the lowest rank.
+    Each round merges, in every unfinished word, the leftmost pair of the lowest rank. Words of
+    more than WIDE bytes take their pairs from a heap instead, one word after another.
     """
 
-    WIDE = 24
+    WIDE = 64
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
         letters = byte_letters()
@@ -177,6 +215,8 @@ class MergeTable:
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.uint64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.index = HashIndex(self._spread(keys))
+        self.pairs = keys
+        self.rank_of: dict[int, int] | None = None
 
     @staticmethod
     def _spread(keys: np.ndarray) -> np.ndarray:
@@ -191,11 +231,14 @@ class MergeTable:
         size = ends - starts
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         order = np.argsort(size, kind="stable")
-        at = 0
-        while at < len(order):  # words of alike length together
+        at, short = 0, int((size <= self.WIDE).sum())
+        for row in order[short:].tolist():
+            ids = self._encode_long(buf[starts[row] : ends[row]])
+            parts.append((np.array([row]), ids, np.array([len(ids)])))
+        while at < short:  # words of alike length together
             wide = int(size[order[at]])
             wide = max(8, -(-wide // 4) * 4)
-            stop = int(np.searchsorted(size[order], wide, "right"))
+            stop = int(np.searchsorted(size[order[:short]], wide, "right"))
             stop = min(stop, at + max(1, (1 << 20) // wide))
             rows = order[at:stop]
             ids, counts = self._encode(buf, starts[rows], size[rows], wide)
@@ -253,6 +296,32 @@ class MergeTable:
         return sym[col < counts[:, None]], counts
 
 
+    def _encode_long(self, raw: np.ndarray) -> np.ndarray:
+        """The ids of one long word: pairs wait in a heap by rank and place, symbols are a linked list."""
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.pairs.tolist(), range(len(self.pairs)), strict=True))
+        ranks, made, n = self.rank_of, self.made, len(raw)
+        sym = [*self.first[raw[:-1]].tolist(), int(self.final[raw[-1]])]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := ranks.get(sym[i] << 20 | sym[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, i, a, b = heappop(heap)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:  # one of them has merged with another
+                continue
+            sym[i], sym[j] = int(made[r]), -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (q := ranks.get(sym[i] << 20 | sym[k])) is not None:
+                    heappush(heap, (q, i, sym[i], sym[k]))
+            h = before[i]
+            if h >= 0 and (q := ranks.get(sym[h] << 20 | sym[i])) is not None:
+                heappush(heap, (q, h, sym[h], sym[i]))
+        return np.array([s for s in sym if s >= 0], np.int32)
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies.
 

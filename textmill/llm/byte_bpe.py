@@ -158,7 +158,7 @@ def _held(shared) -> Words:
     """The broadcast dictionary's index, built once per worker."""
     if not _words or _words[0] is not shared:
         v = shared.value
-        _words[:] = [shared, Words(v["keys"], v["ids"], v["offs"])]
+        _words[:] = [shared, Words(v["keys"], v["ids"], v["offs"], np.zeros(0, np.uint8), np.zeros(1, np.int64))]  # decoding compares the bytes
     return _words[1]
 
 

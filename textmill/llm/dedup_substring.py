@@ -2,8 +2,8 @@
 
 A window of `window` words is repeated if its word sequence also starts in a document
 with a smaller doc_id. Levels of window lengths lead up to `window`, each twice the one
-before (25, 50; or 13, 26, 50). A longer window can only repeat if the shorter ones in it
-do, so each level looks only at windows that hold a survivor of the level below.
+before (13, 26, 50). A longer window can only repeat if the shorter ones in it do, so each
+level looks only at windows that hold a survivor of the level below; it ends where none survive.
 
 The lower levels keep anchors alone: a window of length L is an anchor if its hash is the
 least among the L-windows of some window of the next length. Equal longer windows have
@@ -12,7 +12,8 @@ about 2 / (L + 2) of the windows are anchors. The last level looks at all window
 survivors and compares hashes of 128 bits.
 
 Documents with equal word sequences meet first: all but the smallest doc_id are wholly
-repeated (if they have `window` words) and need no windows at all.
+repeated (if they have `window` words) and need no windows at all. Passages and texts that
+very many documents share are joined by a broadcast of their few keys, not in one task.
 
 Nulls and edges: a null or empty text has no words, nothing is removed and kept_sha256 is
 that of the empty string; a null doc_id is neither smaller nor larger than any, so such
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import (
     arrow_map,
     buffers,
+    discard,
     hash_windows,
+    join_counted,
     long_list,
     materialize,
     range_hash,
@@ -41,12 +44,13 @@ from .common import (
     semi_by_id,
     slices,
     text_array,
+    window_hash,
     word_spans,
 )
 
 def levels(window: int, first: int | None = None) -> list[int]:
-    """The window lengths below `window`, each twice the one before."""
-    out, size = [], min(first or (window + 1) // 2, window)
+    """The window lengths below `window`, each twice the one before (the first about a quarter of it)."""
+    out, size = [], min(first or (window + 3) // 4, window)
     while size < window:
         out.append(size)
         size *= 2
@@ -159,12 +163,12 @@ def extend(window: int, length: int):
                     chosen.append(_near(found, at[cut[t] : cut[t + 1]], length, longer, (wo[t], wo[t + 1])))
                     a_cut.append(a_cut[-1] + len(chosen[-1]))
                 at2 = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-                h1 = range_hash(words, at2, at2 + longer)
+                h1 = window_hash(words, longer)[at2]
                 a_cut = np.asarray(a_cut)
                 ids = [batch.column("doc_id").slice(i, j - i), batch.column("tk").slice(i, j - i)]
                 if last:
                     words2 = range_hash(buf, starts, ends, 1)
-                    h2 = range_hash(words2, at2, at2 + longer, 1)
+                    h2 = window_hash(words2, longer, 1)[at2]
                     # a window that recurs within its text is one entry with several places
                     text = np.repeat(np.arange(j - i), np.diff(a_cut))
                     pos = at2 - wo[:-1][text]
@@ -187,8 +191,9 @@ def extend(window: int, length: int):
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur under two different doc_ids, with the smallest."""
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    """Keys that occur under two different doc_ids, with the smallest and the rows, as a written table."""
+    counts = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    return materialize(counts.where("least < most").drop("most"))
 
 
 def cover(window: int):
@@ -230,22 +235,34 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tk"))
     sums = materialize(arrow_map(docs, summarize(window), "doc_id long, tk long, n_words long, sha string, anchors array<long>"))
 
-    classes = sums.groupBy("sha").agg(F.min("doc_id").alias("least"))
-    whole = sums.select("doc_id", "tk", "n_words", "sha").join(classes, "sha").select("doc_id", "tk", "n_words", "sha", (F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= window)).alias("copy"))
-    whole = materialize(whole)
-    seeds = sums.join(whole.where("not copy").select("doc_id", "tk").distinct(), ["doc_id", "tk"]).select("doc_id", "tk", "anchors").dropDuplicates(["doc_id", "tk"]).where(F.size("anchors") > 0)
+    classes = materialize(sums.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= window)
+    whole = join_counted(sums, classes, ["sha"]).withColumn("copy", copy)
+    whole = materialize(whole.select("doc_id", "tk", "n_words", "sha", "copy", F.when(~F.col("copy"), F.col("anchors")).alias("anchors")))
+    discard(classes, sums)
+    seeds = whole.where("doc_id is not null and size(anchors) > 0").select("doc_id", "anchors")
 
+    hits, tables = None, []
     for length in levels(window):
-        found = seeds.select("doc_id", "tk", F.explode(F.array_distinct("anchors")).alias("h"))
-        alive = materialize(found.join(repeated(found, ["h"]), "h").groupBy("doc_id", "tk").agg(F.collect_set("h").alias("alive")))
-        rows = semi_by_id(docs, alive.select("doc_id").distinct()).join(alive, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"])
+        # candidates are kept by document alone: rows that repeat a doc_id share them, and the last level is exact
+        found = seeds.select("doc_id", F.explode(F.array_distinct("anchors")).alias("h"))
+        again = repeated(found, ["h"])
+        alive = materialize(join_counted(found, again, ["h"]).groupBy("doc_id").agg(F.collect_set("h").alias("alive")))
+        discard(again, *tables)
+        tables = [alive]
+        if alive.isEmpty():
+            break
+        rows = semi_by_id(docs, alive).join(alive, "doc_id").dropDuplicates(["doc_id", "tk"])
         if min(2 * length, window) == window:
             hits = arrow_map(rows, extend(window, length), "doc_id long, tk long, h1 array<long>, h2 array<long>, pos array<array<long>>")
         else:
             seeds = materialize(arrow_map(rows, extend(window, length), "doc_id long, tk long, anchors array<long>"))
+            tables.append(seeds)
+    hits = hits if hits is not None else docs.sparkSession.createDataFrame([], "doc_id long, tk long, h1 array<long>, h2 array<long>, pos array<array<long>>")
     hits = materialize(hits)
+    discard(*tables)
     flat = hits.select("doc_id", "tk", F.explode(F.arrays_zip("h1", "h2", "pos")).alias("w")).select("doc_id", "tk", "w.h1", "w.h2", "w.pos")
-    covered = flat.join(repeated(flat, ["h1", "h2"]), ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("pos")).alias("where"))
+    covered = join_counted(flat, repeated(flat, ["h1", "h2"]), ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("pos")).alias("where"))
     covered = materialize(covered)
     changed = semi_by_id(docs, covered.select("doc_id").distinct()).join(covered, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"])
     changed = materialize(arrow_map(changed, cover(window), "doc_id long, tk long, n_removed long, kept string, kept_sha256 string"))

@@ -17,9 +17,10 @@ is the part of A x A' that a Jaccard similarity of `percent` leaves.
    discarded. The rest are compared on their whole sets.
 5. *Full columns.* A column with more than HOT rows (a large group of near copies) would give
    a table of all its pairs. Rows that full columns connect are a cluster instead, multiplied
-   with whole sets in dense tiles of TILE x TILE rows; a tile returns no pairs but a spanning
-   forest of its links, at most one row for each of its rows. For pairs met in other
-   columns, c then counts all full columns that both rows could share.
+   with whole sets in dense tiles of at most TILE rows and TILE_ENTRIES entries on a side. Rows
+   are banded by size first, so that tiles whose sizes rule a link out never meet. A tile
+   returns no pairs but a spanning forest of its links, at most one row for each of its rows. For
+   pairs met in other columns, c then counts all full columns that both rows could share.
 
 Nulls and edges: a null or empty text has no n-grams and links with nothing; texts of
 fewer words than n have their whole sequence as the one n-gram; a row with a null doc_id
@@ -29,6 +30,7 @@ sets; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +49,11 @@ from .common import (
     range_hash,
     ranges,
     semi_by_id,
+    sequence_hash,
+    set_hash,
     slices,
     text_array,
+    window_hash,
     word_spans,
 )
 
@@ -58,6 +63,8 @@ BLOCK_ENTRIES = 800_000
 ORDERED = 500_000
 #: Rows beyond which a column is multiplied as a dense block, and rows on a tile's side.
 HOT, TILE = 100, 1000
+#: Entries on a tile's side, about (one longer set is a side by itself).
+TILE_ENTRIES = 1_000_000
 #: Entries that a task holds before it sends them to their blocks.
 HELD = 500_000
 
@@ -73,7 +80,10 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
     at = ranges(wo[:-1], per)
     text = np.repeat(np.arange(len(per)), per)
     size = np.where(short, counts, n)[text]
-    h = range_hash(words, at, at + size)
+    h = np.empty(len(at), np.uint64)
+    full = size == n
+    h[full] = window_hash(words, n)[at[full]] if full.any() else 0
+    h[~full] = sequence_hash(words, at[~full], size[~full])
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
     keep = np.ones(len(h), bool)
@@ -107,8 +117,8 @@ def summarize(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for i, j, h, cut in _blocks(batch, n):
                 count = np.diff(cut)
-                node = range_hash(h, cut[:-1], cut[1:]).view(np.int64)
-                check = range_hash(h, cut[:-1], cut[1:], 1).view(np.int64)
+                node = set_hash(h, cut).view(np.int64)
+                check = set_hash(h, cut, 1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(count), pa.array(node), pa.array(check)], ["doc_id", "n_shingles", "node", "check"])
                 held.append(h)
                 size += len(h)
@@ -176,7 +186,7 @@ def entries(docs: DataFrame, n: int, percent: int, shared, blocks: int) -> DataF
             for _, _, h, cut in _blocks(batch, n):
                 count = np.diff(cut)
                 text = np.repeat(np.arange(len(count)), count)
-                node = range_hash(h, cut[:-1], cut[1:]).view(np.int64)
+                node = set_hash(h, cut).view(np.int64)
                 key = h >> np.uint64(1)
                 hot = index.find(h)
                 is_hot = hot >= 0
@@ -301,7 +311,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, h, cut in _blocks(batch, n):
-                yield pa.RecordBatch.from_arrays([pa.array(range_hash(h, cut[:-1], cut[1:]).view(np.int64)), long_list(h, cut)], ["node", "hs"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_hash(h, cut).view(np.int64)), long_list(h, cut)], ["node", "hs"])
 
     return arrow_map(docs, step, "node long, hs array<long>")
 
@@ -338,12 +348,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     full_of = hot.groupBy("node").agg(F.count(F.lit(1)).alias("full"))
     sizes = materialize(sizes.join(full_of, "node", "left").withColumn("full", F.coalesce("full", F.lit(0))))
 
-    # full columns: rows that they connect are one cluster, cut into tiles of whole sets
+    # full columns: rows that they connect are one cluster, cut into bands by size and into tiles of whole sets
     cluster = components(hot.select(F.col("h").alias("x"), F.col("node").alias("y")))
-    nodes = materialize(cluster.join(full_of, "node").select("node", "component"))
-    counts = nodes.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
-    tiled = nodes.join(counts, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("t")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    tiled = tiled.select("component", "node", "i", F.least("i", "k").alias("a"), F.greatest("i", "k").alias("b"))
+    band = F.floor(F.ln("n") / math.log(100 / percent) / (1 + 1e-9)).cast("int")  # sizes that may link are in one band or in neighbouring ones
+    nodes = materialize(cluster.join(sizes.where("full > 0").select("node", "n"), "node").select("node", "component", "n", band.alias("band")))
+    tiles = nodes.groupBy("component", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_ENTRIES)).cast("int").alias("t"))
+    tiles = materialize(tiles)
+    here = nodes.join(tiles, ["component", "band"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
+    tile = lambda c: F.struct(F.col("band").alias("band"), F.col(c).alias("i")).alias(c)
+    within = here.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select("component", "node", tile("i"), tile("k"))
+    beside = tiles.select("component", "band", F.col("t").alias("u"))
+    pairs = [within]
+    for step in (1, -1):
+        other = here.withColumn("next", F.col("band") + step).join(beside.withColumnRenamed("band", "next"), ["component", "next"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("u") - 1)))
+        pairs.append(other.select("component", "node", tile("i"), F.struct(F.col("next").alias("band"), F.col("k").alias("i")).alias("k")))
+    tiled = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).select("component", "node", F.xxhash64("i").alias("i"), F.least("i", "k").alias("a"), F.greatest("i", "k").alias("b"))
     links = tiled.join(whole_sets(nodes.select("node")), "node").groupBy("component", "a", "b").applyInArrow(_tile(percent), "x long, y long").distinct()
 
     # the other columns: accumulated counts, bounds, whole sets of the pairs that are left

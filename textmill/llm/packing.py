@@ -2,7 +2,7 @@
 
 1. *Tokens.* Each text is encoded with a word-level BPE vocabulary and closed by an end id.
    Distinct words are encoded once per worker (vectorised merges) and kept in a bounded
-   cache. The first floor(n / window) x window ids of a document fill sequences of their
+   cache, found by a hash and compared byte by byte. The first floor(n / window) x window ids of a document fill sequences of their
    own; what is left, its tail, is to be packed. Only lengths and checksums leave the task.
 2. *Plan* (driver, size set by the window alone). The histogram of tail lengths has at most
    window-1 bars. Combinations of two or three lengths that fill a window exactly are
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import UNASSIGNED, Words, classes, code_points, load_merges, pre_tokens
-from .common import LOWER, arrow_map, buffers, materialize, range_hash, slices, text_array
+from .common import LOWER, arrow_map, buffers, eights, materialize, range_hash, ranges, slices, text_array
 from .sharding import with_slots
 
 WINDOW = 2048
@@ -60,7 +60,7 @@ def _tokenizer(path: str):
 
 
 def _no_words() -> Words:
-    return Words(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64))
+    return Words(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))
 
 
 def _normal(text: str) -> str:
@@ -93,19 +93,24 @@ def encode_block(buf: np.ndarray, offs: np.ndarray, path: str) -> tuple[np.ndarr
     starts, ends, _ = pre_tokens(cps, char_offs, False)
     word_offs = np.searchsorted(starts, char_offs)
     starts, ends = at[starts], at[ends]
-    keys = range_hash(buf, starts, ends)
-    found = words.index.find(keys)
-    new = np.flatnonzero(found < 0)
-    if len(new):
-        fresh, first = np.unique(keys[new], return_index=True)
-        if len(words.index.keys) + len(fresh) > CACHE_WORDS:
-            words = _no_words()
-            _state[path] = tok, merges, words, special
-            fresh, new = np.unique(keys, return_index=True)
-            first = np.arange(len(new))
-        ids, counts = merges.encode(buf, starts[new[first]], ends[new[first]])
-        words.add(fresh, ids, counts)
+    keys, size, view = range_hash(buf, starts, ends), ends - starts, eights(buf)
+    while True:
         found = words.index.find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh, first = np.unique(keys[new], return_index=True)
+            if len(words.index.keys) + len(fresh) > CACHE_WORDS and len(words.index.keys):
+                words = _no_words()
+                _state[path] = tok, merges, words, special
+                continue
+            at = new[first]
+            ids, counts = merges.encode(buf, starts[at], ends[at])
+            words.add(fresh, ids, counts, buf[ranges(starts[at], size[at])], size[at])
+            found = words.index.find(keys)
+        other = ~words.same(found, view, starts, size)
+        if not other.any():
+            break
+        keys[other] += np.uint64(1)  # another word has this hash
     ids, cut = words.gather(found)
     cut = cut[word_offs]
     if apart:

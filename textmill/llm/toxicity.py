@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .boosting import Boosted, isotonic
 from .bpe import HashIndex
-from .common import LOWER, WS, arrow_map, buffers, materialize, range_hash, ranges, slices, text_array, word_spans
+from .common import LOWER, WS, arrow_map, buffers, materialize, quoted, range_hash, ranges, slices, text_array, word_spans
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 16_000
@@ -249,13 +250,13 @@ def score(docs: DataFrame, model: dict, keep: list[str] | None = None, threshold
     """docs' columns `keep` with the score and the prediction, named by `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
-    text = "text" if "text" in keep else "_text"
+    held = [f"c{k}" for k in range(len(keep))]  # whatever signs the names have
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         tool = Featurizer(*model["lexicon"]) if "model" in model else None
         for batch in batches:
-            buf_all, offs_all = buffers(text_array(batch.column(text)))
+            buf_all, offs_all = buffers(text_array(batch.column("text")))
             for i, j in slices(offs_all):
                 if tool is None:
                     p = np.full(j - i, model["prior"])
@@ -263,10 +264,11 @@ def score(docs: DataFrame, model: dict, keep: list[str] | None = None, threshold
                     raw = model["model"].raw(tool.features(buf_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]))
                     # the fit is a step function; a thousandth of the raw probability keeps the order within a step
                     p = 0.999 * np.interp(raw, *model["calibration"]) + 0.001 / (1 + np.exp(-raw))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, *out])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in held], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*held, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return arrow_map(docs.select(*keep, *([] if text == "text" else [F.col("text").alias(text)])), step, f"{fields}, {out[0]} double, {out[1]} int")
+    rows = docs.select(*[F.col(quoted(c)).alias(h) for c, h in zip(keep, held, strict=True)], "text")
+    fields = [*rows.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    return arrow_map(rows, step, StructType(fields)).toDF(*keep, *out)
 
 
 def learnable(labels: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
