@@ -6,10 +6,10 @@ before (13, 26, 50). A longer window can only repeat if the shorter ones in it d
 level looks only at windows that hold a survivor of the level below; it ends where none survive.
 
 The lower levels keep anchors alone: a window of length L is an anchor if its hash is the
-least among the L-windows of some window of the next length. Equal longer windows have
-equal anchors, and each has at least one, so nothing that repeats is lost; of random text
-about 2 / (L + 2) of the windows are anchors. The last level looks at all windows around
-survivors and compares hashes of 128 bits.
+least among the L-windows of some window of the full length that holds a survivor. Equal full
+windows have equal anchors, and each has at least one, so nothing that repeats is lost; of
+random text about 2 / (`window` - L + 2) of the windows are anchors. The last level looks at all
+windows around survivors and compares hashes of 128 bits.
 
 Documents with equal word sequences meet first: all but the smallest doc_id are wholly
 repeated (if they have `window` words) and need no windows at all. Passages and texts that
@@ -67,10 +67,11 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return values
 
 
-def anchors(hashes: np.ndarray, offs: np.ndarray, length: int, longer: int) -> np.ndarray:
+def anchors(hashes: np.ndarray, offs: np.ndarray, length: int, longer: int, allowed: np.ndarray | None = None) -> np.ndarray:
     """Which windows of `length` words are the least in some window of `longer` words of their text.
 
-    hashes: of all windows of all texts, one text after another; offs: word offsets of the texts.
+    hashes: of all windows of all texts, one text after another; offs: word offsets of the texts;
+    allowed: which of the windows begin where a longer one counts.
     """
     span = longer - length + 1
     n = len(hashes)
@@ -78,8 +79,10 @@ def anchors(hashes: np.ndarray, offs: np.ndarray, length: int, longer: int) -> n
         return np.zeros(n, bool)
     per_text = np.maximum(np.diff(offs) - length + 1, 0)
     text = np.repeat(np.arange(len(per_text)), per_text)
-    least = _slide(hashes, span, np.minimum)
-    least = np.where(text[span - 1 :] == text[: n - span + 1], least, 0)  # a run may not leave its text
+    counts = text[span - 1 :] == text[: n - span + 1]  # a run may not leave its text
+    if allowed is not None:
+        counts &= allowed[: n - span + 1]
+    least = np.where(counts, _slide(hashes, span, np.minimum), 0)
     # the greatest of the minima over the runs that hold a window is its own hash iff it is least in one
     pad = np.zeros(span - 1, np.uint64)
     return _slide(np.concatenate([pad, least, pad]), span, np.maximum) == hashes
@@ -116,7 +119,7 @@ def summarize(window: int):
                 raw = buf.tobytes()
                 shas = [_sha(_squeezed(raw[a:b])) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 at, hashes = hash_windows(words, wo, first)
-                keep = anchors(hashes, wo, first, min(2 * first, window))
+                keep = anchors(hashes, wo, first, window)
                 values, pos = hashes[keep], at[keep]
                 cut = np.searchsorted(pos, wo)
                 yield pa.RecordBatch.from_arrays(
@@ -160,13 +163,13 @@ def extend(window: int, length: int):
                 for t in range(j - i):
                     own = hashes[cut[t] : cut[t + 1]]
                     found = np.flatnonzero(np.isin(own, alive[alive_off[t] : alive_off[t + 1]]))
-                    chosen.append(_near(found, at[cut[t] : cut[t + 1]], length, longer, (wo[t], wo[t + 1])))
+                    chosen.append(_near(found, at[cut[t] : cut[t + 1]], length, window, (wo[t], wo[t + 1])))
                     a_cut.append(a_cut[-1] + len(chosen[-1]))
                 at2 = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-                h1 = window_hash(words, longer)[at2]
                 a_cut = np.asarray(a_cut)
                 ids = [batch.column("doc_id").slice(i, j - i), batch.column("tk").slice(i, j - i)]
                 if last:
+                    h1 = window_hash(words, longer)[at2]
                     words2 = range_hash(buf, starts, ends, 1)
                     h2 = window_hash(words2, longer, 1)[at2]
                     # a window that recurs within its text is one entry with several places
@@ -182,10 +185,10 @@ def extend(window: int, length: int):
                     yield pa.RecordBatch.from_arrays([*ids, long_list(h1[first], cut2), long_list(h2[first], cut2), places], ["doc_id", "tk", "h1", "h2", "pos"])
                 else:
                     all_at, all_h = hash_windows(words, wo, longer)
-                    keep = all_at[anchors(all_h, wo, longer, min(2 * longer, window))]
-                    mine = np.isin(at2, keep)
-                    total = np.concatenate([[0], np.cumsum(mine)])
-                    yield pa.RecordBatch.from_arrays([*ids, long_list(h1[mine], total[a_cut])], ["doc_id", "tk", "anchors"])
+                    begins = np.zeros(len(words) + 1, bool)
+                    begins[at2] = True
+                    keep = anchors(all_h, wo, longer, window, begins[all_at])
+                    yield pa.RecordBatch.from_arrays([*ids, long_list(all_h[keep], np.searchsorted(all_at[keep], wo))], ["doc_id", "tk", "anchors"])
 
     return step
 
