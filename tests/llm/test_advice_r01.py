@@ -47,7 +47,13 @@ def brute_scores(rows):
     for c, nexts in after.items():
         up, n = (after[c[1:]] if len(c) > 1 else root), sum(nexts.values())
         up_n = sum(up.values())
-        if n >= 32 and sum(m * math.log(m * up_n / (n * up[x])) for x, m in nexts.items()) >= len(nexts):
+        if n < 32:
+            continue
+        gain = 0.0
+        for x, m in nexts.items():
+            kinds = len(nexts) - (m == 1)  # without the one sighting that is foretold
+            gain += m * math.log(((m - 1) + kinds * up[x] / up_n) / (n - 1 + kinds) / (up[x] / up_n))
+        if gain >= len(nexts):
             kept[c] = n
     symbols = 1 + suffix_tree.CLASSES + len(root) - 1
 

@@ -11,7 +11,11 @@ are one symbol a class, as the base formula's V + 1 has one symbol for them.
 *Contexts.* A context is the 1 to DEPTH symbols before a token; a text begins with an end
 symbol. A context is a candidate if it was seen SEEN times, and is retained if its
 next-symbol distribution diverges from its parent's (the context without its first
-symbol): n KL(context | parent) of at least DIVERGENCE nats for each distinct next symbol.
+symbol) by leave-one-out: each sighting's next symbol is foretold from the context's other
+sightings, mixed with the parent as in scoring, and once from the parent alone; the log
+likelihoods have to differ by DIVERGENCE nats for each distinct next symbol. (The plain
+n KL(context | parent) counts a sighting as evidence for itself and retains contexts that
+were merely seen a few times.)
 Nothing else decides, so the retained contexts grow with the corpus. Those of one symbol are
 a square of counts; the others are one table, written once. Workers hold those behind the most
 frequent pairs, at most ENTRIES next-symbol counts; the places of texts behind other pairs
@@ -260,7 +264,10 @@ def diverging(code: np.ndarray, n: np.ndarray, up_n: np.ndarray, up_total: np.nd
     at = np.flatnonzero(lead)
     kinds = np.diff(np.append(at, len(code)))
     total = np.repeat(np.add.reduceat(n, at), kinds)
-    gain = np.add.reduceat(n * np.log(n / total * (up_total / up_n)), at)
+    # each sighting is foretold by the others, mixed with the parent as in scoring
+    others, parent = np.repeat(kinds, kinds) - (n == 1), up_n / up_total
+    with np.errstate(divide="ignore", invalid="ignore"):  # one sighting alone has no others; it is no candidate
+        gain = np.add.reduceat(n * np.log((n - 1 + others * parent) / ((total - 1 + others) * parent)), at)
     return (total >= SEEN) & np.repeat(gain >= DIVERGENCE * kinds, kinds), total
 
 
