@@ -17,9 +17,9 @@ likelihoods have to differ by DIVERGENCE nats for each distinct next symbol. (Th
 n KL(context | parent) counts a sighting as evidence for itself and retains contexts that
 were merely seen a few times.)
 Nothing else decides, so the retained contexts grow with the corpus. Those of one symbol are
-a square of counts; the others are one table, written once. Workers hold those behind the most
-frequent pairs, at most ENTRIES next-symbol counts; the places of texts behind other pairs
-are, distinct, joined with the table. Scores do not depend on ENTRIES.
+a square of counts; the others are one table, written once. Workers hold those behind the pairs
+that most places need for their size, at most ENTRIES next-symbol counts; the places of texts
+behind other pairs are, distinct per text, joined with the table. Scores do not depend on ENTRIES.
 
 *Smoothing.* Each retained distribution is mixed with that of its longest retained suffix by Witten
 and Bell's weights, (n + k P_parent) / (N + k) with k distinct next symbols, down to the root,
@@ -43,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -293,8 +294,8 @@ def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes],
         pa.set_memory_pool(pa.system_memory_pool())  # as in arrow_map
         give_back()
         held, sums = _pairs(shared)
-        order = np.argsort(table["gram"].to_numpy())
-        gram, n = table["gram"].to_numpy()[order], table["n"].to_numpy()[order]
+        gram, inverse = np.unique(table["gram"].to_numpy(), return_inverse=True)
+        n = np.bincount(inverse, table["n"].to_numpy(), len(gram)).astype(np.int64)
         wide = gram >= 1 << 4 * bits
         low, inverse = np.unique(np.where(wide, gram & (1 << 3 * bits) - 1 | 1 << 3 * bits, gram), return_inverse=True)
         low_n = np.bincount(inverse, n, len(low)).astype(np.int64)
@@ -307,7 +308,7 @@ def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes],
         return pa.table([gram >> bits, (gram & mask).astype(np.int32), n, freq], ["code", "next", "n", "freq"])
 
     middle = F.shiftright("gram", bits).bitwiseAND((1 << 2 * bits) - 1)
-    grams = gram_counts(docs, common, shared, bits).withColumn("bucket", _bucket(middle, total)).repartition("bucket").groupBy("bucket", "gram").agg(F.sum("n").alias("n"))
+    grams = gram_counts(docs, common, shared, bits).withColumn("bucket", _bucket(middle, total))  # summed by tasks, and again in the buckets
     kept = materialize(grams.groupBy("bucket").applyInArrow(step, "code long, next int, n long, freq long"))
     shared.destroy()
     return packed, single, kept
@@ -426,25 +427,26 @@ def _kept_in(marks: np.ndarray, sym: np.ndarray, offs: np.ndarray, places: np.nd
     return near[places]
 
 
-def _answers(grams: DataFrame, kept: DataFrame, shared, root: np.ndarray, bits: int) -> DataFrame:
-    """gram, log: log10 of each distinct gram's last symbol's probability, by the contexts in the table `kept`."""
+def _answers(asked: DataFrame, kept: DataFrame, shared, root: np.ndarray, bits: int) -> DataFrame:
+    """row, log: of the places asked (row, gram, times), the log10 of the last symbols' probabilities by the contexts in the table `kept`, summed by row and bucket."""
 
     def step(asked: pa.Table, table: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())  # as in arrow_map
         give_back()
-        gram = asked["gram"].to_numpy().view(np.uint64)
+        gram, inverse = np.unique(asked["gram"].to_numpy().view(np.uint64), return_inverse=True)
         tree = Tree(root, table["code"].to_numpy().view(np.uint64), table["next"].to_numpy().astype(np.int64), table["n"].to_numpy())
         nxt, code = gram & np.uint64((1 << bits) - 1), gram >> np.uint64(bits)
         p = _tools(shared)[1].first[(code & np.uint64((1 << bits) - 1)).astype(np.int64), nxt.astype(np.int64)]
         tree.refine(p, np.arange(len(p)), code & np.uint64((1 << 2 * bits) - 1) | np.uint64(1 << 2 * bits), nxt)
         at = np.flatnonzero(code >= np.uint64(1 << 3 * bits))
         tree.refine(p, at, code[at], nxt[at])
-        return pa.table([asked["gram"], pa.array(np.log10(p))], ["gram", "log"])
+        rows, inverse_row = np.unique(asked["row"].to_numpy(), return_inverse=True)
+        return pa.table([pa.array(rows), pa.array(np.bincount(inverse_row, np.log10(p)[inverse] * asked["times"].to_numpy(), len(rows)))], ["row", "log"])
 
     middle, tokens = (1 << 2 * bits) - 1, int(root.sum())
-    grams = grams.withColumn("bucket", _bucket(F.shiftright("gram", bits).bitwiseAND(middle), tokens)).distinct()
+    asked = asked.withColumn("bucket", _bucket(F.shiftright("gram", bits).bitwiseAND(middle), tokens))
     kept = kept.withColumn("bucket", _bucket(F.col("code").bitwiseAND(middle), tokens))
-    return grams.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(step, "gram long, log double")
+    return asked.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(step, "row long, log double")
 
 
 def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
@@ -471,13 +473,18 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     pairs, single, kept = grow(docs, spark.sparkContext.broadcast(common), root)
     bits = bits_for(len(root))
     middle = (1 << 2 * bits) - 1
-    # the contexts behind frequent pairs are held by every worker; the others stay in their table, and grams are joined with it
-    cut = least_count(kept.select(F.col("freq").alias("n")), ENTRIES, 1)
-    near = kept.where(F.col("freq") >= cut).select("code", "next", "n").toArrow().sort_by([("code", "ascending"), ("next", "ascending")])
+    # the contexts behind some pairs are held by every worker, those that most places need for their size; the others stay in their table, and grams are joined with it
+    kept = kept.withColumn("pair", F.col("code").bitwiseAND(middle))
+    behind = kept.groupBy("pair").agg(F.count(F.lit(1)).alias("m"), F.first("freq").alias("freq")).toArrow()  # at most symbols^2 rows
+    pair, m, freq = (behind[c].to_numpy() for c in ("pair", "m", "freq"))
+    order = np.lexsort((pair, -freq / m))
+    held = order[np.cumsum(m[order]) <= ENTRIES]
+    far = np.delete(pair, held).view(np.uint64)
+    chosen = F.broadcast(spark.createDataFrame(pa.table({"pair": pair[held]})))  # at most ENTRIES pairs
+    near = kept.join(chosen, "pair", "left_semi").select("code", "next", "n").toArrow().sort_by([("code", "ascending"), ("next", "ascending")])
     tree = (root, pairs, single, *(zlib.compress(near[c].to_numpy().astype(np.int64).tobytes(), 1) for c in ("code", "next", "n")))
     del near
-    kept = kept.where(F.col("freq") < cut).select("code", "next", "n")
-    far = kept.select(F.col("code").bitwiseAND(middle).alias("pair")).distinct().toArrow()["pair"].to_numpy().view(np.uint64)  # at most symbols^2 rows
+    kept = kept.join(chosen, "pair", "left_anti").select("code", "next", "n")
     marks = marks_of(kept)
 
     # each token's base term and its share of its symbol
@@ -496,8 +503,7 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
         symbols, tree, away, index = _tools(shared)
         marks = shared.value[2][1]
         _, base_of, own_of, known_of = shared.value[3]
-        prefix = np.random.SeedSequence().entropy  # tells tasks apart; the rows are written before they are used
-        row = 0
+        row = TaskContext.get().partitionId() << 40  # the rows are written before they are used
         for batch in batches:
             buf_all, offs_all = buffers(text_array(batch.column("text")))
             for i, j in slices(offs_all):
@@ -538,7 +544,7 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
                 at = at[pick]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([f"{prefix:x}.{row + k}" for k in range(m)]),
+                        pa.array(range(row, row + m), pa.int64()),
                         batch.column("doc_id").slice(i, m),
                         batch.column("held_out").slice(i, m),
                         pa.array(np.diff(wo) + 1),
@@ -554,7 +560,7 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
                 )
                 row += m
 
-    rows = materialize(arrow_map(docs, step, "row string, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<string>, times array<long>, grams array<long>, gram_times array<long>"))
+    rows = materialize(arrow_map(docs, step, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<string>, times array<long>, grams array<long>, gram_times array<long>"))
     rare = (
         rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
         .select("row", "w.times", F.col("w.words").alias("word"))
@@ -565,8 +571,8 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     more = rare.select("row", "k2", "b2", "o2")
     if len(far):
         asked = rows.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.gram_times").alias("times"))
-        told = asked.join(_answers(asked.select("gram"), kept, shared, root, bits), "gram")
-        more = more.unionByName(told.groupBy("row").agg(F.lit(0).cast("long").alias("k2"), F.lit(0.0).alias("b2"), F.sum(F.col("times") * F.col("log")).alias("o2")))
+        told = _answers(asked, kept, shared, root, bits)
+        more = more.unionByName(told.groupBy("row").agg(F.lit(0).cast("long").alias("k2"), F.lit(0.0).alias("b2"), F.sum("log").alias("o2")))
         more = more.groupBy("row").agg(F.sum("k2").alias("k2"), F.sum("b2").alias("b2"), F.sum("o2").alias("o2"))
     zero = F.lit(0.0)
     return rows.drop("words", "times", "grams", "gram_times").join(more, "row", "left").select(
