@@ -1,5 +1,7 @@
 """Text, number and expression columns against plain Python."""
 
+import hashlib
+import random
 from fractions import Fraction
 from math import comb, gcd
 
@@ -114,7 +116,59 @@ def test_winnowing_guarantee():
     for at in (0, 7, 200):
         shared = noise(74)
         assert set(python_text.winnow(noise(at) + shared + noise(90))) & set(python_text.winnow(noise(33) + shared + noise(60)))
-    assert python_text.winnow("") == [] and len(python_text.winnow("short")) == 1
+    assert python_text.winnow("") == [] and python_text.winnow(" \n") == [] and len(python_text.winnow("short")) == 1
+
+
+def signed(digest):
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def test_winnowing_of_50_to_73_bytes_keeps_every_gram():
+    text = "".join(chr(97 + k * k % 23) for k in range(73))
+    for n in range(50, 74):
+        want = {signed(hashlib.blake2b(text[i : i + 50].encode(), digest_size=8).digest()) for i in range(n - 49)}
+        assert set(python_text.winnow(text[:n])) == want
+        assert set(python_text.winnow(text[:n], digest="md5")) == {signed(hashlib.md5(text[i : i + 50].encode()).digest()) for i in range(n - 49)}
+
+
+def test_winnowing_keeps_the_least_of_every_window():
+    r = random.Random(9)
+    text = "".join(r.choice("ab ä") for _ in range(300))
+    data = text.encode()
+    h = [int.from_bytes(hashlib.blake2b(data[i : i + 50], digest_size=8).digest(), "big") for i in range(len(data) - 49)]
+    want = {min(h[i : i + 25]) for i in range(len(h) - 24)}
+    assert {x % (1 << 64) for x in python_text.winnow(text)} == want
+
+
+PAGES = [
+    "<p>a&amp;b<script>x</script><br>c <b>d</b></p><div>e",
+    "<!doctype html><html><head><title>T</title><style>p{}</style></head><body><noscript>n</noscript><template>t</template></body></html>",
+    "<table><tr><td>1</td><td>2</td></tr></table><!-- gone <p>x</p> -->after",
+    "a < b and c > d &lt;p&gt; &nbsp;x&#233;",
+    "<SCRIPT src='a>b'>var x = '<p>';</SCRIPT >kept<script>open to the end",
+    "<a title='1 > 0' href=\"<br>\">link</a><img alt=it's>z",
+    "one<br/>two<hr>three\r\n\r\n\r\n\tfour  five",
+    "",
+]
+
+
+def test_pages(spark):
+    want = ["a&b\nc d\n\ne", "T\nnt", "1\n\n2\n\nafter", "a < b and c > d <p> \xa0xé", "kept", "linkz", "one\ntwo\nthree\n\nfour five", ""]
+    assert [python_text.html_text(x) for x in PAGES] == want
+    df = spark.createDataFrame(list(enumerate(PAGES)), "i int, html string")
+    assert [r.t for r in df.select("i", python_text.page_text("html").alias("t")).orderBy("i").collect()] == want
+
+
+def test_sentences():
+    s = python_text.sentences
+    assert s("One is here. two is not. Three is! \"Four?\" Five.") == ["One is here. two is not.", "Three is!", "\"Four?\"", "Five."]
+    assert s("Am 3. März 2026 war es. Am 3. Mai nicht.") == ["Am 3. März 2026 war es.", "Am 3.", "Mai nicht."]
+    assert s("今日は。明日は！\n\n- one item\n- two item\nrest of it") == ["今日は。", "明日は！", "- one item", "- two item rest of it"]
+    assert s("a b\n \nok. No.") == ["a b", "ok.", "No."]
+    long = "x" * 250 + ", " + "y" * 300
+    assert s(long) == ["x" * 250 + ",", "y" * 300]
+    assert [len(p) for p in s("z" * 900)] == [400, 400, 100] and s("w " * 300)[0] == ("w " * 200).strip()
+    assert s("ab") == [] and s("") == []
 
 
 def test_exact_statistics():

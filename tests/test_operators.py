@@ -21,11 +21,35 @@ def test_copies_by_surroundings(spark):
     assert got == {(2, 1, "exact"), (3, 1, "normalized"), (4, 1, "normalized")}
 
 
-@pytest.mark.parametrize("n,level", [(2, "pass"), (3, "fail"), (19, "fail"), (20, "fail")])
+def judged(spark, sides, aligned=True):
+    df = spark.createDataFrame(sides, "split string, text string")
+    return leakage.verdict(leakage.content_overlap(df), leakage.document_overlap(df), leakage.line_overlap(df), aligned).first()
+
+
+@pytest.mark.parametrize("n,level", [(2, "CLEAN"), (3, "CONTAMINATED"), (19, "CONTAMINATED"), (20, "CONTAMINATED")])
 def test_line_floor(spark, n, level):
-    lines = [f"line {i}" for i in range(n)]
-    df = spark.createDataFrame([("train", "\n".join(lines) + "\nmore"), ("val", "\n".join(lines))], "split string, text string")
-    assert leakage.verdict(leakage.document_overlap(df), leakage.line_overlap(df)).first()["verdict"] == level
+    lines = [f"line {i * 7919}" for i in range(n)]
+    got = judged(spark, [("train", "\n".join(lines) + "\nmore"), ("val", "\n".join(lines[::-1]))])
+    assert got.verdict == level and got.reason == ("line" if level != "CLEAN" else "")
+
+
+def test_line_arm_between_bars(spark):
+    sides = lambda n, shared: [("train", "\n".join(f"t{i * 7919}" for i in range(40))), ("val", "\n".join([f"t{i * 7919}" for i in range(shared)][::-1] + [f"v{i * 104729}" for i in range(n - shared)]))]
+    assert judged(spark, sides(20, 10)).verdict == "SUSPECT" and judged(spark, sides(19, 16)).verdict == "CLEAN"
+    assert judged(spark, [("train", "  a"), ("val", "a")]).line_share == 0.0  # lines count unchanged
+
+
+def test_content_arm_alone(spark):
+    passage = " ".join(f"word{i * 31 % 97}" for i in range(40))
+    sides = [("train", "an opening of its own, then " + passage + " and another end"), ("val", "elsewhere: " + passage + ", as they say")]
+    got = judged(spark, sides)
+    assert (got.document_share, got.line_share) == (0.0, 0.0) and got.content_share > 0.5 and (got.verdict, got.reason) == ("CONTAMINATED", "content")
+
+
+def test_document_arm_needs_whole_documents(spark):
+    sides = [("train", "short one"), ("train", "x"), ("val", "short one"), *[("val", f"other {k}") for k in range(20)]]
+    assert judged(spark, sides).verdict == "SUSPECT" and judged(spark, sides).reason == "document"
+    assert judged(spark, sides, aligned=False).verdict == "CLEAN"
 
 
 def test_membership_does_not_depend_on_other_rows(spark):

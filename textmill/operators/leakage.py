@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alnum_words, ngrams, split_lines_py, statement_key, strip_py
+from ..functions.arrays import gram_hashes
 
-#: A side with more protected n-grams than this is joined by a shuffle instead of a broadcast.
-BROADCAST_GRAMS = 2_000_000
+from ..functions.python_text import python_udf, winnow
+from ..functions.text import alnum_words, ngrams, split_lines_py, statement_key, strip_py
+from ..session import ship_code
 
 
 def gram_index(protected: DataFrame, n: int = 13, key: str = "item_id") -> DataFrame:
@@ -17,18 +22,67 @@ def gram_index(protected: DataFrame, n: int = 13, key: str = "item_id") -> DataF
     return grams.groupBy("gram").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
 
 
+#: Protected n-grams whose hashes every worker holds at most (8 bytes each); more are joined by a shuffle.
+HELD_GRAMS = 5_000_000
+
+
+def _rolling(words: DataFrame, n: int) -> Column:
+    """xxhash64 of every n words, from hashes of single words."""
+    return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n)))
+
+
+def _held_hits(docs: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
+    """doc_id, pos: places whose n words hash like a protected n-gram; one pass, nothing but hits leaves it."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    table = spark.sparkContext.broadcast(np.sort(hashes.select("h").toArrow()["h"].to_numpy()))  # at most HELD_GRAMS longs
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value
+        for batch in batches:
+            for i, j, place, h in gram_hashes(batch.column("text"), n):
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                hit = np.flatnonzero(known[at] == h) if len(known) else at[:0]
+                text, pos = place(hit)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(text)), pa.array(pos.astype(np.int32))], ["doc_id", "pos"])
+
+    return docs.select("doc_id", "text").mapInArrow(step, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int")
+
+
+def _hashed(index: DataFrame, n: int) -> DataFrame:
+    """index with h, hashed as texts are."""
+    ship_code(index.sparkSession)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(len(batch), np.int64)
+            for i, _, place, h in gram_hashes(batch.column("gram"), n):
+                text, _ = place(np.arange(len(h)))
+                out[i + text] = h
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("owners"), pa.array(out)], ["gram", "owners", "h"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
+    return index.mapInArrow(step, f"{fields}, h long")
+
+
 def first_matches(docs: DataFrame, protected: DataFrame, n: int = 13) -> DataFrame:
     """doc_id, pos, gram, owners: the first protected n-gram of every document that has one.
 
-    Positions are compared by a 64-bit hash of their words, so no text is built for them; the
+    Places are found by 64-bit hashes of their words, rolled over each text in whole batches; the
     few documents with a hit are then read again to compare the words themselves.
     """
-    index = gram_index(protected, n).withColumn("h", F.xxhash64(F.split("gram", " ")))
-    small = index.count() <= BROADCAST_GRAMS
-    words = docs.select("doc_id", alnum_words("text").alias("w")).where(F.size("w") >= n)
-    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n)))
-    hits = words.select("doc_id", F.posexplode(hashes).alias("pos", "h")).join(F.broadcast(index) if small else index, "h")
-    sure = words.join(hits, "doc_id").where(F.array_join(F.slice("w", F.col("pos") + 1, n), " ") == F.col("gram"))
+    index = _hashed(gram_index(protected, n), n)
+    if index.count() <= HELD_GRAMS:
+        hits = _held_hits(docs, index, n)
+        grams = F.broadcast(index.select("gram", "owners"))
+    else:
+        words = docs.select("doc_id", alnum_words("text").alias("w")).where(F.size("w") >= n)
+        plain = index.select(F.xxhash64(F.split("gram", " ")).alias("h"))
+        hits = words.select("doc_id", F.posexplode(_rolling(words, n)).alias("pos", "h")).join(plain, "h", "left_semi").select("doc_id", "pos")
+        grams = index.select("gram", "owners")
+    texts = docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", alnum_words("text").alias("w"))
+    said = texts.join(hits, "doc_id").select("doc_id", "pos", F.array_join(F.slice("w", F.col("pos") + 1, n), " ").alias("gram"))
+    sure = said.join(grams, "gram")
     return sure.groupBy("doc_id").agg(F.min_by(F.struct("pos", "gram", "owners"), "pos").alias("m")).select("doc_id", F.col("m.pos").alias("pos"), F.col("m.gram").alias("gram"), F.col("m.owners").alias("owners"))
 
 
@@ -44,27 +98,42 @@ def document_overlap(rows: DataFrame) -> DataFrame:
 
 
 def line_overlap(rows: DataFrame) -> DataFrame:
-    """One row: non-blank validation lines, and how many occur in training (stripped, with multiplicity)."""
-    lines = rows.select("split", F.explode(split_lines_py("text")).alias("l")).select("split", strip_py("l").alias("l")).where("l <> ''")
-    counts = lines.groupBy("l").agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "val").alias("v"))
+    """One row: validation lines that are not blank, and how many are lines of training (unchanged, with multiplicity)."""
+    lines = rows.select("split", F.explode(split_lines_py("text")).alias("l"))
+    counts = lines.groupBy("l").agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "val").alias("v")).where(strip_py("l") != "")
     return counts.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("lines"), F.coalesce(F.sum(F.when(F.col("t") > 0, F.col("v"))), F.lit(0)).alias("shared"))
 
 
-def verdict(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row with the worst of the document and line verdicts.
+def content_overlap(rows: DataFrame, digest: str = "blake2b") -> DataFrame:
+    """One row: distinct winnowing fingerprints of the validation side, and those of them that training has."""
+    ship_code(rows.sparkSession)
+    prints = rows.select("split", F.explode(python_udf(lambda text: winnow(text, digest=digest), "array<bigint>")("text")).alias("h"))
+    sides = prints.groupBy("h").agg(F.bool_or(F.col("split") == "val").alias("v"), F.bool_or(F.col("split") == "train").alias("t"))
+    return sides.agg(F.count_if("v").alias("fingerprints"), F.count_if(F.col("v") & F.col("t")).alias("shared"))
+
+
+#: The shares from which an arm is contaminated or suspect, and the lines that the line arm needs
+#: (fewer, if it is decisive).
+BARS = {"content": (0.20, 0.05), "document": (0.10, 0.01), "line": (0.90, 0.50)}
+LINES, DECISIVE_LINES = 20, 3
+CALLS = ("CLEAN", "SUSPECT", "CONTAMINATED")
+
+
+def verdict(content: DataFrame, documents: DataFrame, lines: DataFrame, aligned: bool = True) -> DataFrame:
+    """One row: the three shares, the worst call of the arms that are read, and these arms' names as the reason.
 
-    Fixed values: documents warn at .01 and fail at .10; lines warn at .50 and fail at .90,
-    and count only from 20 lines on (from 3 on if at least .90 are shared).
+    aligned: whether the split kept documents whole; else the document arm is not read. The line arm is
+    read from LINES lines on, or from DECISIVE_LINES on if it is contaminated.
     """
-    d = documents.select(F.col("documents").alias("n_docs"), (F.col("shared") / F.col("documents")).alias("doc_share"))
-    l = lines.select(F.col("lines").alias("n_lines"), (F.col("shared") / F.col("lines")).alias("line_share"))
-    doc_level = F.when(F.col("doc_share") >= 0.10, 2).when(F.col("doc_share") >= 0.01, 1).otherwise(0)
-    counts = (F.col("n_lines") >= 20) | ((F.col("n_lines") >= 3) & (F.col("line_share") >= 0.90))
-    line_level = F.when(~counts, 0).when(F.col("line_share") >= 0.90, 2).when(F.col("line_share") >= 0.50, 1).otherwise(0)
-    level = F.greatest(doc_level, line_level)
-    return d.crossJoin(l).select(
-        F.round("doc_share", 6).alias("doc_share"), F.round("line_share", 6).alias("line_share"), F.when(level == 2, "fail").when(level == 1, "warn").otherwise("pass").alias("verdict")
-    )
+    share = lambda df, n, out: df.select((F.col("shared") / F.greatest(n, F.lit(1))).alias(out), F.col(n).alias(f"{out}_of"))
+    row = share(content, "fingerprints", "content").crossJoin(share(documents, "documents", "document")).crossJoin(share(lines, "lines", "line"))
+    call = {arm: F.when(F.col(arm) >= high, 2).when(F.col(arm) >= low, 1).otherwise(0) for arm, (high, low) in BARS.items()}
+    n = F.col("line_of")
+    read = {"content": F.lit(True), "document": F.lit(aligned), "line": (n >= LINES) | (n >= DECISIVE_LINES) & (F.col("line") >= BARS["line"][0])}
+    heard = {arm: F.when(read[arm], call[arm]).otherwise(0) for arm in BARS}
+    worst = F.greatest(*heard.values())
+    names = F.array_compact(F.array(*[F.when((heard[arm] == worst) & (worst > 0), arm) for arm in BARS]))
+    return row.select(*[F.round(arm, 6).alias(f"{arm}_share") for arm in BARS], F.get(F.array(*map(F.lit, CALLS)), worst).alias("verdict"), F.array_join(names, ",").alias("reason"))
 
 
 def statement_contamination(docs: DataFrame, protected: DataFrame, least: int = 24) -> DataFrame:

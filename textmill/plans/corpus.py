@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import fold, sample_order, sha256
 from ..functions.text import alnum_words, ngrams, spdx_ids
-from ..operators import dedup, leakage, rows
+from ..operators import chars, dedup, leakage, rows
 from .registry import Tables, query
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -149,9 +149,8 @@ def split_overlap_docs(t: Tables):
     return leakage.document_overlap(leakage.split_rows(dedup.hash_split(t.documents), t.documents))
 
 
-LINES = rf"""s AS {SPLIT}, l AS (SELECT split, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c]')) AS l FROM documents JOIN s USING (doc_id)),
-lines AS (SELECT split, regexp_replace(l, '^\s+|\s+$', '', 'g') AS l FROM l)"""
-LINE_COUNTS = "SELECT count(*) AS lines, count(*) FILTER (l IN (SELECT l FROM lines WHERE split = 'train')) AS shared FROM lines WHERE split = 'val' AND l <> ''"
+LINES = rf"""s AS {SPLIT}, lines AS (SELECT split, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c]')) AS l FROM documents JOIN s USING (doc_id))"""
+LINE_COUNTS = r"SELECT count(*) AS lines, count(*) FILTER (l IN (SELECT l FROM lines WHERE split = 'train')) AS shared FROM lines WHERE split = 'val' AND NOT regexp_full_match(l, '\s*')"
 
 
 @query(f"WITH {LINES} {LINE_COUNTS}")
@@ -159,22 +158,33 @@ def split_overlap_lines(t: Tables):
     return leakage.line_overlap(leakage.split_rows(dedup.hash_split(t.documents), t.documents))
 
 
+# md5 instead of blake2b, which SQL doesn't have; grams are byte ranges, here of the hexadecimal text
+PRINTS = """b AS (SELECT doc_id, split, hex(encode(text)) AS x, length(text) AS n, strlen(text) AS m FROM documents JOIN s USING (doc_id)),
+h AS (SELECT doc_id, split, i, substr(md5(unhex(substr(x, CAST(2 * i + 1 AS BIGINT), 100))), 1, 16) AS h, m - 49 AS grams FROM b, LATERAL (SELECT unnest(range(0, m - 49)) AS i) WHERE n >= 50),
+w AS (SELECT split, i, grams, min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS least, h FROM h),
+prints AS (SELECT DISTINCT split, least AS h FROM w WHERE grams >= 25 AND i <= grams - 25 UNION SELECT split, h FROM w WHERE grams < 25
+ UNION SELECT split, substr(md5(unhex(x)), 1, 16) FROM b JOIN documents d USING (doc_id) WHERE n < 50 AND NOT regexp_full_match(d.text, '\\s*')),
+p AS (SELECT count(*) AS n, count(*) FILTER (h IN (SELECT h FROM prints WHERE split = 'train')) AS h FROM prints WHERE split = 'val')"""
+
+
 @query(
-    f"""WITH {LINES}, c AS ({LINE_COUNTS}), x AS (SELECT split, {STRIP} AS x FROM documents JOIN s USING (doc_id)),
+    f"""WITH {LINES}, c AS ({LINE_COUNTS}), {PRINTS}, x AS (SELECT split, {STRIP} AS x FROM documents JOIN s USING (doc_id)),
 d AS (SELECT count(*) AS n, count(*) FILTER (x IN (SELECT x FROM x WHERE split = 'train')) AS h FROM x WHERE split = 'val'),
-v AS (SELECT h / n AS ds, shared / lines AS ls, lines FROM c, d),
-w AS (SELECT ds, ls, greatest(CASE WHEN ds >= .1 THEN 2 WHEN ds >= .01 THEN 1 ELSE 0 END,
-  CASE WHEN NOT (lines >= 20 OR (lines >= 3 AND ls >= .9)) THEN 0 WHEN ls >= .9 THEN 2 WHEN ls >= .5 THEN 1 ELSE 0 END) AS level FROM v)
-SELECT round(ds, 6) AS doc_share, round(ls, 6) AS line_share, CASE level WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS verdict FROM w"""
+v AS (SELECT p.h / greatest(p.n, 1) AS cs, d.h / greatest(d.n, 1) AS ds, shared / greatest(lines, 1) AS ls, lines FROM p, c, d),
+a AS (SELECT *, CASE WHEN cs >= .2 THEN 2 WHEN cs >= .05 THEN 1 ELSE 0 END AS ca, CASE WHEN ds >= .1 THEN 2 WHEN ds >= .01 THEN 1 ELSE 0 END AS da,
+  CASE WHEN NOT (lines >= 20 OR (lines >= 3 AND ls >= .9)) THEN 0 WHEN ls >= .9 THEN 2 WHEN ls >= .5 THEN 1 ELSE 0 END AS la FROM v),
+z AS (SELECT *, greatest(ca, da, la) AS level FROM a)
+SELECT round(cs, 6) AS content_share, round(ds, 6) AS document_share, round(ls, 6) AS line_share, CASE level WHEN 2 THEN 'CONTAMINATED' WHEN 1 THEN 'SUSPECT' ELSE 'CLEAN' END AS verdict,
+array_to_string(list_filter([CASE WHEN ca = level AND level > 0 THEN 'content' END, CASE WHEN da = level AND level > 0 THEN 'document' END, CASE WHEN la = level AND level > 0 THEN 'line' END], lambda x: x IS NOT NULL), ',') AS reason FROM z"""
 )
 def leakage_verdict(t: Tables):
     r = leakage.split_rows(dedup.hash_split(t.documents), t.documents)
-    return leakage.verdict(leakage.document_overlap(r), leakage.line_overlap(r))
+    return leakage.verdict(leakage.content_overlap(r, "md5"), leakage.document_overlap(r), leakage.line_overlap(r))
 
 
 @query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch")
 def vocab_report(t: Tables):
-    return t.documents.select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return chars.counts(t.documents, "text")
 
 
 CHARS = "c AS (SELECT doc_id, string_split(text, '') AS s FROM documents)"
@@ -196,13 +206,10 @@ v AS (SELECT count(DISTINCT substr(g, 3, 1)) AS v FROM n)
 SELECT round(-sum(n * ln((n + 1) / (m + v))) / sum(n) / ln(2), 6) AS bits FROM n JOIN p ON substr(g, 1, 2) = p, v"""
 )
 def char_entropy_trigram(t: Tables):
-    chars = t.documents.where(F.char_length("text") > 2).select(F.filter(F.split("text", ""), lambda x: x != "").alias("c"))
-    # by place in an array: a substring of a UTF-8 text would be sought from its beginning each time
-    grams = chars.select(F.explode(F.transform(F.slice("c", F.lit(1), F.size("c") - 2), lambda x, i: F.concat(x, F.get("c", i + 1), F.get("c", i + 2)))).alias("g"))
-    n = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    ctx = n.groupBy(F.substring("g", 1, 2).alias("p")).agg(F.sum("n").alias("m"))
-    v = n.agg(F.countDistinct(F.substring("g", 3, 1)).alias("v"))
-    rows_ = n.withColumn("p", F.substring("g", 1, 2)).join(ctx, "p").crossJoin(F.broadcast(v))
+    n = chars.trigram_counts(t.documents, "text")  # a, b, c, n: counted by tasks, then summed
+    ctx = n.groupBy("a", "b").agg(F.sum("n").alias("m"))
+    v = n.agg(F.countDistinct("c").alias("v"))
+    rows_ = n.join(ctx, ["a", "b"]).crossJoin(F.broadcast(v))
     return rows_.agg(F.round(-F.sum(F.col("n") * F.ln((F.col("n") + 1) / (F.col("m") + F.col("v")))) / F.sum("n") / F.ln(F.lit(2.0)), 6).alias("bits"))
 
 

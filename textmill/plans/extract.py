@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import python_text as p
-from ..operators import dedup
+from ..operators import dedup, leakage
 from ..session import ship_code
 from .registry import Tables, query
 
@@ -13,18 +13,13 @@ from .registry import Tables, query
 @query()
 def html_to_text(t: Tables):
     ship_code(t.spark)
-    text = p.python_udf(p.html_text, "string")("html")
-    return t.pages.select("page_id", text.alias("text"))
+    return t.pages.select("page_id", p.page_text("html").alias("text"))
 
 
 @query()
 def winnow_fingerprint_overlap(t: Tables):
-    """val_prints, shared: fingerprints of the validation side, and those the training side has too."""
-    ship_code(t.spark)
-    rows = t.documents.select("doc_id", "text").join(dedup.hash_split(t.documents), "doc_id")
-    prints = rows.select("split", F.explode(p.python_udf(p.winnow, "array<string>")("text")).alias("h"))
-    sides = prints.groupBy("h").agg(F.bool_or(F.col("split") == "val").alias("v"), F.bool_or(F.col("split") == "train").alias("t"))
-    return sides.agg(F.count_if("v").alias("val_prints"), F.count_if(F.col("v") & F.col("t")).alias("shared"))
+    """fingerprints, shared: those of the validation side, and those of them that the training side has too."""
+    return leakage.content_overlap(leakage.split_rows(dedup.hash_split(t.documents), t.documents))
 
 
 @query()
