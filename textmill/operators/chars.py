@@ -61,3 +61,21 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     mask = (1 << 21) - 1
     part = lambda bits: F.shiftright("key", bits).bitwiseAND(mask).cast("int")
     return _counted(docs, text, keys).select(part(42).alias("a"), part(21).alias("b"), part(0).alias("c"), "n")
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row, vocab: character -> id, its rank by code point (as many entries as distinct characters)."""
+    chars = counts(docs, text).agg(F.array_sort(F.collect_list(F.struct(F.conv(F.hex(F.encode("ch", "UTF-32")), 16, 10).cast("int").alias("o"), "ch"))).alias("v"))
+    return chars.select(F.map_from_entries(F.transform("v", lambda x, i: F.struct(x["ch"], i))).alias("vocab"))
+
+
+def codes(docs: DataFrame, vocab: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, ids: texts by a vocabulary; characters that it lacks are left out."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return docs.crossJoin(F.broadcast(vocab)).select(key, F.array_compact(F.transform(chars, lambda c: F.try_element_at("vocab", c))).alias("ids"))
+
+
+def decoded(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """key, text from ids."""
+    back = F.map_from_entries(F.transform(F.map_entries("vocab"), lambda e: F.struct(e["value"], e["key"])))
+    return rows.crossJoin(F.broadcast(vocab.select(back.alias("back")))).select(key, F.array_join(F.transform("ids", lambda i: F.try_element_at("back", i)), "").alias("text"))

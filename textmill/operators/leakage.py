@@ -14,6 +14,7 @@ from ..functions.arrays import gram_hashes
 from ..functions.python_text import python_udf, winnow
 from ..functions.text import alnum_words, ngrams, split_lines_py, statement_key, strip_py
 from ..session import ship_code
+from .rows import cap_per_group
 
 
 def gram_index(protected: DataFrame, n: int = 13, key: str = "item_id") -> DataFrame:
@@ -149,3 +150,8 @@ def containing(docs: DataFrame, needles: DataFrame, text: str = "needle") -> Dat
     if n > 10_000:
         raise ValueError(f"{n} needles; use first_matches for large sets")
     return docs.select("doc_id", "text").join(F.broadcast(needles), F.col("text").contains(F.col(text))).select("doc_id", text)
+
+
+def examples(hits: DataFrame, by: str, order: str, most: int = 25, chars: int = 280) -> DataFrame:
+    """The first `most` hits of each file, with the beginning of the text, for a reader; ids of hits are not capped elsewhere."""
+    return cap_per_group(hits, [by], [F.col(order)], most).withColumn("snippet", F.substring("text", 1, chars)).drop("text")

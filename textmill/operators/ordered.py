@@ -1,4 +1,4 @@
-"""Global orders without a single task: running sums and ranks by ranges of the order."""
+"""Global orders without a single task: running sums, ranks and medians by ranges of the order; broadcasts by count."""
 
 from __future__ import annotations
 
@@ -10,6 +10,15 @@ from pyspark.sql.window import Window
 RANGES = 200
 
 
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if it has at most `rows` rows (they are counted); else joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ranged(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
     """df with _range: the place of a numeric column among its approximate quantiles (a sketch of bounded size)."""
     cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.002)))
@@ -30,3 +39,13 @@ def sum_before(df: DataFrame, order: str, value: Column, then: list[str] | None
     w = Window.partitionBy("_range").orderBy(order, *(then or []))
     inside = F.sum("_value").over(w.rowsBetween(Window.unboundedPreceding, -1)) if then else F.sum("_value").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("_value").over(Window.partitionBy("_range", order))
     return rows.join(F.broadcast(base), "_range").withColumn(out, F.col("_base") + F.coalesce(inside, F.lit(0))).drop("_range", "_value", "_base")
+
+
+def median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
+    """One row: the exact median, from the counts of distinct values; no task sees all rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    total = F.broadcast(counts.agg(F.sum("_n").alias("_total")))
+    runs = sum_before(counts, value, F.col("_n")).crossJoin(total)
+    lower, upper = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("_n"))
+    return runs.agg(((F.max(F.when(holds(lower), F.col(value))) + F.max(F.when(holds(upper), F.col(value)))) / 2).alias(out))
