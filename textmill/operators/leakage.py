@@ -144,12 +144,19 @@ def statement_contamination(docs: DataFrame, protected: DataFrame, least: int =
     return a.join(b, "k").select("doc_id", "item_id")
 
 
+#: Needles that one pass over the texts looks for.
+NEEDLES = 5_000
+
+
 def containing(docs: DataFrame, needles: DataFrame, text: str = "needle") -> DataFrame:
-    """doc_id and needle of plain substring matches; needles are a small, counted list."""
-    n = needles.count()
-    if n > 10_000:
-        raise ValueError(f"{n} needles; use first_matches for large sets")
-    return docs.select("doc_id", "text").join(F.broadcast(needles), F.col("text").contains(F.col(text))).select("doc_id", text)
+    """doc_id and the needles' columns of plain substring matches; a stated list, in blocks of about NEEDLES."""
+    blocks = -(-needles.count() // NEEDLES)
+    out = None
+    for k in range(max(blocks, 1)):
+        block = needles.where(F.pmod(F.xxhash64(text), F.lit(max(blocks, 1))) == k)
+        found = docs.select("doc_id", "text").join(F.broadcast(block), F.col("text").contains(F.col(text))).select("doc_id", *needles.columns)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def examples(hits: DataFrame, by: str, order: str, most: int = 25, chars: int = 280) -> DataFrame:

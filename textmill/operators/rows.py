@@ -27,13 +27,19 @@ def round_robin(df: DataFrame, kind: str, order: list[Column], n: int) -> DataFr
     return df.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n).orderBy("turn", kind).limit(n)
 
 
-def tiered(df: DataFrame, group: list[str], tier: str, order: list[Column], caps: dict[str, int], total: int) -> DataFrame:
-    """At most caps[tier] rows of each tier and `total` of each group, earlier tiers first."""
+def tiered(df: DataFrame, group: list[str], tier: str, order: list[Column], caps: dict[str, int], total: int, reserve: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """At most caps[tier] rows of each tier and `total` of each group, earlier tiers first.
+
+    reserve: tier -> (other tier, n): a tier that opens only in groups with fewer than n rows of the other.
+    """
     names = list(caps)
     place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col(tier))
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col(tier))
     within = Window.partitionBy(*group, tier).orderBy(*order)
     rows = df.where(F.col(tier).isin(names)).withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= limit).withColumn("_p", place)
+    for closed, (other, n) in (reserve or {}).items():
+        held = F.count_if(F.col(tier) == other).over(Window.partitionBy(*group))
+        rows = rows.withColumn("_held", held).where((F.col(tier) != closed) | (F.col("_held") < n)).drop("_held")
     over = Window.partitionBy(*group).orderBy("_p", *order)
     return rows.withColumn("place", F.row_number().over(over)).where(F.col("place") <= total).drop("_r", "_p")
 

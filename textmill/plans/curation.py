@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import alnum_words, word_tokens
 from ..operators import dedup
+from ..operators.ordered import small, sum_before
 from .registry import Tables, query
 
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -21,7 +22,7 @@ def text_norms(t: Tables):
 
 @query(
     """WITH p AS (SELECT a.conv_id, a.turn, a.text AS claim, b.text AS source FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, contains(regexp_replace(source, '\\s+', ' ', 'g'), regexp_replace(left(claim, 20), '\\s+', ' ', 'g')) AS quoted,
+SELECT conv_id, turn, trim(regexp_replace(claim, '\\s+', ' ', 'g')) <> '' AND contains(regexp_replace(source, '\\s+', ' ', 'g'), trim(regexp_replace(claim, '\\s+', ' ', 'g'))) AS quoted,
 len(list_filter(list_distinct(regexp_extract_all(lower(claim), '[a-z0-9]+')), lambda w: NOT list_contains(regexp_extract_all(lower(source), '[a-z0-9]+'), w))) AS unsupported FROM p"""
 )
 def quote_check(t: Tables):
@@ -68,9 +69,12 @@ def repeated_targets(t: Tables):
 
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size / 50.0 END, 1.0), -p_retailprice, p_partkey) AS INTEGER) AS place FROM part")
 def weakest_first(t: Tables):
-    """A ranked report over a dimension table: a missing strength counts as full."""
-    w = Window.orderBy(F.coalesce(F.when(F.col("p_size") % 5 != 0, F.col("p_size") / 50.0), F.lit(1.0)), -F.col("p_retailprice"), "p_partkey")
-    return t.part.select("p_partkey", F.row_number().over(w).alias("place"))
+    """A missing strength counts as full; ranges of strength and price are ranked by themselves."""
+    strength = F.coalesce(F.when(F.col("p_size") % 5 != 0, F.col("p_size") / 50.0), F.lit(1.0))
+    rows = t.part.select("p_partkey", strength.alias("strength"), (-F.col("p_retailprice")).alias("price"))
+    # a number in the same order as (strength, price): prices differ by less than the least step of strength times 1e7
+    rows = rows.withColumn("order", F.col("strength") * 1e7 + F.col("price"))
+    return sum_before(rows, "order", F.lit(1), ["strength", "price", "p_partkey"]).select("p_partkey", (F.col("before") + 1).cast("int").alias("place"))
 
 
 @query(
@@ -117,26 +121,35 @@ TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+'))"
 
 
 @query(
-    f"""WITH q AS (SELECT item_id, {TOK.format('text')} AS q FROM benchmark), d AS (SELECT doc_id, {TOK.format('left(text, 80)')} AS title, {TOK.format('substr(text, 81, 400)')} AS snippet FROM documents),
+    f"""WITH q AS (SELECT item_id, {TOK.format('text')} AS q FROM benchmark), d AS (SELECT doc_id, {TOK.format("split_part(text, chr(10), 1)")} AS title, {TOK.format("substr(text, length(split_part(text, chr(10), 1)) + 1)")} AS snippet FROM documents),
 s AS (SELECT item_id, doc_id, 3 * len(list_intersect(q, title)) + len(list_intersect(q, snippet)) AS score FROM q, d)
 SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0) WHERE k <= 10"""
 )
 def fixture_search(t: Tables):
-    """3 x title overlap + snippet overlap, through the shared terms alone."""
+    """3 x title overlap + snippet overlap, through the shared terms alone; the first line is the title, all the rest the snippet."""
     q = t.benchmark.select("item_id", F.explode(F.array_distinct(word_tokens("text"))).alias("w"))
-    cut = t.documents.select("doc_id", F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 400).alias("snippet"))
-    words = cut.select("doc_id", F.explode(F.array_distinct(word_tokens("title"))).alias("w"), F.lit(3).alias("p")).unionByName(cut.select("doc_id", F.explode(F.array_distinct(word_tokens("snippet"))).alias("w"), F.lit(1).alias("p")))
-    s = words.join(F.broadcast(q), "w").groupBy("item_id", "doc_id").agg(F.sum("p").alias("score"))
+    first = F.substring_index("text", "\n", 1)
+    cut = t.documents.select("doc_id", first.alias("title"), F.substring(F.col("text"), F.char_length(first) + 1, F.char_length("text")).alias("snippet"))
+    part = lambda c, p: F.transform(F.array_distinct(word_tokens(c)), lambda w: F.struct(w.alias("w"), F.lit(p).alias("p")))
+    words = cut.select("doc_id", F.explode(F.concat(part("title", 3), part("snippet", 1))).alias("x")).select("doc_id", "x.w", "x.p")
+    s = words.join(small(q), "w").groupBy("item_id", "doc_id").agg(F.sum("p").alias("score"))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
 
 
 @query(
-    """SELECT doc_id, contains(lower(text), 'idiot') OR contains(lower(text), 'stupid') AS answered, contains(lower(text), 'cannot') OR contains(lower(text), 'unknown') AS refused FROM documents"""
+    """WITH p AS (SELECT a.conv_id, a.turn, lower(b.text) AS reply, regexp_extract_all(lower(a.text), '[a-z0-9]+') AS w FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+l AS (SELECT conv_id, turn, reply, list_transform([w[1:2], w[3:3], w[4:6]], lambda alts: len(list_filter(alts, lambda x: contains(reply, x))) > 0) AS labels FROM p)
+SELECT conv_id, turn, array_to_string(list_transform(labels, lambda x: CAST(x AS INTEGER)), ',') AS labels, list_bool_and(labels) AND NOT contains(reply, 'insufficient information') AS "right", contains(reply, 'insufficient information') AS rejected FROM l"""
 )
 def answer_containment(t: Tables):
-    has = lambda *xs: F.exists(F.array(*[F.lit(x) for x in xs]), lambda x: F.contains(F.lower("text"), x))
-    return t.documents.select("doc_id", has("idiot", "stupid").alias("answered"), has("cannot", "unknown").alias("refused"))
+    """A label for each part of an answer (any of its alternatives is in the reply): right if all are and the reply does not refuse."""
+    c = t.conversations
+    p = c.select("conv_id", "turn", alnum_words("text").alias("w")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("reply")), ["conv_id", "turn"])
+    parts = F.array(F.slice("w", 1, 2), F.slice("w", 3, 1), F.slice("w", 4, 3))
+    labels = F.transform(parts, lambda alts: F.exists(alts, lambda x: F.contains("reply", x)))
+    refused = F.contains("reply", F.lit("insufficient information"))
+    return p.select("conv_id", "turn", F.array_join(F.transform(labels, lambda x: x.cast("int").cast("string")), ",").alias("labels"), (F.forall(labels, lambda x: x) & ~refused).alias("right"), refused.alias("rejected"))
 
 
 DIGITS = "list_sum(list_transform(string_split(sha256(CAST(doc_id AS VARCHAR)), ''), lambda c: strpos('0123456789abcdef', c) - 1))"
@@ -185,8 +198,6 @@ def prefix_lines(t: Tables):
 SELECT doc_id, CASE WHEN before < 0.9 * total THEN 'train' ELSE 'val' END AS split FROM c"""
 )
 def positional_split(t: Tables):
-    from ..operators.ordered import sum_before
-
     d = t.documents.select("doc_id", "n_chars")
     total = F.broadcast(d.agg(F.sum("n_chars").alias("total")))
     return sum_before(d, "doc_id", F.col("n_chars"), ["doc_id"]).crossJoin(total).select("doc_id", F.when(F.col("before") < 0.9 * F.col("total"), "train").otherwise("val").alias("split"))

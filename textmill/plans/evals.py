@@ -8,6 +8,7 @@ from ..functions.numbers import pass_at_k as passed
 from ..functions.numbers import safe_ratio, wilson
 from ..functions.text import alnum_words
 from ..operators import evals as e
+from ..operators.ordered import median
 from .registry import Tables, query
 
 STAGES = {"long_enough": "n_chars >= 300", "known_language": "lang IN ('en', 'de', 'fr')", "labelled": "quality IS NOT NULL", "good": "quality = 1", "clean": "toxic = 0"}
@@ -39,7 +40,7 @@ VERDICT = "CASE WHEN value >= (SELECT median(value) FROM events) THEN 'verified'
 SELECT a.event_type AS judge_a, b.event_type AS judge_b, count(*) AS n FROM c a JOIN c b ON a.user_id = b.user_id WHERE a.v = 'verified' AND b.v = 'refuted' GROUP BY 1, 2"""
 )
 def contradiction_scan(t: Tables):
-    mid = t.events.agg(F.median("value").alias("mid"))
+    mid = median(t.events, "value", "mid")
     cells = t.events.crossJoin(F.broadcast(mid)).select("user_id", "event_type", F.when(F.col("value") >= F.col("mid"), "verified").otherwise("refuted").alias("v"))
     return e.contradictions(cells, ["user_id"], "event_type", "v")
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
 from ..functions.text import word_tokens
+from ..operators import leakage
 from ..operators import retrieval as r
+from ..operators.ordered import small
 from .registry import Tables, query
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
@@ -32,7 +34,7 @@ def bm25_topk(t: Tables):
 @query(f"WITH {bm25_sql('ln(1 + (n - df + 0.5) / (df + 0.5))', 1.2)} SELECT item_id, doc_id, coalesce(score, 0) AS score FROM (SELECT item_id, doc_id FROM benchmark, documents) LEFT JOIN sc USING (item_id, doc_id)")
 def bm25_memory_scores(t: Tables):
     scores = r.bm25(t.documents, t.benchmark, "doc_id", "item_id", "memory")
-    everything = t.documents.select("doc_id").crossJoin(F.broadcast(t.benchmark.select("item_id")))  # the stated queries against all documents
+    everything = t.documents.select("doc_id").crossJoin(small(t.benchmark.select("item_id")))  # the stated queries against all documents
     return everything.join(scores, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
 
 
@@ -49,7 +51,7 @@ oranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY scor
 def _overlap(t: Tables, k: int):
     d = t.documents.select("doc_id", F.explode(F.array_distinct(word_tokens("text"))).alias("term"))
     q = t.benchmark.select("item_id", F.explode(F.array_distinct(word_tokens("text"))).alias("term"))
-    return r.top_k(d.join(F.broadcast(q), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), "item_id", "doc_id", k)
+    return r.top_k(d.join(small(q), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), "item_id", "doc_id", k)
 
 
 @query(f"WITH {OVERLAP} SELECT item_id, doc_id, score, rank FROM oranked WHERE rank <= 10")
@@ -74,8 +76,7 @@ SELECT count(*) AS queries, CAST(sum(hit) AS BIGINT) AS found, round(avg(hit), 6
 )
 def recall_at_k(t: Tables):
     ranked = r.top_k(r.bm25(t.documents, t.benchmark, "doc_id", "item_id"), "item_id", "doc_id", 10)
-    needles = F.broadcast(t.benchmark.select("item_id", F.col("text").alias("needle")))
-    truth = t.documents.join(needles, F.col("text").contains(F.col("needle"))).select("item_id", "doc_id")
+    truth = leakage.containing(t.documents, t.benchmark.select("item_id", F.col("text").alias("needle"))).select("item_id", "doc_id")
     return r.recall(ranked, truth, "item_id", "doc_id")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import logs
 from ..operators import rows as r
+from ..operators.ordered import sum_before
 from .registry import Tables, query
 
 
@@ -40,6 +41,18 @@ def tiered_caps(t: Tables):
     return r.tiered(rows, ["source"], "tier", [F.col("doc_id")], {"good": 4, "mixed": 2, "poor": 1}, 5)
 
 
+@query(
+    """WITH x AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'twin' WHEN 'click' THEN 'failed' WHEN 'error' THEN 'unparsed' END AS tier FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, tier ORDER BY event_id) AS a FROM x WHERE tier IS NOT NULL AND event_id % 97 < 9), c AS (SELECT *, count(*) FILTER (tier = 'failed') OVER (PARTITION BY user_id) AS b FROM k WHERE a <= CASE tier WHEN 'unparsed' THEN 1 ELSE 2 END)
+SELECT user_id, event_id, tier, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE tier WHEN 'twin' THEN 1 WHEN 'failed' THEN 2 ELSE 3 END, event_id) AS INTEGER) AS place FROM c WHERE tier <> 'unparsed' OR b < 2) WHERE place <= 4"""
+)
+def negatives_by_tier(t: Tables):
+    """A problem's negatives: twins, then failed samples; samples that did not parse only where fewer than two failed."""
+    tier = F.when(F.col("event_type") == "purchase", "twin").when(F.col("event_type") == "click", "failed").when(F.col("event_type") == "error", "unparsed")
+    rows = t.events.where("event_id % 97 < 9").select("user_id", "event_id", tier.alias("tier"))
+    return r.tiered(rows, ["user_id"], "tier", [F.col("event_id")], {"twin": 2, "failed": 2, "unparsed": 1}, 4, {"unparsed": ("failed", 2)}).select("user_id", "event_id", "tier", "place")
+
+
 @query("SELECT user_id, arg_max(event_id, value * 1000000 - event_id / 1e6) AS event_id, max(value) AS value FROM events GROUP BY user_id")
 def best_per_group(t: Tables):
     best = F.min(F.struct((-F.col("value")).alias("m"), "event_id")).alias("b")
@@ -118,12 +131,6 @@ def chars_per_token(t: Tables):
 
 @query("SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 200000")
 def prefix_by_budget(t: Tables):
-    """Documents in id order until a budget is reached: range sums first, so no task sees all rows."""
-    from pyspark.sql.window import Window
-
-    d = t.documents.select("doc_id", "n_chars").withColumn("b", F.floor(F.col("doc_id") / 1000))
-    sums = d.groupBy("b").agg(F.sum("n_chars").alias("m"))
-    base = sums.select("b", F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    near = d.join(base.where("base < 200000"), "b")
-    w = Window.partitionBy("b").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return near.withColumn("before", F.col("base") + F.coalesce(F.sum("n_chars").over(w), F.lit(0))).where("before < 200000").select("doc_id", "n_chars")
+    """Documents in id order until a budget is reached."""
+    d = t.documents.select("doc_id", "n_chars")
+    return sum_before(d, "doc_id", F.col("n_chars"), ["doc_id"]).where("before < 200000").select("doc_id", "n_chars")

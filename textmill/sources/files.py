@@ -137,3 +137,45 @@ def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     both = manifest.join(have, "name", "full_outer")
     status = F.when(F.col("got").isNull(), "missing").when(F.col("sha256").isNull(), "extra").when(F.col("size") != F.col("got_size"), "size").when(F.col("sha256") != F.col("got"), "digest").otherwise("ok")
     return both.select("name", status.alias("status"))
+
+
+def key_text(spark: SparkSession, path: str) -> DataFrame:
+    """key, text of lines 'key text …'; a line of one word has an empty text."""
+    parts = F.split(F.trim("value"), r"\s+", 2)
+    return spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, F.lit(0)).alias("key"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("text"))
+
+
+def git_stage(spark: SparkSession, path: str) -> DataFrame:
+    """mode, object, stage, path of a `git ls-files --stage` listing; only regular files of stage 0 are content."""
+    lines = spark.read.text(path).where("value <> ''")
+    head = F.split(F.substring_index("value", "\t", 1), " ")
+    return lines.select(
+        F.get(head, F.lit(0)).alias("mode"), F.get(head, F.lit(1)).alias("object"), F.get(head, F.lit(2)).cast("int").alias("stage"), F.regexp_extract("value", "\t(.*)$", 1).alias("path"),
+        (F.get(head, F.lit(0)).isin("100644", "100755") & (F.get(head, F.lit(2)) == "0")).alias("content"),
+    )
+
+
+def keyed_json(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """key and the fields of a JSON object of objects; a missing file is an empty table."""
+    schema = StructType.fromDDL(f"key string, {fields}")
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        return spark.createDataFrame([], schema)
+    return whole.select(F.explode(F.from_json("value", f"map<string, struct<{fields}>>")).alias("key", "v")).select("key", "v.*")
+
+
+def answer_set(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each problem of an answer folder: its stage and reason (extract.json), its tests (tests.json), its cells (kernels.md)."""
+    extract = keyed_json(spark, f"{folder}/extract.json", "stage string, why string, name string")
+    tests = keyed_json(spark, f"{folder}/tests.json", "overall string, name string").select("key", "overall", F.col("name").alias("test_name"))
+    rows = extract.join(tests, "key", "full_outer").withColumn("name", F.coalesce("test_name", "name")).drop("test_name")
+    try:
+        cells = markdown_cells(spark, f"{folder}/kernels.md").groupBy(F.col("task").alias("name")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "real")))).alias("cells"))
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        cells = spark.createDataFrame([], "name string, cells map<string, string>")
+    return rows.join(cells, "name", "left")

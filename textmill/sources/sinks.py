@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import session
+from ..operators.ordered import sum_before
 
 
 def write_json_lines(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists") -> None:
@@ -34,14 +36,9 @@ def shard_bytes(df: DataFrame, key: str, ids: str, shard_tokens: int) -> DataFra
     comes from sums over key ranges, then within each), so no document is split and every
     shard can be written by a task of its own.
     """
-    from pyspark.sql.window import Window
-
     session.ship_code(df.sparkSession)
-    rows = df.select(F.col(key).alias("k"), F.col(ids).alias("ids")).withColumn("n", F.size("ids").cast("long")).withColumn("b", F.floor(F.col("k") / 4096))
-    sums = rows.groupBy("b").agg(F.sum("n").alias("m"))
-    base = sums.select("b", F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    w = Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(base, "b").withColumn("shard", F.floor((F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0))) / shard_tokens))
+    rows = df.select(F.col(key).alias("k"), F.col(ids).alias("ids")).withColumn("n", F.size("ids").cast("long"))
+    placed = sum_before(rows, "k", F.col("n"), ["k"]).withColumn("shard", F.floor(F.col("before") / shard_tokens)).drop("before")
 
     def pack(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -70,3 +67,29 @@ def write_shards(shards: DataFrame, folder: str) -> None:
             yield batch.select(["shard"])
 
     shards.select("shard", "content").mapInArrow(step, "shard long").count()
+
+
+def markdown(report: DataFrame, most: int = 1000) -> str:
+    """A report of at most `most` rows as a Markdown table; an error if it has more."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    cell = lambda v: "" if v is None else str(v).replace("|", r"\|").replace("\n", " ")
+    lines = ["| " + " | ".join(report.columns) + " |", "|" + "-|" * len(report.columns)]
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def built_once(spark, path: str, fingerprint: str, build) -> DataFrame:
+    """The table at path, built anew unless it was built with this input fingerprint (see functions.spans.stage_fingerprint).
+
+    The fingerprint is written after the table, so a stage that broke off is built again.
+    """
+    try:
+        if spark.read.text(f"{path}.fingerprint").first()["value"] == fingerprint:
+            return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    build().write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(fingerprint,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.fingerprint")
+    return spark.read.parquet(path)

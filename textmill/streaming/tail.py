@@ -57,3 +57,21 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour"
 
 def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def keep_latest(stream: DataFrame, path: str, order: list[str], n: int = 300):
+    """A writer that holds the latest n rows of a stream as a table: each batch is merged with what is held (2 n rows at most meet)."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        top = batch.orderBy(*[F.desc(c) for c in order]).limit(n)
+        if number and _exists(spark, f"{path}/batch={number - 1}"):
+            top = top.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}")).orderBy(*[F.desc(c) for c in order]).limit(n)
+        top.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that is run again replaces itself
+
+    return stream.writeStream.foreachBatch(merge)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
