@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,27 +64,44 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h
 
 
-def gram_hashes(col: pa.Array, n: int) -> Iterator[tuple[int, int, Callable, np.ndarray]]:
-    """For steps of texts i..j: a function from gram numbers to (text, position), and all n-gram hashes of lower-cased words [a-z0-9]+."""
-    buf_all, offs_all = flat(col)
-    for i, j in steps(offs_all):
-        buf, offs = LOWER[buf_all[offs_all[i] : offs_all[j]]], offs_all[i : j + 1] - offs_all[i]
-        solid = ALNUM[buf]
+class Grams:
+    """The n-grams of lower-cased words [a-z0-9]+ of some texts, with 64-bit hashes `h`."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, n: int):
+        self.buf, self.n = LOWER[buf], n
+        solid = ALNUM[self.buf]
         first, last = solid.copy(), solid.copy()
         first[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]
         inner = offs[1:-1]
         first[inner[inner < len(buf)]] = solid[inner[inner < len(buf)]]
         last[inner[inner > 0] - 1] = solid[inner[inner > 0] - 1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        words, cut = word_hashes(buf, starts, ends), np.searchsorted(starts, offs)
-        m = len(words) - n + 1
-        if m <= 0:
-            yield i, j, lambda k: (k, k), np.zeros(0, np.int64)
-            continue
-        h = np.zeros(m, np.uint64)
-        for k in range(n):
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.cut = np.searchsorted(self.starts, offs)
+        m = max(len(self.starts) - n + 1, 0)
+        words, h = word_hashes(self.buf, self.starts, self.ends), np.zeros(m, np.uint64)
+        for k in range(n if m else 0):
             h = stir(h, words[k : k + m])
-        text = np.repeat(np.arange(j - i), np.diff(cut))
-        at = np.flatnonzero(text[n - 1 :] == text[:m])  # a gram may not leave its text
-        yield i, j, lambda k, at=at, text=text, cut=cut: (text[at[k]], at[k] - cut[text[at[k]]]), h[at].view(np.int64)
+        of = np.repeat(np.arange(len(offs) - 1), np.diff(self.cut))
+        self.at = np.flatnonzero(of[n - 1 :] == of[:m]) if m else np.zeros(0, np.int64)  # a gram may not leave its text
+        self.of, self.h = of, h[self.at].view(np.int64)
+
+    def places(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, position in it) of some grams."""
+        at = self.at[k]
+        return self.of[at], at - self.cut[self.of[at]]
+
+    def said(self, k: np.ndarray) -> list[str]:
+        """The words of some grams, joined by blanks."""
+        raw = self.buf.tobytes()
+        spans = zip(self.starts, self.ends, strict=True)
+        spans = [(int(a), int(b)) for a, b in spans] if len(k) > len(self.starts) // 50 else None
+        word = (lambda i: raw[spans[i][0] : spans[i][1]]) if spans else (lambda i: raw[int(self.starts[i]) : int(self.ends[i])])
+        return [b" ".join([word(i) for i in range(at, at + self.n)]).decode() for at in self.at[k].tolist()]
+
+
+def grams(col: pa.Array, n: int) -> Iterator[tuple[int, int, Grams]]:
+    """For steps of texts i..j their n-grams."""
+    buf, offs = flat(col)
+    for i, j in steps(offs):
+        yield i, j, Grams(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import flat, steps
-from ..session import ship_code
+from ..session import ship_code, spread
 
 #: Distinct keys that a task holds before it sends them on.
 HELD = 2_000_000
@@ -43,7 +43,7 @@ def _counted(docs: DataFrame, text: str, keys_of: Callable[[np.ndarray, np.ndarr
         if held:
             yield from sent()
 
-    return docs.select(text).mapInArrow(step, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return spread(docs.select(text)).mapInArrow(step, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:

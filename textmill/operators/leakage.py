@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import gram_hashes
+from ..functions.arrays import grams
 
 from ..functions.python_text import python_udf, winnow
 from ..functions.text import alnum_words, ngrams, split_lines_py, statement_key, strip_py
-from ..session import ship_code
+from ..session import ship_code, spread
+from .ordered import small
 from .rows import cap_per_group
 
 
@@ -32,63 +33,55 @@ def _rolling(words: DataFrame, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n)))
 
 
-def _held_hits(docs: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
-    """doc_id, pos: places whose n words hash like a protected n-gram; one pass, nothing but hits leaves it."""
-    spark = docs.sparkSession
-    ship_code(spark)
-    table = spark.sparkContext.broadcast(np.sort(hashes.select("h").toArrow()["h"].to_numpy()))  # at most HELD_GRAMS longs
+def _hashes(index: DataFrame, n: int) -> np.ndarray | None:
+    """The sorted hashes of the grams, hashed as texts are; None if there are more than HELD_GRAMS."""
+    ship_code(index.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
         for batch in batches:
-            for i, j, place, h in gram_hashes(batch.column("text"), n):
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                hit = np.flatnonzero(known[at] == h) if len(known) else at[:0]
-                text, pos = place(hit)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(text)), pa.array(pos.astype(np.int32))], ["doc_id", "pos"])
+            for _, _, g in grams(batch.column("gram"), n):
+                yield pa.RecordBatch.from_arrays([pa.array(g.h)], ["h"])
 
-    return docs.select("doc_id", "text").mapInArrow(step, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int")
+    h = index.select("gram").mapInArrow(step, "h long").limit(HELD_GRAMS + 1).toArrow()["h"].to_numpy()
+    return None if len(h) > HELD_GRAMS else np.unique(h)
 
 
-def _hashed(index: DataFrame, n: int) -> DataFrame:
-    """index with h, hashed as texts are."""
-    ship_code(index.sparkSession)
+def _held_hits(docs: DataFrame, known: np.ndarray, n: int) -> DataFrame:
+    """doc_id, pos, gram: places whose n words hash like a protected n-gram; one pass, nothing but hits leaves it."""
+    table = docs.sparkSession.sparkContext.broadcast(known)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros(len(batch), np.int64)
-            for i, _, place, h in gram_hashes(batch.column("gram"), n):
-                text, _ = place(np.arange(len(h)))
-                out[i + text] = h
-            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("owners"), pa.array(out)], ["gram", "owners", "h"])
+        known = table.value
+        for batch in batches if len(known) else ():
+            for i, j, g in grams(batch.column("text"), n):
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, g.h), len(known) - 1)] == g.h)
+                text, pos = g.places(hit)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(text)), pa.array(pos.astype(np.int32)), pa.array(g.said(hit), pa.string())], ["doc_id", "pos", "gram"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
-    return index.mapInArrow(step, f"{fields}, h long")
+    return spread(docs.select("doc_id", "text")).mapInArrow(step, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, gram string")
 
 
 def first_matches(docs: DataFrame, protected: DataFrame, n: int = 13) -> DataFrame:
     """doc_id, pos, gram, owners: the first protected n-gram of every document that has one.
 
     Places are found by 64-bit hashes of their words, rolled over each text in whole batches; the
-    few documents with a hit are then read again to compare the words themselves.
+    few that hit are then joined by the words themselves.
     """
-    index = _hashed(gram_index(protected, n), n)
-    if index.count() <= HELD_GRAMS:
-        hits = _held_hits(docs, index, n)
-        grams = F.broadcast(index.select("gram", "owners"))
+    index = gram_index(protected, n)
+    known = _hashes(index, n)
+    if known is not None:
+        hits = _held_hits(docs, known, n)
     else:
         words = docs.select("doc_id", alnum_words("text").alias("w")).where(F.size("w") >= n)
-        plain = index.select(F.xxhash64(F.split("gram", " ")).alias("h"))
-        hits = words.select("doc_id", F.posexplode(_rolling(words, n)).alias("pos", "h")).join(plain, "h", "left_semi").select("doc_id", "pos")
-        grams = index.select("gram", "owners")
-    texts = docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", alnum_words("text").alias("w"))
-    said = texts.join(hits, "doc_id").select("doc_id", "pos", F.array_join(F.slice("w", F.col("pos") + 1, n), " ").alias("gram"))
-    sure = said.join(grams, "gram")
+        places = words.select("doc_id", "w", F.posexplode(_rolling(words, n)).alias("pos", "h")).join(index.select(F.xxhash64(F.split("gram", " ")).alias("h")), "h", "left_semi")
+        hits = places.select("doc_id", "pos", F.array_join(F.slice("w", F.col("pos") + 1, n), " ").alias("gram"))
+    sure = hits.join(index, "gram")
     return sure.groupBy("doc_id").agg(F.min_by(F.struct("pos", "gram", "owners"), "pos").alias("m")).select("doc_id", F.col("m.pos").alias("pos"), F.col("m.gram").alias("gram"), F.col("m.owners").alias("owners"))
 
 
 def split_rows(split: DataFrame, docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(split, "doc_id")
+    """doc_id, text, split; the texts stay where they are if the split is small enough to be broadcast."""
+    return spread(docs.select("doc_id", "text")).join(small(split), "doc_id")
 
 
 def document_overlap(rows: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import python_text as p
 from ..operators import dedup, leakage
-from ..session import ship_code
+from ..session import ship_code, spread
 from .registry import Tables, query
 
 
 @query()
 def html_to_text(t: Tables):
     ship_code(t.spark)
-    return t.pages.select("page_id", p.page_text("html").alias("text"))
+    return spread(t.pages.select("page_id", "html")).select("page_id", p.page_text("html").alias("text"))
 
 
 @query()
@@ -26,14 +26,14 @@ def winnow_fingerprint_overlap(t: Tables):
 def sentence_windows(t: Tables):
     """doc_id, window, sentences, chars: non-overlapping windows of six sentences."""
     ship_code(t.spark)
-    rows = t.documents.select("doc_id", F.posexplode(p.python_udf(p.sentences, "array<string>")("text")).alias("pos", "s"))
+    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(p.python_udf(p.sentences, "array<string>")("text")).alias("pos", "s"))
     return rows.groupBy("doc_id", F.floor(F.col("pos") / 6).alias("window")).agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.char_length("s")).alias("chars"))
 
 
 @query()
 def text_chunks(t: Tables):
     ship_code(t.spark)
-    return t.documents.select("doc_id", F.posexplode(p.python_udf(p.chunks, "array<string>")("text")).alias("pos", "chunk"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(p.python_udf(p.chunks, "array<string>")("text")).alias("pos", "chunk"))
 
 
 @query()

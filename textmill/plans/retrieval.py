@@ -9,6 +9,7 @@ from ..functions.text import word_tokens
 from ..operators import leakage
 from ..operators import retrieval as r
 from ..operators.ordered import small
+from ..session import spread
 from .registry import Tables, query
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
@@ -49,7 +50,7 @@ oranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY scor
 
 
 def _overlap(t: Tables, k: int):
-    d = t.documents.select("doc_id", F.explode(F.array_distinct(word_tokens("text"))).alias("term"))
+    d = spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(word_tokens("text"))).alias("term"))
     q = t.benchmark.select("item_id", F.explode(F.array_distinct(word_tokens("text"))).alias("term"))
     return r.top_k(d.join(small(q), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), "item_id", "doc_id", k)
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,6 +28,24 @@ def session(app: str = "textmill", cores: str = "*", shuffle_partitions: int = 8
     )
 
 
+#: Bytes of a table up to which its few files may be dealt over all cores.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's scan over all cores: a small file is one row group, hence one task, however much work each row is.
+
+    Any other plan, and any larger table, is returned as it is.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(not re.match(r"[\s:+|-]*(Project|Filter|Relation)\b", line) for line in plan.toString().splitlines() if line.strip()):
+        return df
+    if int(str(plan.stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= n else df.repartition(n)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of the session's application."""
     app = spark.sparkContext.applicationId
