@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators_llm import DOCS, brute_components, brute_repeats, corpus
 
-from textmill.llm import bpe, chat, common, components, dedup_substring, jaccard_join, packing, suffix_tree, syncmers, toxicity
+from textmill.llm import ann, bpe, chat, common, components, dedup_substring, jaccard_join, packing, suffix_tree, syncmers, toxicity
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -242,3 +242,25 @@ def test_conversations_across_partitions(spark, monkeypatch, stretch):
         paid[g.conv_id] += chat.INSERT * g.inserted + (chat.MERGE if g.action == "merge" else 0) + (chat.RELABEL if g.role != g.new_role else 0)
     assert all(paid[g.conv_id] == g.conversation_cost for g in got)
     assert all(t.endswith("<|end|>\n") and t.count("<|end|>") == t.count("<|user|>") + t.count("<|assistant|>") + t.count("<|system|>") for t in whole.values())
+
+
+def test_ids_with_several_vectors(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(60)]
+    rows += [(i, r.normal(size=8).tolist()) for i in (20, 20, 3, 40, 7, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 20 = 0"), k=12).collect()
+    by = collections.defaultdict(list)
+    for i, v in rows:
+        by[i].append(v)
+    found = collections.defaultdict(dict)
+    for g in got:
+        assert g.vec_id not in found[g.query_id].values()
+        found[g.query_id][g.rank] = g.vec_id
+    for q in (0, 20, 40):
+        vec = min(by[q])
+        scores = {i: max(np.dot(vec, v) for v in vs) for i, vs in by.items() if i != q}
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:12]
+        mine = [found[q][k] for k in range(1, 13)]
+        assert len(set(mine) & set(want)) >= 10
+        assert all(g.score == pytest.approx(scores[g.vec_id]) for g in got if g.query_id == q)

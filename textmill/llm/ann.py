@@ -23,19 +23,23 @@ more), so a group of copies never fills a block.
 
 Nulls and edges: vectors that are null, all zero, hold a null or non-finite component, or
 have not the table's most frequent dimension take no part, nor do null ids; of rows that repeat an id and a
-vector one counts; ties go to the smaller id; fewer than k candidates give fewer rows; an
+vector one counts; of an id with several vectors the least one (as an array) is the query, and its best score
+counts where it is a candidate; ties go to the smaller id; fewer than k candidates give fewer rows; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import materialize
+from .common import arrow_map, materialize, ranges
 
 #: Vectors that the rotations and the radius are fitted on, chosen by a hash of the id.
 FIT_ROWS = 8192
@@ -45,7 +49,7 @@ FIT_QUERIES = 256
 TARGET = 0.97
 ROTATIONS = 4
 BLOCK = 16384
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 32768
 _POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -166,16 +170,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     radius = fit_radius(fit, codes, k)
     everything = codes.shape[1] * 16
 
-    n_blocks = max(1, -(-distinct.count() // BLOCK))
-    asked = usable(queries, id_col, vec_col).where(F.size("v") == dim).dropDuplicates(["id", "v"])
+    def coded(df: DataFrame, schema: str) -> DataFrame:
+        """df (v last) with the vectors' codes, each computed once."""
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.asarray(batch.column("v").flatten(), np.float64).reshape(-1, dim)
+                raw = encode(x, mean, proj)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in raw], pa.binary())], [*batch.schema.names, "code"])
+
+        return materialize(arrow_map(df, step, f"{schema}, v array<double>, code binary"))
+
+    # an id with several vectors: the least of a query's, the best score of a candidate's
+    several = not rows.select("id", "v").distinct().groupBy("id").count().where("count > 1").isEmpty()
+    asked = usable(queries, id_col, vec_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    index = coded(distinct.select("ids", "pick", "v"), "ids array<long>, pick long")
+    asked = coded(asked.select("id", "v"), "id long")
+    n_blocks = max(1, -(-index.count() // BLOCK))
     q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     # every block of queries meets every block of the index once: the stated query set against all rows
-    base = distinct.select(
-        F.pmod("pick", F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"), F.lit(-1).cast("long").alias("query_id"), "v", "ids"
+    base = index.select(
+        F.pmod("pick", F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"), F.lit(-1).cast("long").alias("query_id"), "v", "code", "ids"
     )
     ask = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("part"), F.col("id").alias("query_id"), "v", F.array().cast("array<long>").alias("ids")
-    )
+        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("part"), F.col("id").alias("query_id"), "v", "code",
+        F.array().cast("array<long>").alias("ids"),
+    )
 
     def meet(r: int):
         def step(table: pa.Table) -> pa.Table:
@@ -188,19 +208,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             if len(data) and is_q.any():
                 ids_list = lists.filter(pa.array(~is_q))
                 flat, offs = ids_list.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids_list.value_lengths().to_numpy())])
-                block = Block(encode(data, mean, proj))
-                ask_x, ask_ids = x[is_q], qid[is_q]
-                for vec, own, code in zip(ask_x, ask_ids, encode(ask_x, mean, proj), strict=True):
-                    found = block.within(code, r)
+                code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint16).reshape(len(x), -1)
+                block = Block(code[~is_q])
+                for vec, own, c in zip(x[is_q], qid[is_q], code[is_q], strict=True):
+                    found = block.within(c, r)
                     score = data[found] @ vec
-                    if len(found) > k + 1:  # of more vectors than that none below the (k+1)-th score can matter
+                    if len(found) > k + 1 and not several:  # of more vectors than that none below the (k+1)-th score can matter
                         keep = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
                         found, score = found[keep], score[keep]
                     counts = offs[found + 1] - offs[found]
-                    who = np.concatenate([flat[offs[f] : offs[f + 1]] for f in found]) if len(found) else np.zeros(0, np.int64)
+                    who = flat[ranges(offs[found], counts)]
                     score = np.repeat(score, counts)
                     other = who != own
                     who, score = who[other], score[other]
+                    if several:
+                        order = np.lexsort((-score, who))
+                        first = np.ones(len(order), bool)
+                        first[1:] = who[order[1:]] != who[order[:-1]]
+                        who, score = who[order[first]], score[order[first]]
                     best = top(score, who, k)
                     out_q.append(np.full(len(best), own))
                     out_v.append(who[best])
@@ -213,15 +238,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     def run(ask: DataFrame, r: int) -> DataFrame:
         both = base.withColumn("is_query", F.lit(False)).unionByName(ask.withColumn("is_query", F.lit(True)))
         found = both.groupBy("block", "part").applyInArrow(meet(r), "query_id long, vec_id long, score double")
-        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id"))), 1, k)  # at most k of each block
-        return found.groupBy("query_id").agg(best.alias("best"))
+        if several:
+            found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)
+        entry = F.struct((-F.col("score")).alias("m"), "vec_id")
+        # k answers of each block are merged in two levels, about the root of the number of blocks at a time
+        some = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(math.isqrt(n_blocks - 1) + 1)).alias("level")).agg(best(F.collect_list(entry)).alias("best"))
+        return some.groupBy("query_id").agg(best(F.flatten(F.collect_list("best"))).alias("best"))
 
     first = materialize(run(ask, radius))
-    possible = distinct.select(F.sum(F.size("ids"))).collect()[0][0]
+    possible = index.select(F.explode("ids").alias("i")).agg(F.count_distinct("i")).collect()[0][0] if several else index.select(F.sum(F.size("ids"))).collect()[0][0]
     enough = first.where(F.size("best") >= min(k, possible - 1))
-    rest = ask.join(enough.select("query_id"), "query_id", "left_anti")
     missed = asked.select(F.col("id").alias("query_id")).join(enough.select("query_id"), "query_id", "left_anti")
-    result = enough if missed.isEmpty() else enough.unionByName(run(rest.select("block", "part", "query_id", "v", "ids"), everything))
+    if missed.isEmpty():
+        result = enough
+    else:
+        rest = ask.join(enough.select("query_id"), "query_id", "left_anti")
+        result = enough.unionByName(run(rest.select("block", "part", "query_id", "v", "code", "ids"), everything))
     return result.select("query_id", F.posexplode("best").alias("p", "b")).select(
         "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.m")).alias("score")
     )

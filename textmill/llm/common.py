@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_code
+from ..session import ship_code, spread
 
 #: Bytes of text that a numpy step works on at once (a single longer text is one step).
 SLICE_BYTES = 1 << 20
@@ -143,7 +143,7 @@ def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
         yield from step(batches)
         give_back()
 
-    return df.mapInArrow(lean, schema)
+    return spread(df).mapInArrow(lean, schema)
 
 
 def quoted(name: str) -> str:
