@@ -55,7 +55,7 @@ COMMON, CLASSES = 2000, 509
 DEPTH = 3
 SEEN = 32
 DIVERGENCE = 1.0
-ENTRIES = 2_000_000
+ENTRIES = 5_000_000
 #: Training tokens a bucket of contexts.
 BUCKET = 400_000
 #: Marks of contexts: 2^MARKS bits.
@@ -314,13 +314,45 @@ def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes],
     return packed, single, kept
 
 
+class Table:
+    """Places of 64-bit hashes: buckets by their first bits, and 32 bits of each in its bucket. About five bytes a hash.
+
+    Hashes that share these 50 bits or more are one; that is a matter of one in 10^15.
+    """
+
+    def __init__(self, low: np.ndarray, first: np.ndarray):
+        self.low, self.first = low, first
+        self.shift = np.uint64(64 - (len(first) - 1).bit_length() + 1)
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> tuple[Table, np.ndarray]:
+        """(the table, the order of the keys in it)"""
+        bits = max(1, (len(keys) // 4).bit_length())
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        return cls(keys.astype(np.uint32), first), order
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted hash, or -1."""
+        out = np.full(len(wanted), -1, np.int64)
+        bucket, low = (wanted >> self.shift).astype(np.int64), wanted.astype(np.uint32)
+        at, end = self.first[bucket].astype(np.int64), self.first[bucket + 1]
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            hit = self.low[at[todo]] == low[todo]
+            out[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return out
+
+
 class Tree:
     """Retained contexts with smoothed next-symbol probabilities."""
 
     def __init__(self, root: np.ndarray, code: np.ndarray, nxt: np.ndarray, n: np.ndarray, depth: int = DEPTH, first: np.ndarray | None = None):
         """first: what follows each symbol, with the probabilities of the contexts of one symbol (which are then not among the codes)."""
-        self.root, self.depth, self.bits = (root + 1.0) / (root.sum() + len(root)), depth, bits_for(len(root), depth)
-        self.first = first
         if len(code) and not (code[1:] >= code[:-1]).all():
             order = np.argsort(code, kind="stable")
             code, nxt, n = code[order], nxt[order], n[order]
@@ -330,8 +362,22 @@ class Tree:
         at = np.flatnonzero(lead)
         kinds = np.diff(np.append(at, len(code)))
         total = np.add.reduceat(n, at) if len(at) else np.zeros(0)
-        self.state, self.share = HashIndex(_mix(code[at])), kinds / (total + kinds)
-        self.edge, self.value = HashIndex(_mix(code, nxt)), n / np.repeat(total + kinds, kinds)
+        state, state_order = Table.of(_mix(code[at]))
+        edge, edge_order = Table.of(_mix(code, nxt))
+        share, value = (kinds / (total + kinds))[state_order], (n / np.repeat(total + kinds, kinds))[edge_order]
+        self._hold(root, depth, first, (state.low, state.first, share, edge.low, edge.first, value))
+
+    def _hold(self, root: np.ndarray, depth: int, first: np.ndarray | None, parts: tuple) -> None:
+        self.root, self.depth, self.bits = (root + 1.0) / (root.sum() + len(root)), depth, bits_for(len(root), depth)
+        self.first, self.parts = first, parts
+        self.state, self.share, self.edge, self.value = Table(*parts[:2]), parts[2], Table(*parts[3:5]), parts[5]
+
+    @classmethod
+    def of_parts(cls, root: np.ndarray, parts: tuple, first: np.ndarray) -> Tree:
+        """A tree that another process has built: its arrays as they came."""
+        tree = cls.__new__(cls)
+        tree._hold(root, DEPTH, first, parts)
+        return tree
 
     def refine(self, p: np.ndarray, at: np.ndarray, code: np.ndarray, nxt: np.ndarray) -> None:
         """What the retained ones of the contexts `code` say of the next symbols, mixed into p[at]."""
@@ -388,15 +434,12 @@ def _tools(shared) -> tuple[Symbols, Tree, HashIndex, HashIndex]:
     """Built once per worker."""
     if not _held or _held[0] is not shared:
         common, tree, far, table = shared.value
-        root, packed, single, *kept = tree
+        root, packed, single, parts = tree
         _square.clear()
         _held.clear()
         first = after_one(root, packed, single)
         give_back()
-        code, nxt, n = (np.frombuffer(zlib.decompress(x), np.int64) for x in kept)
-        tree = Tree(root, code.view(np.uint64), nxt, n, first=first)
-        del code, nxt, n
-        give_back()
+        tree = Tree.of_parts(root, parts, first)
         _held[:] = [shared, (Symbols(common), tree, HashIndex(_mix(far[0])), HashIndex(table[0]))]
     return _held[1]
 
@@ -482,7 +525,8 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     far = np.delete(pair, held).view(np.uint64)
     chosen = F.broadcast(spark.createDataFrame(pa.table({"pair": pair[held]})))  # at most ENTRIES pairs
     near = kept.join(chosen, "pair", "left_semi").select("code", "next", "n").toArrow().sort_by([("code", "ascending"), ("next", "ascending")])
-    tree = (root, pairs, single, *(zlib.compress(near[c].to_numpy().astype(np.int64).tobytes(), 1) for c in ("code", "next", "n")))
+    held_tree = Tree(root, near["code"].to_numpy().view(np.uint64), near["next"].to_numpy().astype(np.int64), near["n"].to_numpy())
+    tree = (root, pairs, single, held_tree.parts)  # built once; workers hold its arrays as they are
     del near
     kept = kept.join(chosen, "pair", "left_anti").select("code", "next", "n")
     marks = marks_of(kept)
