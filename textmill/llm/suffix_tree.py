@@ -55,7 +55,7 @@ COMMON, CLASSES = 2000, 509
 DEPTH = 3
 SEEN = 32
 DIVERGENCE = 1.0
-ENTRIES = 5_000_000
+ENTRIES = 4_000_000
 #: Training tokens a bucket of contexts.
 BUCKET = 400_000
 #: Marks of contexts: 2^MARKS bits.
@@ -278,7 +278,7 @@ def _bucket(middle, tokens: int):
 
 
 def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes], np.ndarray, DataFrame]:
-    """The pair counts (size, compressed), which single symbols are retained, and code, next, n, freq of all longer retained contexts as a written table."""
+    """The pair counts (size, compressed), which single symbols are retained, and code, next, n of all longer retained contexts as a written table, with `worth`: the places that need the pair behind a context, over the counts behind it."""
     spark, size, bits = docs.sparkSession, len(root), bits_for(len(root))
     pairs = pair_counts(docs, common, size)
     single, total = np.zeros(size, bool), max(int(root.sum()), 1)
@@ -305,11 +305,12 @@ def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes],
         keep3, _ = diverging(gram >> bits, n, low_n[inverse], low_total[inverse])
         gram, n = np.concatenate([low[keep], gram[keep3]]), np.concatenate([low_n[keep], n[keep3]])
         freq = held[gram >> 2 * bits & mask, gram >> bits & mask]
-        return pa.table([gram >> bits, (gram & mask).astype(np.int32), n, freq], ["code", "next", "n", "freq"])
+        _, of, size = np.unique(gram >> bits & (1 << 2 * bits) - 1, return_inverse=True, return_counts=True)  # all counts behind a pair are in one bucket
+        return pa.table([gram >> bits, (gram & mask).astype(np.int16), n, freq / size[of]], ["code", "next", "n", "worth"])
 
     middle = F.shiftright("gram", bits).bitwiseAND((1 << 2 * bits) - 1)
     grams = gram_counts(docs, common, shared, bits).withColumn("bucket", _bucket(middle, total))  # summed by tasks, and again in the buckets
-    kept = materialize(grams.groupBy("bucket").applyInArrow(step, "code long, next int, n long, freq long"))
+    kept = materialize(grams.groupBy("bucket").applyInArrow(step, "code long, next short, n long, worth double"))
     shared.destroy()
     return packed, single, kept
 
@@ -517,18 +518,19 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     bits = bits_for(len(root))
     middle = (1 << 2 * bits) - 1
     # the contexts behind some pairs are held by every worker, those that most places need for their size; the others stay in their table, and grams are joined with it
-    kept = kept.withColumn("pair", F.col("code").bitwiseAND(middle))
-    behind = kept.groupBy("pair").agg(F.count(F.lit(1)).alias("m"), F.first("freq").alias("freq")).toArrow()  # at most symbols^2 rows
-    pair, m, freq = (behind[c].to_numpy() for c in ("pair", "m", "freq"))
-    order = np.lexsort((pair, -freq / m))
-    held = order[np.cumsum(m[order]) <= ENTRIES]
-    far = np.delete(pair, held).view(np.uint64)
-    chosen = F.broadcast(spark.createDataFrame(pa.table({"pair": pair[held]})))  # at most ENTRIES pairs
-    near = kept.join(chosen, "pair", "left_semi").select("code", "next", "n").toArrow().sort_by([("code", "ascending"), ("next", "ascending")])
+    pair = F.col("code").bitwiseAND(middle)
+    behind = kept.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("m"), F.first("worth").alias("worth")).toArrow()  # at most symbols^2 rows
+    pairs_, m, worth = (behind[c].to_numpy() for c in ("pair", "m", "worth"))
+    order = np.lexsort((pairs_, -worth))
+    fits = int(np.searchsorted(np.cumsum(m[order]), ENTRIES, "right"))
+    far = pairs_[order[fits:]].view(np.uint64)
+    least = (float(worth[order[fits - 1]]), int(pairs_[order[fits - 1]])) if fits else (float("inf"), 0)
+    held = (F.col("worth") > least[0]) | (F.col("worth") == least[0]) & (pair <= least[1])
+    near = kept.where(held).select("code", "next", "n").toArrow().sort_by([("code", "ascending"), ("next", "ascending")])  # at most ENTRIES rows
     held_tree = Tree(root, near["code"].to_numpy().view(np.uint64), near["next"].to_numpy().astype(np.int64), near["n"].to_numpy())
     tree = (root, pairs, single, held_tree.parts)  # built once; workers hold its arrays as they are
     del near
-    kept = kept.join(chosen, "pair", "left_anti").select("code", "next", "n")
+    kept = kept.where(~held).select("code", "next", "n")
     marks = marks_of(kept)
 
     # each token's base term and its share of its symbol
