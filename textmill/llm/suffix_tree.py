@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .bpe import HashIndex
 from .byte_bpe import Distinct, least_count
-from .common import LOWER, arrow_map, buffers, give_back, materialize, range_hash, ranges, slices, take_spans, text_array, word_spans
+from .common import LOWER, arrow_map, buffers, give_back, list_array, long_list, materialize, range_hash, ranges, slices, take_spans, text_array, word_spans
 
 COMMON, CLASSES = 2000, 509
 DEPTH = 3
@@ -212,8 +212,8 @@ def _pairs(shared) -> tuple[np.ndarray, np.ndarray]:
     return _square[1]
 
 
-def gram_counts(docs: DataFrame, common, pairs, bits: int) -> DataFrame:
-    """gram, n: the symbols of training places behind their contexts, packed below a leading 1.
+def gram_counts(docs: DataFrame, common, pairs, bits: int, buckets: int) -> DataFrame:
+    """bucket, grams, n: the symbols of training places behind their contexts, packed below a leading 1; a task sends one row for each bucket, its grams in order as differences.
 
     A gram has three symbols before the last, or two where the first two are a pair (or the text
     begins) that is seen too rarely to be in a context; no gram where the last two before it are.
@@ -228,8 +228,17 @@ def gram_counts(docs: DataFrame, common, pairs, bits: int) -> DataFrame:
             return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
 
         def send(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["gram", "n"])
+            bucket = (_mix(k >> np.uint64(bits) & np.uint64((1 << 2 * bits) - 1)) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            bucket, k, n = bucket[order], k[order].view(np.int64), n[order]
+            names, first = np.unique(bucket, return_index=True)
+            steps = np.diff(k, prepend=0)
+            steps[first] = k[first]
+            cut = np.append(first, len(k))
+            for i in range(0, len(names), 200):
+                j = min(i + 200, len(names))
+                rows = slice(cut[i], cut[j])
+                yield pa.RecordBatch.from_arrays([pa.array(names[i:j].astype(np.int32)), long_list(steps[rows], cut[i : j + 1] - cut[i]), list_array(n[rows].astype(np.int32), cut[i : j + 1] - cut[i])], ["bucket", "grams", "n"])
 
         for batch in batches:
             for sym, offs in blocks(batch, symbols):
@@ -253,7 +262,7 @@ def gram_counts(docs: DataFrame, common, pairs, bits: int) -> DataFrame:
         if size:
             yield from send(*merge())
 
-    return arrow_map(docs.where("not held_out").select("text"), step, "gram long, n long")
+    return arrow_map(docs.where("not held_out").select("text"), step, "bucket int, grams array<long>, n array<int>")
 
 
 def diverging(code: np.ndarray, n: np.ndarray, up_n: np.ndarray, up_total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,8 +303,13 @@ def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes],
         pa.set_memory_pool(pa.system_memory_pool())  # as in arrow_map
         give_back()
         held, sums = _pairs(shared)
-        gram, inverse = np.unique(table["gram"].to_numpy(), return_inverse=True)
-        n = np.bincount(inverse, table["n"].to_numpy(), len(gram)).astype(np.int64)
+        lists = table["grams"].combine_chunks()
+        steps, size_of = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        begin = np.cumsum(size_of) - size_of
+        total_ = np.cumsum(steps)  # differences, and whole grams where a row begins
+        gram = total_ - np.repeat(total_[begin] - steps[begin], size_of)
+        gram, inverse = np.unique(gram, return_inverse=True)
+        n = np.bincount(inverse, table["n"].combine_chunks().flatten().to_numpy(), len(gram)).astype(np.int64)
         wide = gram >= 1 << 4 * bits
         low, inverse = np.unique(np.where(wide, gram & (1 << 3 * bits) - 1 | 1 << 3 * bits, gram), return_inverse=True)
         low_n = np.bincount(inverse, n, len(low)).astype(np.int64)
@@ -308,8 +322,7 @@ def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes],
         _, of, size = np.unique(gram >> bits & (1 << 2 * bits) - 1, return_inverse=True, return_counts=True)  # all counts behind a pair are in one bucket
         return pa.table([gram >> bits, (gram & mask).astype(np.int16), n, freq / size[of]], ["code", "next", "n", "worth"])
 
-    middle = F.shiftright("gram", bits).bitwiseAND((1 << 2 * bits) - 1)
-    grams = gram_counts(docs, common, shared, bits).withColumn("bucket", _bucket(middle, total))  # summed by tasks, and again in the buckets
+    grams = gram_counts(docs, common, shared, bits, 1 + total // BUCKET)  # summed by tasks, and again in the buckets
     kept = materialize(grams.groupBy("bucket").applyInArrow(step, "code long, next short, n long, worth double"))
     shared.destroy()
     return packed, single, kept
