@@ -55,7 +55,7 @@ COMMON, CLASSES = 2000, 509
 DEPTH = 3
 SEEN = 32
 DIVERGENCE = 1.0
-ENTRIES = 4_000_000
+ENTRIES = 3_000_000
 #: Training tokens a bucket of contexts.
 BUCKET = 400_000
 #: Marks of contexts: 2^MARKS bits.
@@ -296,6 +296,8 @@ def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes],
         if len(nxt):
             single[c] = diverging(np.full(len(nxt), c), pairs[c, nxt], root[nxt], total)[0][0]
     packed = (size, zlib.compress(pairs.tobytes(), 1))
+    del pairs
+    give_back()
     shared = spark.sparkContext.broadcast(packed)
     mask = (1 << bits) - 1
 
@@ -370,6 +372,7 @@ class Tree:
         if len(code) and not (code[1:] >= code[:-1]).all():
             order = np.argsort(code, kind="stable")
             code, nxt, n = code[order], nxt[order], n[order]
+            del order
         n = n.astype(np.float64)
         lead = np.ones(len(code), bool)
         lead[1:] = code[1:] != code[:-1]
@@ -539,10 +542,12 @@ def score_documents(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame
     far = pairs_[order[fits:]].view(np.uint64)
     least = (float(worth[order[fits - 1]]), int(pairs_[order[fits - 1]])) if fits else (float("inf"), 0)
     held = (F.col("worth") > least[0]) | (F.col("worth") == least[0]) & (pair <= least[1])
-    near = kept.where(held).select("code", "next", "n").toArrow().sort_by([("code", "ascending"), ("next", "ascending")])  # at most ENTRIES rows
+    near = kept.where(held).select("code", "next", "n").toArrow()  # at most ENTRIES rows
     held_tree = Tree(root, near["code"].to_numpy().view(np.uint64), near["next"].to_numpy().astype(np.int64), near["n"].to_numpy())
     tree = (root, pairs, single, held_tree.parts)  # built once; workers hold its arrays as they are
-    del near
+    del near, held_tree, behind, pairs_, m, worth, order
+    pa.default_memory_pool().release_unused()
+    give_back()
     kept = kept.where(~held).select("code", "next", "n")
     marks = marks_of(kept)
 
