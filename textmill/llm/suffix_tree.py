@@ -80,11 +80,25 @@ def held_out(col: str = "doc_id", parts: int = 7, part: int = 2):
 
 # ------------------------------------------------------------------ tokens
 
+#: What a worker holds for its stage: the pair counts, and the tools of scoring.
+_square: list = []
+_held: list = []
+
+
+def _forget() -> None:
+    """Drop what an earlier call left in this worker."""
+    if _square or _held:
+        _square.clear()
+        _held.clear()
+        give_back()
+
+
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """word, n, class: every distinct word of all texts with its count in the training texts."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         sides = {True: Distinct(), False: Distinct()}
         tidy = {True: 0, False: 0}
 
@@ -177,6 +191,7 @@ def pair_counts(docs: DataFrame, common, size: int) -> np.ndarray:
     """How often each symbol (column) follows each other (row) in the training texts: size x size counts."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         symbols, n = Symbols(common.value), np.zeros(size * size, np.int64)
         for batch in batches:
             for sym, offs in blocks(batch, symbols):
@@ -200,9 +215,6 @@ def blocks(batch: pa.RecordBatch, symbols: Symbols) -> Iterator[tuple[np.ndarray
         yield sequences(symbols.of(buf, starts, ends), wo)
 
 
-_square: list = []
-
-
 def _pairs(shared) -> tuple[np.ndarray, np.ndarray]:
     """The pair counts and their sums by first symbol, unpacked once per worker: a broadcast is a file in every process, and most counts are 0."""
     if not _square or _square[0] is not shared:
@@ -425,9 +437,6 @@ class Tree:
 
 # ------------------------------------------------------------------ scores
 
-_held: list = []
-
-
 def after_one(root: np.ndarray, packed: tuple[int, bytes], single: np.ndarray) -> np.ndarray:
     """Each symbol's (column's) probability after each other one (row)."""
     pairs = np.frombuffer(zlib.decompress(packed[1]), np.int64).reshape(packed[0], packed[0])
