@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import UNASSIGNED, Words, classes, code_points, load_ranks, pre_tokens
-from .common import arrow_map, buffers, materialize, range_hash, ranges, slices, take_spans, text_array
+from .common import arrow_map, buffers, claim, materialize, range_hash, ranges, slices, take_spans, text_array
 
 #: Words in the broadcast dictionary at most (about 25 bytes each).
 DICTIONARY = 1_500_000
@@ -157,6 +157,7 @@ _words: list = []  # the broadcast variable last used by this worker, and its in
 def _held(shared) -> Words:
     """The broadcast dictionary's index, built once per worker."""
     if not _words or _words[0] is not shared:
+        claim(__name__, _words.clear)
         v = shared.value
         _words[:] = [shared, Words(v["keys"], v["ids"], v["offs"], np.zeros(0, np.uint8), np.zeros(1, np.int64))]  # decoding compares the bytes
     return _words[1]

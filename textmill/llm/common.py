@@ -127,6 +127,21 @@ def give_back() -> None:
         pass
 
 
+#: What operators hold in this worker, and how it is dropped.
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, drop: Callable[[], None] | None = None) -> None:
+    """This worker now works for the operator `name` (which holds something, if it says how to drop it): what others held goes."""
+    others = [n for n in _holders if n != name]
+    for other in others:
+        _holders.pop(other)()
+    if drop is not None:
+        _holders[name] = drop
+    if others:
+        give_back()
+
+
 def anti_by_id(df: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
     """Rows of df whose id is not in ids; rows with a null id stay. Broadcast as in semi_by_id."""
     ids = ids.select(col)
@@ -137,9 +152,11 @@ def anti_by_id(df: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
 def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow in this package's workers; Spark bounds the batches in bytes."""
     ship_code(df.sparkSession)
+    name = step.__module__
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps freed memory
+        claim(name)
         yield from step(batches)
         give_back()
 

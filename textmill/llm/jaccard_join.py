@@ -44,6 +44,7 @@ from .common import (
     LOWER,
     arrow_map,
     buffers,
+    claim,
     long_list,
     materialize,
     range_hash,
@@ -146,6 +147,7 @@ _held: list = []
 
 def _ordered(shared) -> tuple[HashIndex, np.ndarray]:
     if not _held or _held[0] is not shared:
+        claim(__name__, _held.clear)
         _held[:] = [shared, (HashIndex(shared.value["keys"]), shared.value["n"])]
     return _held[1]
 

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import UNASSIGNED, Words, classes, code_points, load_merges, pre_tokens
-from .common import LOWER, arrow_map, buffers, eights, materialize, range_hash, ranges, slices, text_array
+from .common import LOWER, arrow_map, buffers, claim, eights, materialize, range_hash, ranges, slices, text_array
 from .sharding import with_slots
 
 WINDOW = 2048
 END_ID = 1
 #: Words that a worker's cache holds; it starts anew beyond that.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 500_000
 #: Triples enumerated for each greatest length.
 TRIPLES = 4
 #: Hex digits of the hash by which a length's ranks are dealt (256 buckets).
@@ -53,6 +53,7 @@ def _tokenizer(path: str):
     if path not in _state:
         from tokenizers import Tokenizer
 
+        claim(__name__, _state.clear)
         tok = Tokenizer.from_file(path)
         special = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or "(?!)")
         _state[path] = tok, load_merges(path), _no_words(), special
