@@ -49,8 +49,8 @@ def _contractions(cps: np.ndarray, at: np.ndarray, text_end: np.ndarray) -> tupl
     return at[hit], np.where(one, 2, 3)[hit]
 
 
-def pre_tokens(cps: np.ndarray, offs: np.ndarray, attach_space: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, classes): the matches of the split pattern, in characters.
+def pre_tokens(cps: np.ndarray, offs: np.ndarray, attach_space: bool, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, classes): the matches of the split pattern, in characters; table has the class of every code point (else `classes`).
 
     attach_space True: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
     attach_space False: 's|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+ (spaces dropped)
@@ -59,7 +59,7 @@ def pre_tokens(cps: np.ndarray, offs: np.ndarray, attach_space: bool) -> tuple[n
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    cls = classes()[cps]
+    cls = (classes() if table is None else table)[cps]
     cls[cls == UNASSIGNED] = OTHER
     begin = np.zeros(n, bool)
     begin[1:] = cls[1:] != cls[:-1]
