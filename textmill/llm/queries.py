@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, chat, dedup_substring, jaccard_join, oracles, packing, sharding, suffix_tree, syncmers, token_counts, toxicity
+from . import ann, byte_bpe, chat, dedup_substring, jaccard_join, oracles, packing, sharding, suffix_tree, syncmers, token_counts, toxicity, whitening
 
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 32))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_hash_tree_sharding": oracles.SHARDS,
     "op3_substring_dedup": oracles.REPEATS,
@@ -75,5 +79,6 @@ QUERIES = {
         op9_byte_bpe,
         op10_chat_role_repair,
         op11_token_counts,
+        op12_svd_whitening,
     )
 }
