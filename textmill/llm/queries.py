@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, chat, dedup_substring, jaccard_join, oracles, packing, sharding, suffix_tree, syncmers, token_counts, toxicity, whitening
+from . import ann, byte_bpe, chat, dedup_substring, jaccard_join, oracles, packing, runs, sharding, suffix_tree, syncmers, token_counts, toxicity, whitening
 
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 32))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.planted(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_hash_tree_sharding": oracles.SHARDS,
     "op3_substring_dedup": oracles.REPEATS,
@@ -80,5 +84,6 @@ QUERIES = {
         op10_chat_role_repair,
         op11_token_counts,
         op12_svd_whitening,
+        op13_periodic_runs,
     )
 }
