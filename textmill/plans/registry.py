@@ -33,4 +33,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import assembly, corpus, curation, evals, extract, leaks, logs, policies, relational, retrieval, rows, scalars  # noqa: E402, F401
+from . import assembly, corpus, curation, evals, extract, leaks, logs, policies, relational, retrieval, rows, scalars, shapes  # noqa: E402, F401
