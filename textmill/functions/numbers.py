@@ -39,15 +39,48 @@ def rational(num: Column | str, den: Column | str) -> Column:
     num, den = c(num).cast("long"), c(den).cast("long")
     g = F.greatest(gcd(num, den), F.lit(1))
     sign = F.when(den < 0, -1).otherwise(1)
-    return F.when(den != 0, F.struct((num * sign / g).cast("long").alias("num"), (den * sign / g).cast("long").alias("den")))
+    whole = lambda x: F.call_function("div", x * sign, g)
+    return F.when(den != 0, F.struct(whole(num).alias("num"), whole(den).alias("den")))
 
 
 def rational_add(a: Column, b: Column) -> Column:
-    return rational(a["num"] * b["den"] + b["num"] * a["den"], a["den"] * b["den"])
+    """The sum; null where a number on the way is beyond 64 bits (as for the others)."""
+    times = F.try_multiply
+    return _known(F.try_add(times(a["num"], b["den"]), times(b["num"], a["den"])), times(a["den"], b["den"]))
 
 
 def rational_mul(a: Column, b: Column) -> Column:
-    return rational(a["num"] * b["num"], a["den"] * b["den"])
+    return _known(F.try_multiply(a["num"], b["num"]), F.try_multiply(a["den"], b["den"]))
+
+
+def rational_neg(a: Column) -> Column:
+    return rational(-a["num"], a["den"])
+
+
+def rational_less(a: Column, b: Column) -> Column:
+    return F.try_multiply(a["num"], b["den"]) < F.try_multiply(b["num"], a["den"])
+
+
+def _known(num: Column, den: Column) -> Column:
+    return F.when(num.isNotNull() & den.isNotNull(), rational(num, den))
+
+
+def power(base: Column, exponent: Column) -> Column:
+    """base ** exponent for exponents from 0; null below 0 or beyond 64 bits."""
+    odd = F.pmod(exponent, F.lit(2)) == 1
+    one = F.lit(1).cast("long")
+    steps = F.when((exponent > 0) & (exponent < 64), F.sequence(one, exponent)).otherwise(F.array().cast("array<bigint>"))
+    product = F.aggregate(steps, one, lambda p, _: F.try_multiply(p, base))
+    small = F.when(base == -1, F.when(odd, -one).otherwise(one)).otherwise(F.when(exponent == 0, one).otherwise(base))
+    return F.when(exponent < 0, None).when(F.abs(base) <= 1, small).when(exponent < 64, product)
+
+
+def isqrt(x: Column) -> Column:
+    """The whole square root; null below 0."""
+    near = F.floor(F.sqrt(x.cast("double"))).cast("long")
+    near = F.least(F.greatest(near, F.lit(0).cast("long")), F.lit(3_037_000_499).cast("long"))
+    down = F.when(near * near > x, near - 1).otherwise(near)
+    return F.when(x >= 0, F.when(F.coalesce(F.try_multiply(down + 1, down + 1) <= x, F.lit(False)), down + 1).otherwise(down))
 
 
 def forall_range(lo: Column, hi: Column, test) -> Column:

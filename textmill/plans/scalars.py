@@ -86,3 +86,28 @@ def compiled_expressions(t: Tables):
     run = lambda ast: expressions.compile_ast(ast, env)
     sq = run(squares)
     return t.orders.select("o_orderkey", run(value).alias("value"), run(flag).alias("flag"), run(["div", 100, ["var", "k"]]).alias("quotient"), F.when(env["k"] > 0, sq).alias("squares"))
+
+
+@query(
+    """WITH k AS (SELECT o_orderkey, o_orderkey % 10 AS k, o_custkey % 7 AS m FROM orders), r AS (SELECT *, (k * 3 + 2) AS num, gcd(k * 3 + 2, 6 * (m + 1)) AS g FROM k)
+SELECT o_orderkey, k = 0 OR m = 0 AS undefined, CASE WHEN m <> 0 THEN 10 // nullif(k, 0) > m END AS holds, coalesce(m = 0 AND 10 // nullif(k, 0) > 3, false) AS reached,
+CASE WHEN k < 5 THEN 'no value' WHEN m = 6 THEN 'true' ELSE 'false' END AS searched, CAST(num // g AS VARCHAR) || CASE WHEN 6 * (m + 1) // g = 1 THEN '' ELSE '/' || CAST(6 * (m + 1) // g AS VARCHAR) END AS exact FROM r"""
+)
+def total_expressions(t: Tables):
+    """Programs with functions, exact fractions, and values that may be missing, which differ from false."""
+    env = {"k": (F.col("o_orderkey") % 10).cast("long"), "m": (F.col("o_custkey") % 7).cast("long")}
+    k, m = ["var", "k"], ["var", "m"]
+    functions = [
+        expressions.Function("over", ["x", "y"], [">", ["div", 10, ["var", "x"]], ["var", "y"]]),
+        expressions.Function("both", ["x", "y"], ["and", ["!=", ["mod", ["var", "x"], ["var", "y"]], -1], ["call", "over", ["var", "x"], ["var", "y"]]]),
+        expressions.Function("share", ["x", "y"], ["div", ["toreal", ["var", "x"]], ["toreal", ["var", "y"]]]),
+    ]
+    go = lambda ast: expressions.compile_value(ast, env, functions)
+    both = go(["call", "both", k, m])
+    reached = go(["and", ["!=", k, 0], ["and", ["=", m, 0], ["call", "over", k, 3]]])
+    found = go(["exists", "i", ["seq", 5, ["at", ["range", 0, k], 4], m], ["and", [">", ["var", "i"], 3], ["!=", ["var", "i"], 5], ["!=", ["var", "i"], 4]]])
+    exact = go(["tostr", ["+", ["call", "share", k, ["*", 2, ["+", m, 1]]], ["call", "share", 1, ["*", 3, ["+", m, 1]]]]])
+    said = F.when(~found.ok, "no value").when(found.value, "true").otherwise("false")
+    return t.orders.select(
+        "o_orderkey", (~both.ok).alias("undefined"), F.when(both.ok, both.value).alias("holds"), F.when(reached.ok, reached.value).alias("reached"), said.alias("searched"), F.when(exact.ok, exact.value).alias("exact")
+    )
