@@ -31,7 +31,7 @@ _U = np.uint64
 # ------------------------------------------------------------------ durable tables
 
 #: Bytes of an Arrow batch while a table is written.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
