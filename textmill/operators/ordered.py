@@ -19,21 +19,38 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ranged(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """df with _range: the place of a numeric column among its approximate quantiles (a sketch of bounded size)."""
-    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.002)))
-    table = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
-    at = F.size(F.filter(table, lambda c: c <= F.col(order).cast("double"))) if cuts else F.lit(0)
-    return df.withColumn("_range", at)
+def _cuts(df: DataFrame, order: str, ranges: int) -> list[float]:
+    return sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.002)))
 
 
-def sum_before(df: DataFrame, order: str, value: Column, then: list[str] | None = None, out: str = "before") -> DataFrame:
+def _place(order: str, cuts: list[float]) -> Column:
+    """How many of the cuts are at most the value."""
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(order).cast("double")))
+
+
+def ranged(df: DataFrame, order: str, ranges: int = RANGES, second: str | None = None) -> DataFrame:
+    """df with _range: the place of a numeric column among its approximate quantiles (a sketch of bounded size).
+
+    second: rows that equal a quantile (frequent values do) are ranges of their own, cut once more by this numeric column.
+    """
+    cuts = _cuts(df, order, ranges)
+    if second is None or not cuts:
+        return df.withColumn("_range", _place(order, cuts))
+    equal = F.array_contains(F.array(*[F.lit(c) for c in cuts]), F.col(order).cast("double"))
+    inner = F.when(equal, _place(second, _cuts(df, second, ranges))).otherwise(ranges)
+    return df.withColumn("_range", _place(order, cuts) * (ranges + 1) + inner)
+
+
+def sum_before(df: DataFrame, order: str, value: Column, then: list[str] | None = None, out: str = "before", second: str | None = None) -> DataFrame:
     """df with the sum of `value` over all rows that come earlier in the order.
 
-    Sums by range first (at most RANGES rows meet in one task), then inside each range. Equal
-    order values stay in one range; `then` orders them, else they count as one (none before another).
+    Sums by range first (a bounded number of them meets in one task), then inside each range. Equal
+    order values stay in one range, unless `second` (numeric, the first of `then`) splits them; `then` orders them,
+    else they count as one (none before another).
     """
-    rows = ranged(df.withColumn("_value", value), order)
+    rows = ranged(df.withColumn("_value", value), order, second=second)
     sums = rows.groupBy("_range").agg(F.sum("_value").alias("_sum"))
     base = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     w = Window.partitionBy("_range").orderBy(order, *(then or []))
@@ -41,6 +58,11 @@ def sum_before(df: DataFrame, order: str, value: Column, then: list[str] | None
     return rows.join(F.broadcast(base), "_range").withColumn(out, F.col("_base") + F.coalesce(inside, F.lit(0))).drop("_range", "_value", "_base")
 
 
+def ranked(df: DataFrame, order: str, then: list[str], out: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in the order of a numeric column and then others, the first of them numeric; no hot value is one task."""
+    return sum_before(df, order, F.lit(1), then, out, second=then[0]).withColumn(out, F.col(out) + 1)
+
+
 def median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
     """One row: the exact median, from the counts of distinct values; no task sees all rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))

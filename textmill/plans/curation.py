@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import alnum_words, word_tokens
 from ..operators import dedup
-from ..operators.ordered import small, sum_before
+from ..operators.ordered import ranked, small, sum_before
 from .registry import Tables, query
 
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -69,12 +69,10 @@ def repeated_targets(t: Tables):
 
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size / 50.0 END, 1.0), -p_retailprice, p_partkey) AS INTEGER) AS place FROM part")
 def weakest_first(t: Tables):
-    """A missing strength counts as full; ranges of strength and price are ranked by themselves."""
+    """A missing strength counts as full; of equal strengths the highest price comes first."""
     strength = F.coalesce(F.when(F.col("p_size") % 5 != 0, F.col("p_size") / 50.0), F.lit(1.0))
     rows = t.part.select("p_partkey", strength.alias("strength"), (-F.col("p_retailprice")).alias("price"))
-    # a number in the same order as (strength, price): prices differ by less than the least step of strength times 1e7
-    rows = rows.withColumn("order", F.col("strength") * 1e7 + F.col("price"))
-    return sum_before(rows, "order", F.lit(1), ["strength", "price", "p_partkey"]).select("p_partkey", (F.col("before") + 1).cast("int").alias("place"))
+    return ranked(rows, "strength", ["price", "p_partkey"]).select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @query(
