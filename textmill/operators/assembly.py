@@ -90,6 +90,13 @@ def repairs(drafts: DataFrame, task: str, sample: str, text: str, passes: Column
     return once.where("built is not null").withColumn("_n", n).where(F.col("_n") <= limit).drop("_n")
 
 
+def repair_messages(question: str, draft: str, proved: str, verdict: Column, repair: Column) -> Column:
+    """The messages of a conversation: question and draft, and for a repair the verdict on the draft and the proved answer."""
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    first = F.array(said("user", F.col(question)), said("assistant", F.col(draft)))
+    return F.when(repair, F.concat(first, F.array(said("user", verdict), said("assistant", F.col(proved))))).otherwise(first)
+
+
 def relabelled(rows: DataFrame, labels: DataFrame, task: str, key: str, cap: int) -> DataFrame:
     """Rows with the newer label where there is one; of the relabelled ones at most `cap` a task, none twice."""
     new = labels.select(key, F.col("label").alias("_new")).dropDuplicates([key])

@@ -12,7 +12,7 @@ from ..operators import dedup, leakage, retrieval
 from ..operators import review as r
 from ..operators.chars import counts
 from .corpus import GRAMS, SPLIT
-from .registry import Tables, query
+from .registry import ORACLE_SQL, QUERIES, Tables, query
 from .retrieval import INDEX
 
 
@@ -103,7 +103,7 @@ def stronger_evidence(t: Tables):
 
 
 ARMS = """w AS (SELECT user_id, max(value) FILTER (event_type = 'click') AS v0, max(value) FILTER (event_type = 'purchase') AS v1, max(props) FILTER (event_type = 'click') AS s0, max(props) FILTER (event_type = 'purchase') AS s1,
- count(value) FILTER (event_type = 'click') AS n0, count(value) FILTER (event_type = 'purchase') AS n1 FROM (SELECT user_id, event_type, value, substr(props, 1, 7) AS props FROM events WHERE user_id % 2 = 0 OR event_type <> 'click') GROUP BY 1),
+ count(value) FILTER (event_type = 'click') AS n0, count(value) FILTER (event_type = 'purchase') AS n1 FROM (SELECT user_id, event_type, value, props FROM events) GROUP BY 1),
 y AS (SELECT *, n0 > 0 AND n1 > 0 AS b, n0 > 0 AND n1 > 0 AND s0 = s1 AS same FROM w WHERE n0 + n1 > 0)"""
 
 
@@ -112,8 +112,7 @@ y AS (SELECT *, n0 > 0 AND n1 > 0 AS b, n0 > 0 AND n1 > 0 AND s0 = s1 AS same FR
 round(avg(v1 - v0) FILTER (same), 6) AS difference, count(*) FILTER (NOT b) AS one_arm, count(*) FILTER (b AND NOT same) AS mismatched FROM y"""
 )
 def paired_arms(t: Tables):
-    rows = t.events.where("user_id % 2 = 0 or event_type <> 'click'").select("user_id", "event_type", "value", F.substring("props", 1, 7).alias("props"))
-    return r.paired_arms(rows, "user_id", "event_type", "click", "purchase", "props", "value").withColumn("difference", F.round("difference", 6))
+    return r.paired_arms(t.events, "user_id", "event_type", "click", "purchase", "props", "value").withColumn("difference", F.round("difference", 6))
 
 
 @query(
@@ -146,12 +145,13 @@ def decontam_examples(t: Tables):
 
 
 @query(
-    f"""WITH s AS {SPLIT}, d AS (SELECT doc_id, split, sha256(text) AS body, substr(sha256(source || substr(text, 1, 30)), 1, 16) AS spec FROM documents JOIN s USING (doc_id)), tr AS (SELECT * FROM d WHERE split = 'train')
+    f"""WITH s AS {SPLIT}, d AS (SELECT doc_id, split, sha256(text) AS body, sha256(source || split_part(text, chr(10), 1)) AS spec FROM documents JOIN s USING (doc_id)), tr AS (SELECT * FROM d WHERE split = 'train')
 SELECT doc_id, CASE WHEN doc_id + 1 IN (SELECT doc_id FROM tr) AND doc_id % 10 = 0 THEN 'answered in training' WHEN body IN (SELECT body FROM tr) THEN 'same program' WHEN spec IN (SELECT spec FROM tr) THEN 'same specification' END AS reason FROM d WHERE split = 'val'"""
 )
 def held_out_cleaning(t: Tables):
+    """A document's specification is its source and its head line."""
     rows = t.documents.select("doc_id", "source", "text").join(dedup.hash_split(t.documents), "doc_id")
-    rows = rows.select("doc_id", "split", sha256("text").alias("body"), F.substring(sha256(F.concat("source", F.substring("text", 1, 30))), 1, 16).alias("spec"))
+    rows = rows.select("doc_id", "split", sha256("text").alias("body"), sha256(F.concat("source", F.substring_index("text", "\n", 1))).alias("spec"))
     held = rows.where("split = 'val'").withColumn("problem", F.when(F.col("doc_id") % 10 == 0, F.col("doc_id") + 1))
     train = rows.where("split = 'train'").withColumn("problem", F.col("doc_id"))
     return r.cleaned(held, train, {"answered in training": "problem", "same program": "body", "same specification": "spec"}).select("doc_id", "reason")
@@ -181,13 +181,13 @@ def closed_fractions(t: Tables):
     return t.part.select("p_partkey", F.round(value, 6).alias("fraction"), why.alias("reason"))
 
 
-@query(
-    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'split: corpus' WHEN 1 THEN 'split: splitter' ELSE CASE p_partkey % 3 WHEN 0 THEN 'leakage: CONTAMINATED' WHEN 1 THEN 'leakage: SUSPECT' END END AS reason FROM part"""
-)
+@query(f"""WITH s AS ({ORACLE_SQL['split_health']}), l AS ({ORACLE_SQL['leakage_verdict']})
+SELECT s.verdict AS split, l.verdict AS leakage, CASE WHEN s.verdict <> 'healthy' THEN 'split: ' || s.verdict WHEN l.verdict <> 'CLEAN' THEN 'leakage: ' || l.verdict END AS reason FROM s, l""")
 def holdout_eligibility(t: Tables):
-    split = F.when(F.col("p_size") % 4 == 0, "corpus").when(F.col("p_size") % 4 == 1, "splitter").otherwise("healthy")
-    leak = F.when(F.col("p_partkey") % 3 == 0, "CONTAMINATED").when(F.col("p_partkey") % 3 == 1, "SUSPECT").otherwise("CLEAN")
-    return t.part.select("p_partkey", r.eligible(split, leak)[1].alias("reason"))
+    """Whether a number on the hash split's validation side may be reported: its health first, then what leaks."""
+    split = QUERIES["split_health"](t.spark, t.sf_dir).select(F.col("verdict").alias("split"))
+    both = split.crossJoin(QUERIES["leakage_verdict"](t.spark, t.sf_dir).select(F.col("verdict").alias("leakage")))
+    return both.select("split", "leakage", r.eligible(F.col("split"), F.col("leakage"))[1].alias("reason"))
 
 
 @query(
@@ -269,12 +269,22 @@ def merged_lanes(t: Tables):
 
 
 @query(
-    f"""WITH {SAMPLES}, f AS (SELECT task, text, min(sample) AS sample, arg_min(level, sample) AS level FROM x WHERE text <> '' GROUP BY 1, 2),
-b AS (SELECT *, CASE WHEN level < 3 THEN 'repair' WHEN sample % 2 = 0 THEN 'pass' END AS built FROM f)
-SELECT task, sample, built FROM (SELECT *, row_number() OVER (PARTITION BY task, built ORDER BY sample) AS k FROM b WHERE built IS NOT NULL) WHERE k <= CASE built WHEN 'repair' THEN 2 ELSE 1 END"""
+    """WITH x AS (SELECT conv_id AS task, turn AS sample, text, role = 'assistant' AS graded FROM conversations), asked AS (SELECT conv_id AS task, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY 1),
+p AS (SELECT conv_id AS task, arg_max(text, turn) AS proved FROM conversations WHERE role = 'assistant' GROUP BY 1), d AS (SELECT task, text, min(sample) AS sample FROM x WHERE graded AND text <> '' GROUP BY 1, 2),
+b AS (SELECT d.*, question, proved, CASE WHEN d.text <> proved THEN 'repair' ELSE 'pass' END AS built FROM d JOIN asked USING (task) JOIN p USING (task)),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task, built ORDER BY sample) AS k FROM b) WHERE k <= CASE built WHEN 'repair' THEN 2 ELSE 1 END)
+SELECT task, sample, built, sha256(CASE built WHEN 'pass' THEN 'user:' || question || chr(0) || 'assistant:' || text ELSE 'user:' || question || chr(0) || 'assistant:' || text || chr(0) || 'user:The last answer differs from the proved one.' || chr(0) || 'assistant:' || proved END) AS conversation FROM k"""
 )
 def repair_conversations(t: Tables):
-    return a.repairs(_samples(t), "task", "sample", "text", F.col("level") >= 3, F.col("sample") % 2 == 0).select("task", "sample", "built")
+    """Conversations from a task's drafts: the assistant's turns; the last one is the proved answer, the first user turn asks."""
+    c = t.conversations.select(F.col("conv_id").alias("task"), F.col("turn").alias("sample"), "role", "text")
+    asked = c.where("role = 'user'").groupBy("task").agg(F.min_by("text", "sample").alias("question"))
+    proved = c.where("role = 'assistant'").groupBy("task").agg(F.max_by("text", "sample").alias("proved"))
+    drafts = c.where("role = 'assistant'").join(asked, "task").join(proved, "task")
+    same = F.col("text") == F.col("proved")
+    rows = a.repairs(drafts, "task", "sample", "text", same, same).withColumn("messages", a.repair_messages("question", "text", "proved", F.lit("The last answer differs from the proved one."), F.col("built") == "repair"))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\x00")
+    return rows.select("task", "sample", "built", sha256(said).alias("conversation"))
 
 
 @query(
@@ -288,18 +298,19 @@ def relabelled_rows(t: Tables):
 
 
 @query(
-    """WITH e AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w)) AS w FROM conversations),
-p AS (SELECT a.conv_id, a.turn, a.w[:8] AS p, list_append(b.w, 0) AS c, list_append(a.w, 0) AS r FROM e a JOIN e b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, CASE WHEN len(p) + greatest(len(c), len(r)) > 65 THEN 'longer than the block' END AS reason,
-CASE WHEN len(p) + greatest(len(c), len(r)) <= 65 THEN array_to_string(list_concat(p, c)[:len(p) + len(c) - 1], ' ') END AS input,
-CASE WHEN len(p) + greatest(len(c), len(r)) <= 65 THEN array_to_string(list_concat(list_transform(p, lambda x: CAST(-1 AS BIGINT)), c)[2:], ' ') END AS target FROM p"""
+    """WITH e AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda c: CAST(unicode(c) AS BIGINT)) AS w FROM conversations WHERE text <> ''),
+p AS (SELECT a.conv_id, a.turn, a.w AS p, list_append(b.w, 0) AS c, list_append(x.w, 0) AS r FROM e a JOIN e b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 JOIN e x ON x.conv_id = a.conv_id + 1 AND x.turn = a.turn + 1)
+SELECT conv_id, turn, CASE WHEN len(p) + greatest(len(c), len(r)) > 513 THEN 'longer than the block' END AS reason,
+CASE WHEN len(p) + greatest(len(c), len(r)) <= 513 THEN array_to_string(list_concat(p, c)[:len(p) + len(c) - 1], ' ') END AS input,
+CASE WHEN len(p) + greatest(len(c), len(r)) <= 513 THEN array_to_string(list_concat(list_transform(p, lambda x: CAST(-1 AS BIGINT)), c)[2:], ' ') END AS target FROM p"""
 )
 def preference_rows(t: Tables):
-    words = F.transform(alnum_words("text"), F.char_length)
-    e = t.conversations.select("conv_id", "turn", words.alias("w"))
-    pairs = e.join(e.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v")), ["conv_id", "turn"])
-    end = lambda c: F.concat(F.col(c), F.array(F.lit(0)))
-    out = a.preference_rows(pairs, F.slice("w", 1, 8), end("v"), end("w"), 64)
+    """A turn as the prompt, its reply chosen, the same turn's reply of the next conversation rejected; ids are code points, 0 ends a reply."""
+    points = F.transform(F.split("text", ""), lambda ch: F.ascii(ch))
+    e = t.conversations.where("text <> ''").select("conv_id", "turn", points.alias("w"))
+    reply = lambda off, name: e.select((F.col("conv_id") - off).alias("conv_id"), (F.col("turn") - 1).alias("turn"), F.concat("w", F.array(F.lit(0))).alias(name))
+    pairs = e.join(reply(0, "chosen"), ["conv_id", "turn"]).join(reply(1, "rejected"), ["conv_id", "turn"])
+    out = a.preference_rows(pairs, F.col("w"), F.col("chosen"), F.col("rejected"), 512)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return out.select("conv_id", "turn", "reason", text("chosen_row.input").alias("input"), text("chosen_row.target").alias("target"))
 
@@ -362,10 +373,10 @@ def sentence_chunks(t: Tables):
     return t.documents.select("doc_id", F.size(chunks).cast("long").alias("chunks"), F.sha2(F.array_join(chunks, "\n"), 256).alias("digest"))
 
 
-@query(r"""SELECT item_id, nullif(trim(regexp_extract('Signature: f' || chr(10) || CASE WHEN item_id % 3 = 0 THEN '' ELSE 'Problem: ' || substr(text, 1, 20) END, '(?m)^Problem:[ \t]*(.*)$', 1)), '') AS title FROM benchmark""")
+@query(r"""SELECT item_id, nullif(trim(regexp_extract('Signature: f' || chr(10) || 'Problem: ' || text, '(?m)^Problem:[ \t]*(.*)$', 1)), '') AS title FROM benchmark""")
 def problem_titles(t: Tables):
-    head = F.when(F.col("item_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Problem: "), F.substring("text", 1, 20)))
-    return t.benchmark.select("item_id", spans.title(F.concat(F.lit("Signature: f\n"), head)).alias("title"))
+    """The rest of the line behind the label, the label being put before each text."""
+    return t.benchmark.select("item_id", spans.title(F.concat(F.lit("Signature: f\nProblem: "), "text")).alias("title"))
 
 
 @query("SELECT page_id, '[web:' || url || '#' || page_id || ']' AS citation FROM pages")
@@ -401,16 +412,17 @@ def claims_only(t: Tables):
 
 
 @query(
-    """WITH x AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+')[:12] AS w FROM conversations),
-r AS (SELECT conv_id, turn, flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(i, least(i + 7, len(w) + 1)), lambda j: array_to_string(w[i:j], ' ')))) AS r FROM x),
-g AS (SELECT conv_id, turn, len(r) AS runs, list_filter(r, lambda s: length(s) % 5 = 0) AS g FROM r)
-SELECT conv_id, turn, runs, array_to_string(list_sort(list_distinct(list_filter(g, lambda s: len(list_filter(g, lambda o: o <> s AND contains(o, s))) = 0))), '|') AS maximal FROM g"""
+    """WITH s AS (SELECT conv_id, turn, string_split(text, '. ') AS s FROM conversations), x AS (SELECT conv_id, turn, unnest(range(0, len(s))) AS sentence, regexp_extract_all(lower(unnest(s)), '[a-z0-9]+') AS w FROM s),
+r AS (SELECT conv_id, turn, sentence, flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(i, least(i + 7, len(w) + 1)), lambda j: array_to_string(w[i:j], ' ')))) AS r FROM x),
+g AS (SELECT conv_id, turn, sentence, len(r) AS runs, list_filter(r, lambda s: length(s) % 5 = 0) AS g FROM r)
+SELECT conv_id, turn, CAST(sentence AS INTEGER) AS sentence, runs, array_to_string(list_sort(list_distinct(list_filter(g, lambda s: len(list_filter(g, lambda o: o <> s AND contains(o, s))) = 0))), '|') AS maximal FROM g"""
 )
 def maximal_runs(t: Tables):
-    """Runs of up to seven words (of the first twelve, as a field's sentence has them) that read as a kind, here of a length; the longest reading of each place."""
-    rows = t.conversations.select("conv_id", "turn", spans.runs(F.slice(alnum_words("text"), 1, 12)).alias("r"))
-    rows = rows.select("conv_id", "turn", F.size("r").cast("long").alias("runs"), F.filter("r", lambda s: F.char_length(s) % 5 == 0).alias("g"))
-    return rows.select("conv_id", "turn", "runs", F.array_join(F.array_sort(spans.maximal(F.col("g"))), "|").alias("maximal"))
+    """Of every sentence, the runs of up to seven words that read as a kind, here of a length; the longest reading of each place."""
+    rows = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", r"\. ")).alias("sentence", "s"))
+    rows = rows.select("conv_id", "turn", "sentence", spans.runs(alnum_words("s")).alias("r"))
+    rows = rows.select("conv_id", "turn", "sentence", F.size("r").cast("long").alias("runs"), F.filter("r", lambda s: F.char_length(s) % 5 == 0).alias("g"))
+    return rows.select("conv_id", "turn", "sentence", "runs", F.array_join(F.array_sort(spans.maximal(F.col("g"))), "|").alias("maximal"))
 
 
 @query(
@@ -422,13 +434,9 @@ def whole_lines(t: Tables):
     return t.documents.select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(spans.whole_lines(lines, F.octet_length, 600)).cast("long").alias("kept"))
 
 
-REPLY = "CASE WHEN turn % 3 = 0 THEN 'No, it is. ' WHEN turn % 3 = 1 THEN 'Yes. Not so' ELSE 'It is not, I think' END"
-
-
-@query(f"SELECT conv_id, turn, CASE WHEN len(list_intersect(string_split(replace(split_part({REPLY}, '.', 1), ',', ''), ' '), ['No', 'no', 'not'])) > 0 THEN 'no' ELSE 'yes' END AS said FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN len(list_intersect(string_split(replace(split_part(text, '.', 1), ',', ''), ' '), ['No', 'no', 'not'])) > 0 THEN 'no' ELSE 'yes' END AS said FROM conversations WHERE role = 'assistant'")
 def yes_no_replies(t: Tables):
-    reply = F.when(F.col("turn") % 3 == 0, "No, it is. ").when(F.col("turn") % 3 == 1, "Yes. Not so").otherwise("It is not, I think")
-    return t.conversations.select("conv_id", "turn", spans.yes_no(reply).alias("said"))
+    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", spans.yes_no(F.col("text")).alias("said"))
 
 
 @query(
@@ -445,11 +453,14 @@ def ungrounded_numbers(t: Tables):
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size % 2 = p_size % 3 THEN CAST(p_size % 2 AS INTEGER) END AS agreed, CASE WHEN (p_size % 2 = p_size % 4)::INT + (p_size % 2 = p_size % 3)::INT >= 1 THEN CAST(p_size % 2 AS INTEGER) END AS confirmed FROM part"""
+    """WITH o AS (SELECT l_orderkey, max(l_returnflag) FILTER (l_linenumber = 1) AS a, max(l_returnflag) FILTER (l_linenumber = 2) AS b, max(l_returnflag) FILTER (l_linenumber = 3) AS c FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT >= 2 AND len(list_distinct([a, b, c])) = 1 THEN coalesce(a, b, c) END AS agreed, CASE WHEN a = b OR a = c THEN a END AS confirmed FROM o"""
 )
 def agreement_gates(t: Tables):
-    p = F.col("p_size").cast("int")
-    return t.part.select("p_partkey", spans.agreed(F.array(p % 2, F.lit(None).cast("int"), p % 3)).alias("agreed"), spans.confirmed(p % 2, F.array(p % 4, p % 3), 1).alias("confirmed"))
+    """The flags of an order's first three lines as three ways to a value: what all that say something agree on, and the first way's if another gives it."""
+    way = [F.max(F.when(F.col("l_linenumber") == k, F.col("l_returnflag"))).alias(f"w{k}") for k in (1, 2, 3)]
+    o = t.lineitem.groupBy("l_orderkey").agg(*way)
+    return o.select("l_orderkey", spans.agreed(F.array("w1", "w2", "w3")).alias("agreed"), spans.confirmed(F.col("w1"), F.array("w2", "w3"), 1).alias("confirmed"))
 
 
 @query(

@@ -136,16 +136,16 @@ def fixture_search(t: Tables):
 
 
 @query(
-    """WITH p AS (SELECT a.conv_id, a.turn, lower(b.text) AS reply, regexp_extract_all(lower(a.text), '[a-z0-9]+') AS w FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-l AS (SELECT conv_id, turn, reply, list_transform([w[1:2], w[3:3], w[4:6]], lambda alts: len(list_filter(alts, lambda x: contains(reply, x))) > 0) AS labels FROM p)
+    """WITH p AS (SELECT a.conv_id, a.turn, lower(b.text) AS reply, list_transform(string_split(lower(a.text), '. '), lambda s: list_filter(regexp_extract_all(s, '[a-z0-9]+'), lambda x: length(x) >= 6)) AS w FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+l AS (SELECT conv_id, turn, reply, list_transform(w, lambda alts: len(list_filter(alts, lambda x: contains(reply, x))) > 0) AS labels FROM p)
 SELECT conv_id, turn, array_to_string(list_transform(labels, lambda x: CAST(x AS INTEGER)), ',') AS labels, list_bool_and(labels) AND NOT contains(reply, 'insufficient information') AS "right", contains(reply, 'insufficient information') AS rejected FROM l"""
 )
 def answer_containment(t: Tables):
-    """A label for each part of an answer (any of its alternatives is in the reply): right if all are and the reply does not refuse."""
+    """A label for each part of an answer, here a sentence with its long words as alternatives (any is in the reply): right if all are and the reply does not refuse."""
     c = t.conversations
-    p = c.select("conv_id", "turn", alnum_words("text").alias("w")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("reply")), ["conv_id", "turn"])
-    parts = F.array(F.slice("w", 1, 2), F.slice("w", 3, 1), F.slice("w", 4, 3))
-    labels = F.transform(parts, lambda alts: F.exists(alts, lambda x: F.contains("reply", x)))
+    parts = F.transform(F.split(F.lower("text"), r"\. "), lambda s: F.filter(F.regexp_extract_all(s, F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.char_length(x) >= 6))
+    p = c.select("conv_id", "turn", parts.alias("w")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("reply")), ["conv_id", "turn"])
+    labels = F.transform("w", lambda alts: F.exists(alts, lambda x: F.contains("reply", x)))
     refused = F.contains("reply", F.lit("insufficient information"))
     return p.select("conv_id", "turn", F.array_join(F.transform(labels, lambda x: x.cast("int").cast("string")), ",").alias("labels"), (F.forall(labels, lambda x: x) & ~refused).alias("right"), refused.alias("rejected"))
 

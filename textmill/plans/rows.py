@@ -42,15 +42,15 @@ def tiered_caps(t: Tables):
 
 
 @query(
-    """WITH x AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'twin' WHEN 'click' THEN 'failed' WHEN 'error' THEN 'unparsed' END AS tier FROM events),
-k AS (SELECT *, row_number() OVER (PARTITION BY user_id, tier ORDER BY event_id) AS a FROM x WHERE tier IS NOT NULL AND event_id % 97 < 9), c AS (SELECT *, count(*) FILTER (tier = 'failed') OVER (PARTITION BY user_id) AS b FROM k WHERE a <= CASE tier WHEN 'unparsed' THEN 1 ELSE 2 END)
-SELECT user_id, event_id, tier, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE tier WHEN 'twin' THEN 1 WHEN 'failed' THEN 2 ELSE 3 END, event_id) AS INTEGER) AS place FROM c WHERE tier <> 'unparsed' OR b < 2) WHERE place <= 4"""
+    """WITH x AS (SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, event_id, CASE event_type WHEN 'purchase' THEN 'twin' WHEN 'click' THEN 'failed' WHEN 'error' THEN 'unparsed' END AS tier FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, day, tier ORDER BY event_id) AS a FROM x WHERE tier IS NOT NULL), c AS (SELECT *, count(*) FILTER (tier = 'failed') OVER (PARTITION BY user_id, day) AS b FROM k WHERE a <= CASE tier WHEN 'unparsed' THEN 1 ELSE 2 END)
+SELECT user_id, event_id, tier, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, day ORDER BY CASE tier WHEN 'twin' THEN 1 WHEN 'failed' THEN 2 ELSE 3 END, event_id) AS INTEGER) AS place FROM c WHERE tier <> 'unparsed' OR b < 2) WHERE place <= 4"""
 )
 def negatives_by_tier(t: Tables):
-    """A problem's negatives: twins, then failed samples; samples that did not parse only where fewer than two failed."""
+    """A problem's (user's day's) negatives: twins, then failed samples; samples that did not parse only where fewer than two failed."""
     tier = F.when(F.col("event_type") == "purchase", "twin").when(F.col("event_type") == "click", "failed").when(F.col("event_type") == "error", "unparsed")
-    rows = t.events.where("event_id % 97 < 9").select("user_id", "event_id", tier.alias("tier"))
-    return r.tiered(rows, ["user_id"], "tier", [F.col("event_id")], {"twin": 2, "failed": 2, "unparsed": 1}, 4, {"unparsed": ("failed", 2)}).select("user_id", "event_id", "tier", "place")
+    rows = t.events.select("user_id", F.to_date("ts").alias("day"), "event_id", tier.alias("tier"))
+    return r.tiered(rows, ["user_id", "day"], "tier", [F.col("event_id")], {"twin": 2, "failed": 2, "unparsed": 1}, 4, {"unparsed": ("failed", 2)}).select("user_id", "event_id", "tier", "place")
 
 
 @query("SELECT user_id, arg_max(event_id, value * 1000000 - event_id / 1e6) AS event_id, max(value) AS value FROM events GROUP BY user_id")
