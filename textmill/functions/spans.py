@@ -219,3 +219,38 @@ def utf8_edge(data: bytes) -> bytes:
 def squeezed_lines(text: str) -> str:
     """Lines with their blanks squeezed, at most one empty line in a row."""
     return re.sub(r"\n{3,}", "\n\n", "\n".join(" ".join(line.split()) for line in text.splitlines())).strip()
+
+
+# ------------------------------------------------------------------ how a document writes numbers
+
+_SPACED = rf"[\w&&[^{UNSPACED}]]"
+#: A word or number with separators inside.
+PIECE = rf"(?U){_SPACED}+(?:[.,'’:/-]{_SPACED}+)*"
+#: The two ways to write a number, and those that can be read in one way alone.
+ENGLISH, CONTINENTAL = r"^(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?$", r"^(?:[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+)(?:,[0-9]+)?$"
+SURELY_ENGLISH, SURELY_CONTINENTAL = r"^(?:[0-9]{1,3}(?:,[0-9]{3})+\.[0-9]+|[0-9]+\.[0-9]{1,2})$", r"^(?:[0-9]{1,3}(?:\.[0-9]{3})+,[0-9]+|[0-9]+,[0-9]{2})$"
+
+
+def number_pieces(text: Column | str) -> Column:
+    """The pieces of a text that are digits with separators inside, as they stand."""
+    return F.filter(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: x.rlike("^[0-9](?:[0-9.,]*[0-9])?$"))
+
+
+def number_convention(pieces: Column) -> Column:
+    """How a document writes numbers, from all its numeric pieces: english, continental or mixed (both surely occur); english if nothing decides."""
+    english, continental = F.exists(pieces, lambda x: x.rlike(SURELY_ENGLISH)), F.exists(pieces, lambda x: x.rlike(SURELY_CONTINENTAL))
+    return F.when(english & continental, "mixed").when(continental, "continental").otherwise("english")
+
+
+def read_number(piece: Column, convention: Column) -> Column:
+    """struct(value, refused): a piece's value under the document's convention, or why it has none.
+
+    A piece that reads in one way alone is read that way; one with two different values follows the convention, and
+    is refused where the document writes numbers both ways.
+    """
+    english = F.when(piece.rlike(ENGLISH), F.regexp_replace(piece, ",", "").try_cast("decimal(38,10)"))
+    continental = F.when(piece.rlike(CONTINENTAL), F.regexp_replace(F.regexp_replace(piece, r"\.", ""), ",", ".").try_cast("decimal(38,10)"))
+    two = english.isNotNull() & continental.isNotNull() & (english != continental)
+    refused = F.when(english.isNull() & continental.isNull(), "unreadable").when(two & (convention == "mixed"), "two readings")
+    other = english.isNull() | ((convention == "continental") & continental.isNotNull())
+    return F.struct(F.when(refused.isNull(), F.when(other, continental).otherwise(english)).alias("value"), refused.alias("refused"))
