@@ -217,8 +217,8 @@ class _Compiler:
             stays, build = RATIONALS[op]
 
         def make(values: list[Value]) -> Value:
-            made = build(*[v.value for v in values])
-            return Value(made, _all([v.ok for v in values]) & made.isNotNull(), RATIONAL if stays else "")
+            made = F.transform(F.array(build(*[v.value for v in values])), lambda m: F.struct(m.alias("v"), (_all([v.ok for v in values]) & m.isNotNull()).alias("o")))
+            return Value.of(F.get(made, F.lit(0)), RATIONAL if stays else "")
 
         return self._on(values, make)
 
