@@ -185,3 +185,21 @@ def test_two_writers(spark, store):
     with pytest.raises(Conflict):
         store._commit(0, [])
     assert store.version() == 1 and held(store.read()) == [(1, "a")]
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_dense_in_blocks(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    r = np.random.default_rng(2)
+    x = r.normal(size=(120, 8)).round(1)
+    x[7] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 8), (502, [None, *[1.0] * 7])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    got = retrieval.dense(df, df.where("id % 10 = 0").withColumnRenamed("id", "q"), "id", "q", 6).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 120, 10):
+        want = sorted(((-round(float(u[q] @ u[i]), 6) + 0.0, str(i)) for i in range(120)))[:6]
+        assert [(-g.score + 0.0, str(g.id)) for g in sorted((g for g in got if g.q == q), key=lambda g: g.rank)] == want
+    assert {g.q for g in got} == set(range(0, 120, 10))

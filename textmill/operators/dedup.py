@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import below, holdout, sha256
 from ..functions.text import normalized, strip_py
+from ..session import spread, written
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -34,14 +35,17 @@ def exact_first(docs: DataFrame, mode: str = "raw") -> DataFrame:
 
 
 def duplicate_of(docs: DataFrame) -> DataFrame:
-    """Each later copy by normalised text with the kept document, and whether it is an exact or a normalised copy."""
-    rows = docs.select("doc_id", sha256("text").alias("sha"), sha256(normalized("text")).alias("norm"))
-    kept = rows.groupBy("norm").agg(F.min(F.struct("doc_id", "sha")).alias("k"))
-    return (
-        rows.join(kept, "norm")
-        .where(F.col("doc_id") > F.col("k.doc_id"))
-        .select("doc_id", F.col("k.doc_id").alias("duplicate_of"), F.when(F.col("sha") == F.col("k.sha"), "exact").otherwise("normalized").alias("reason"))
-    )
+    """Each later copy by normalised text with the kept document, and whether it is an exact or a normalised copy.
+
+    Both digests are computed once and written; texts are not moved. The kept document is a minimum of ids alone.
+    """
+    rows = written(spread(docs.select("doc_id", "text")).select("doc_id", sha256("text").alias("sha"), sha256(normalized("text")).alias("norm")))
+    kept = rows.groupBy("norm").agg(F.min("doc_id").alias("duplicate_of"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = rows.join(kept, "norm").where("doc_id > duplicate_of")
+    first = rows.select(F.col("doc_id").alias("duplicate_of"), F.col("norm"), F.col("sha").alias("kept_sha"))
+    # rows that repeat the kept id have one text each: the least digest counts, as with a minimum over both
+    first = first.join(kept, ["norm", "duplicate_of"], "left_semi").groupBy("duplicate_of", "norm").agg(F.min("kept_sha").alias("kept_sha"))
+    return copies.join(first, ["duplicate_of", "norm"]).select("doc_id", "duplicate_of", F.when(F.col("sha") == F.col("kept_sha"), "exact").otherwise("normalized").alias("reason"))
 
 
 def group_report(docs: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
 from ..functions.text import word_tokens
-from ..operators import leakage
+from ..operators import leaks
 from ..operators import retrieval as r
 from ..operators.ordered import small
-from ..session import spread
 from .registry import Tables, query
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
@@ -49,15 +48,13 @@ ov AS (SELECT item_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM dw JOIN qw
 oranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS INTEGER) AS rank FROM ov)"""
 
 
-def _overlap(t: Tables, k: int):
-    d = spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(word_tokens("text"))).alias("term"))
-    q = t.benchmark.select("item_id", F.explode(F.array_distinct(word_tokens("text"))).alias("term"))
-    return r.top_k(d.join(small(q), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), "item_id", "doc_id", k)
+def _postings(t: Tables):
+    return r.Postings(t.documents, t.benchmark, "doc_id", "item_id")
 
 
 @query(f"WITH {OVERLAP} SELECT item_id, doc_id, score, rank FROM oranked WHERE rank <= 10")
 def overlap_topk(t: Tables):
-    return _overlap(t, 10)
+    return r.top_k(_postings(t).overlap(), "item_id", "doc_id", 10)
 
 
 @query(
@@ -66,8 +63,9 @@ def overlap_topk(t: Tables):
 SELECT * FROM (SELECT item_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS INTEGER) AS rank FROM f) WHERE rank <= 5"""
 )
 def rrf_fusion(t: Tables):
-    a = r.top_k(r.bm25(t.documents, t.benchmark, "doc_id", "item_id"), "item_id", "doc_id", 20)
-    return r.fuse([a, _overlap(t, 20)], "item_id", "doc_id", 5)
+    """Both lists come from one table of postings."""
+    p = _postings(t)
+    return r.fuse([r.top_k(scores, "item_id", "doc_id", 20) for scores in (p.bm25(), p.overlap())], "item_id", "doc_id", 5)
 
 
 @query(
@@ -77,7 +75,7 @@ SELECT count(*) AS queries, CAST(sum(hit) AS BIGINT) AS found, round(avg(hit), 6
 )
 def recall_at_k(t: Tables):
     ranked = r.top_k(r.bm25(t.documents, t.benchmark, "doc_id", "item_id"), "item_id", "doc_id", 10)
-    truth = leakage.containing(t.documents, t.benchmark.select("item_id", F.col("text").alias("needle"))).select("item_id", "doc_id")
+    truth = leaks.leak_check(t.documents, t.benchmark.select("item_id", F.col("text").alias("needle"), F.lit(False).alias("words"))).select("item_id", "doc_id")
     return r.recall(ranked, truth, "item_id", "doc_id")
 
 
@@ -88,7 +86,7 @@ SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION
 )
 def dense_topk(t: Tables):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return r.top_k(r.dense(t.embeddings, q, "vec_id", "query_id"), "query_id", "vec_id", 5)
+    return r.dense(t.embeddings, q, "vec_id", "query_id", 5)
 
 
 @query("SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY label, i")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,6 +47,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= n else df.repartition(n)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet below spark.checkpoint.dir and read back: computed once however often it is used, and safe from lost executors.
+
+    Where the setting is missing a local folder serves, for a local master alone.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{folder or f'file:///tmp/textmill-{os.getuid()}'}/textmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of the session's application."""
     app = spark.sparkContext.applicationId
