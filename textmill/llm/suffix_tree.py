@@ -345,7 +345,8 @@ def grow(docs: DataFrame, common, root: np.ndarray) -> tuple[tuple[int, bytes],
 class Table:
     """Places of 64-bit hashes: buckets by their first bits, and 32 bits of each in its bucket. About five bytes a hash.
 
-    Hashes that share these 50 bits or more are one; that is a matter of one in 10^15.
+    Hashes that share these 50 bits or more are one: a hash that the table does not have is taken for one of its own with a
+    chance of entries / 2^50, at 5 million entries about 4 in 10^9 lookups.
     """
 
     def __init__(self, low: np.ndarray, first: np.ndarray):

@@ -5,7 +5,8 @@ of capitals, punctuation and obfuscated spellings (rates per word or letter). Th
 is a short fixed list plus units learnt from the training labels: words and word beginnings
 whose presence goes with the label by a likelihood-ratio test.
 
-Training uses at most SAMPLE labelled rows (least hashes of doc_id; distinct texts).
+Training uses at most SAMPLE labelled rows (least hashes of doc_id; of the texts of one doc_id that of the least
+hash; distinct texts).
 Lexicon and trees are cross-fitted: each half's features come from the other half's
 lexicon, and the calibration sees only scores of trees that were grown on the other half.
 
@@ -220,8 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     spark = docs.sparkSession
     clean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most")
     chosen = materialize(clean.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = docs.join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
-    rows = materialize(rows.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), F.xxhash64("text").alias("tk")).dropDuplicates(["tk", "label"]).drop("tk"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tk")).join(F.broadcast(chosen), "doc_id")
+    # a doc_id may stand in any number of rows: the text of the least hash is its one, so at most `sample` rows stay
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", "tk").alias("text"), F.min("tk").alias("tk"))
+    rows = materialize(rows.select("text", "label", F.pmod("tk", F.lit(2)).cast("int").alias("fold"), "tk").dropDuplicates(["tk", "label"]).drop("tk"))
     sides = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
     t = np.array([sides.get((f, y), 0) for f in (0, 1) for y in (0, 1)])
     share = (t[1] + t[3]) / max(t.sum(), 1)
