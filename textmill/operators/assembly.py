@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import sum_before
+from .ordered import place_within, sum_before
 from .rows import cap_per_group, first_reason
 
 
@@ -126,10 +126,10 @@ def preference_rows(pairs: DataFrame, prompt: Column, chosen: Column, rejected:
 def budget_fill(rows: DataFrame, kind: str, key: str, cost: str, budget: int) -> DataFrame:
     """Rows within a token budget: in turn over the kinds while the running sum fits, then of the others the shortest while they fit.
 
-    Both sums go over ranges of the order, so no task sees all rows.
+    A row's turn is its place within its kind. Places and both sums go over ranges of the order, so no task sees all
+    rows, or all of a kind. The key is numeric.
     """
-    turn = F.row_number().over(Window.partitionBy(kind).orderBy(key))
-    ranked = rows.withColumn("_turn", turn.cast("long"))
+    ranked = place_within(rows, kind, key, "_turn")
     first = sum_before(ranked, "_turn", F.col(cost), [kind]).withColumn("_in", F.col("before") + F.col(cost) <= budget)
     stop = first.where(~F.col("_in")).agg(F.min("before").alias("stop"))  # the round stops at the first row that does not fit
     first = first.crossJoin(F.broadcast(stop)).withColumn("_in", F.col("_in") & (F.col("stop").isNull() | (F.col("before") < F.col("stop")))).drop("stop", "before")

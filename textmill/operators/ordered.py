@@ -63,6 +63,17 @@ def ranked(df: DataFrame, order: str, then: list[str], out: str = "place") -> Da
     return sum_before(df, order, F.lit(1), then, out, second=then[0]).withColumn(out, F.col(out) + 1)
 
 
+def place_within(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
+    """df with each row's place, from 1, within its group in the order of a numeric column of distinct values: counts of (group, range) first, then inside each."""
+    rows = ranged(df, order)
+    counts = rows.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(order))
+    joined = rows.withColumn("_inside", inside).join(base, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn(out, F.col("_base") + F.col("_inside")).drop("_range", "_inside", "_group", "_at", "_base")
+
+
 def median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
     """One row: the exact median, from the counts of distinct values; no task sees all rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))

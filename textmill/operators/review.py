@@ -7,6 +7,7 @@ from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .rows import first_reason
 
@@ -67,12 +68,27 @@ def paired_arms(df: DataFrame, unit: str, arm: str, a: str, b: str, signature: s
     )
 
 
+def first_values(rows: DataFrame, key: list[str], column: str, most: int, out: str, salts: int = 64) -> DataFrame:
+    """key, n_<out>, <out>: the number of a column's distinct values in each group, and the first `most` of them.
+
+    Values are made distinct before they are gathered, and of those gathered by a task only the first `most` go on, so no
+    row ever holds a group's whole set.
+    """
+    few = lambda lists: F.slice(F.array_sort(lists), 1, most)
+    once = rows.where(F.col(column).isNotNull()).select(*key, F.col(column).alias("_v")).distinct().withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)))
+    place = Window.partitionBy(*key, "_salt").orderBy("_v")
+    part = once.withColumn("_n", F.row_number().over(place)).groupBy(*key, "_salt").agg(F.count(F.lit(1)).alias("_n"), F.collect_list(F.when(F.col("_n") <= most, F.col("_v"))).alias("_few"))
+    return part.groupBy(*key).agg(F.sum("_n").alias(f"n_{out}"), few(F.flatten(F.collect_list("_few"))).alias(out))
+
+
 def holdout_groups(runs: DataFrame, key: list[str], sets: dict[str, str], most: int = 20) -> DataFrame:
     """Runs by what they were held out on: how many, and the distinct values of some columns (their number, and the first `most` of them)."""
-    pairs = {n: F.array_sort(F.collect_set(F.col(c))) for n, c in sets.items()}
-    out = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("runs"), *[v.alias(f"_{n}") for n, v in pairs.items()])
-    cols = [c for n in sets for c in (F.size(f"_{n}").cast("long").alias(f"n_{n}"), F.slice(F.col(f"_{n}"), 1, most).alias(n))]
-    return out.select(*key, "runs", *cols)
+    out = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("runs"))
+    for name, column in sets.items():
+        values = first_values(runs, key, column, most, name)
+        same = [out[c].eqNullSafe(values[c]) for c in key]
+        out = out.join(values, same, "left").select(*[out[c] for c in out.columns], F.coalesce(f"n_{name}", F.lit(0)).cast("long").alias(f"n_{name}"), values[name])
+    return out
 
 
 def exclusion_proof(before: DataFrame, after: DataFrame, flagged: DataFrame, key: str, by: str) -> DataFrame:
@@ -94,8 +110,8 @@ def cleaned(held: DataFrame, train: DataFrame, tests: dict[str, str]) -> DataFra
 
 def findings_by_problem(findings: DataFrame, gate: str, problem: str, detail: str, most: int = 5) -> DataFrame:
     """gate, problem, n, details: findings and the first few distinct details of each problem."""
-    part = findings.groupBy(gate, problem, detail).agg(F.count(F.lit(1)).alias("n"))
-    return part.groupBy(gate, problem).agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_set(detail)), 1, most).alias("details"))
+    out = holdout_groups(findings, [gate, problem], {"details": detail}, most)
+    return out.select(gate, problem, F.col("runs").alias("n"), F.coalesce("details", F.slice(F.array(F.lit("")), 1, 0)).alias("details"))
 
 
 def closed_fraction(table: Column, model: Column, ineligible: Column) -> tuple[Column, Column]:

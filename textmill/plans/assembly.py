@@ -11,6 +11,7 @@ from ..operators import assembly as a
 from ..operators import dedup, leakage, retrieval
 from ..operators import review as r
 from ..operators.chars import counts
+from ..session import spread
 from .corpus import GRAMS, SPLIT
 from .registry import ORACLE_SQL, QUERIES, Tables, query
 from .retrieval import INDEX
@@ -508,8 +509,11 @@ SELECT item_id, doc_id, spot, score FROM (SELECT *, row_number() OVER (PARTITION
 def passage_pick(t: Tables):
     """The three passages of 100 words that share most words with each question."""
     w = word_tokens("text")
-    rows = t.documents.select("doc_id", w.alias("w")).where(F.size("w") > 0).select("doc_id", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(100))).alias("spot"), "w")
-    rows = rows.select("doc_id", F.col("spot").cast("long").alias("spot"), F.explode(F.array_distinct(F.slice("w", F.col("spot") + 1, F.lit(100)))).alias("term"))
+    # passages are cut before they are exploded: a row holds its own words alone
+    spots = F.sequence(F.lit(0), F.size("w") - 1, F.lit(100))
+    cut = F.transform(spots, lambda k: F.struct(k.cast("long").alias("spot"), F.array_distinct(F.slice("w", k + 1, F.lit(100))).alias("terms")))
+    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", w.alias("w")).where(F.size("w") > 0).select("doc_id", F.explode(cut).alias("p"))
+    rows = rows.select("doc_id", "p.spot", F.explode("p.terms").alias("term"))
     return retrieval.best_overlap(rows, t.benchmark.select("item_id", F.explode(F.array_distinct(w)).alias("term")), ["doc_id", "spot"], "item_id", 3)
 
 

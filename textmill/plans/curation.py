@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import alnum_words, word_tokens
 from ..operators import dedup
+from ..operators.chars import counts
 from ..operators.ordered import ranked, small, sum_before
 from .registry import Tables, query
 
@@ -104,7 +105,7 @@ def token_budget_table(t: Tables):
 
 @query("SELECT ch, n, n < 10 AS rare FROM (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch) WHERE n < 100")
 def rare_chars(t: Tables):
-    n = t.documents.select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    n = counts(t.documents)
     return n.where("n < 100").select("ch", "n", (F.col("n") < 10).alias("rare"))
 
 
