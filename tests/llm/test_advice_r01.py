@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 
 from textmill.llm import byte_bpe, components, suffix_tree
-from textmill.plans import registry
 
 
 def test_least_count_holds_above_100000(spark):
@@ -87,14 +86,6 @@ def test_tree_grows_with_the_corpus(spark, monkeypatch):
         assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
 
 
-def test_quote_check_tests_the_whole_claim(spark, tmp_path):
-    head = "these are the first twenty characters"
-    turns = {1: [f"  {head}\n and more ", f"so: {head} and  more, he said"], 2: [f"{head} and more", f"{head} but less"], 3: [" \n", "anything"]}
-    spark.createDataFrame([(c, i, x) for c, xs in turns.items() for i, x in enumerate(xs)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.conv_id: r.quoted for r in registry.QUERIES["quote_check"](spark, str(tmp_path)).collect()}
-    assert got == {1: True, 2: False, 3: False}
-
-
 def test_components_are_never_split(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "x long, y long")
     with pytest.raises(RuntimeError):
