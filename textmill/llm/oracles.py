@@ -47,3 +47,27 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s FROM g a JOIN g b ON a.
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * s >= 75 * (x.n + y.n - s)),
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+#: Runs by their definition. Periods up to 8 are tried everywhere; a longer one is tried in a document where some 16 words
+#: without a period up to 8 stand twice at that distance, as in every run of such a period. Of the stretches that several periods
+#: give, the least period counts.
+RUNS = f"""WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, encode(CAST(doc_id AS VARCHAR)) AS b, list_filter(regexp_split_to_array(coalesce(text, ''), '{GAP}'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, w, len(w) AS n, list_prepend(4294967295, list_transform(range(0, octet_length(b)), lambda i: CAST('0x' || substr(hex(b), 2 * i + 1, 2) AS BIGINT))) AS bytes FROM d),
+h AS (SELECT doc_id, w, n, xor(list_reduce(bytes, lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) AS h FROM x, t),
+g AS (SELECT doc_id, w, n, h % 10 = 0 AND n > 0 AS changed, h // 10 AS g FROM h),
+a AS (SELECT doc_id, w, n, changed, CASE WHEN changed THEN g % n END AS a, CASE WHEN changed THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g),
+m AS (SELECT doc_id, n, CASE WHEN changed THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM a),
+e AS (SELECT doc_id, unnest(w) AS word, CAST(unnest(range(0, n)) AS INTEGER) AS i FROM m),
+k AS (SELECT doc_id, CAST(i AS INTEGER) AS i, list_slice(w, i + 1, i + 16) AS s FROM (SELECT doc_id, w, unnest(range(0, n - 15)) AS i FROM m WHERE n >= 24)),
+r AS (SELECT doc_id, i, md5(array_to_string(s, ' ')) AS x FROM k WHERE len(list_filter(range(1, 9), lambda d: list_slice(s, 1, 16 - d) = list_slice(s, d + 1, 16))) = 0),
+q AS (SELECT DISTINCT r.doc_id, b.i - r.i AS q FROM r JOIN r b ON r.doc_id = b.doc_id AND r.x = b.x AND b.i - r.i > 8 JOIN m ON m.doc_id = r.doc_id AND (b.i - r.i) * 3 <= n UNION SELECT doc_id, CAST(unnest(range(1, 9)) AS INTEGER) FROM m WHERE n >= 24),
+s AS (SELECT q.doc_id, q, y.i, y.i - row_number() OVER (PARTITION BY q.doc_id, q ORDER BY y.i) AS isle FROM q JOIN e y ON y.doc_id = q.doc_id JOIN e z ON z.doc_id = y.doc_id AND z.i = y.i + q AND z.word = y.word),
+l AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, isle HAVING count(*) + q >= greatest(24, 3 * q)),
+u AS (SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(min(q) AS BIGINT) AS period FROM l GROUP BY doc_id, start, length),
+v AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM u GROUP BY doc_id),
+f AS (SELECT DISTINCT ON (doc_id) doc_id, start, length, period FROM u ORDER BY doc_id, CAST(length AS HUGEINT) * 1000000000000 // period DESC, start, period),
+c AS (SELECT DISTINCT doc_id, CAST(unnest(range(start + period, start + length)) AS INTEGER) AS i FROM u),
+o AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN v USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN o USING (doc_id)"""

@@ -67,6 +67,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_hash_tree_sharding": oracles.SHARDS,
     "op3_substring_dedup": oracles.REPEATS,
     "op7_ngram_jaccard_join": oracles.NEAR,
+    "op13_periodic_runs": oracles.RUNS,
 }
 
 QUERIES = {
