@@ -203,3 +203,51 @@ def test_dense_in_blocks(spark, monkeypatch, block):
         want = sorted(((-round(float(u[q] @ u[i]), 6) + 0.0, str(i)) for i in range(120)))[:6]
         assert [(-g.score + 0.0, str(g.id)) for g in sorted((g for g in got if g.q == q), key=lambda g: g.rank)] == want
     assert {g.q for g in got} == set(range(0, 120, 10))
+
+
+@pytest.mark.parametrize("rounds", [10_000, 2])
+def test_filled_split(spark, rounds):
+    import hashlib
+
+    from textmill.operators import dedup
+
+    r = random.Random(rounds)
+    for lengths in ([r.choice([0, 1, 2, 3, 50, 400, 3000]) for _ in range(300)], [5000, *[1] * 40], [10], [0, 0], []):
+        rows = [(i, n) for i, n in enumerate(lengths)]
+        got = {x.doc_id: x.split for x in dedup.filled_split(spark.createDataFrame(rows, "doc_id long, n long"), 0.1, 7, rounds).collect()}
+        used, want = 0, {}
+        for i, n in sorted(rows, key=lambda x: hashlib.sha256(f"7:{x[0]}".encode()).hexdigest()):
+            fits = used + n <= sum(lengths) * 0.1
+            used += n if fits else 0
+            want[i] = "val" if fits else "train"
+        if "train" not in want.values():
+            want = dict.fromkeys(want, "train")
+        assert got == want
+
+
+def test_cited_passages(spark, tmp_path):
+    import collections
+    import math
+
+    from textmill.functions import python_text as p
+    from textmill.plans import registry
+
+    r = random.Random(12)
+    words = ["river", "東京都", "Straße", "stone", "über", "leaf", "sky", "12", "known", "far"]
+    docs = [(i, " ".join(f"{' '.join(r.choice(words) for _ in range(r.randint(1, 9))).capitalize()}." for _ in range(r.randint(1, 30)))) for i in range(12)]
+    items = [(1, "the RIVER 東京都 stone"), (2, "strasse leaf"), (3, "nothing here")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    index = {f"{i}:{k}": p.tokens_any(t) for i, text in docs for k, t in enumerate(p.passages(text), 1)}
+    mean = sum(map(len, index.values())) / len(index)
+    df = collections.Counter(w for ws in index.values() for w in set(ws))
+    got = registry.QUERIES["cited_passages"](spark, str(tmp_path)).orderBy("item_id", "rank").collect()
+    for item, text in items:
+        scores = {}
+        for key, ws in index.items():
+            tf = collections.Counter(ws)
+            shared = set(p.tokens_any(text)) & set(ws)
+            if shared:
+                scores[key] = round(sum(math.log((len(index) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in shared), 6)
+        want = sorted(scores, key=lambda k: (-scores[k], k))[:5]
+        assert [(g.passage, pytest.approx(scores[g.passage], abs=2e-6)) for g in got if g.item_id == item] == [(g, scores[g]) for g in want]

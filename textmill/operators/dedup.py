@@ -106,3 +106,42 @@ def greedy_split(lengths: DataFrame, share: float = 0.1, seed: int = 1337) -> Da
     total = sums.agg(F.sum("m").alias("total"))
     run = rows.join(F.broadcast(base), "b").withColumn("run", F.col("base") + F.sum("n").over(inside)).join(F.broadcast(total))
     return run.select("doc_id", F.when(F.col("run") <= F.col("total") * share, "val").otherwise("train").alias("split"))
+
+
+#: Candidates that one round of first-fit looks at beyond the prefix.
+ROUND = 10_000
+
+
+def filled_split(lengths: DataFrame, share: float = 0.1, seed: int = 1337, rounds: int = ROUND) -> DataFrame:
+    """doc_id, split: documents in hash order fill a validation side of share x total characters; one that does not fit is passed over, later ones that do are taken.
+
+    The prefix that fits as a whole is found by running sums over hash ranges. What is left then is less than one
+    document, and only shorter documents count: they come in order, `rounds` at a time, until none fits. A second
+    pass over what was passed over, the shortest first, could add nothing: the room only shrinks. Empty documents always
+    fit. If all fit there would be no training side: then nothing is held out. doc_ids are distinct.
+    """
+    rows = written(lengths.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256).alias("o")).withColumn("b", F.substring("o", 1, 3)))
+    target = (rows.agg(F.sum("n")).first()[0] or 0) * share
+    sums = rows.groupBy("b").agg(F.sum("n").alias("m"))
+    before = Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows
+    base = sums.select("b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("b").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.join(F.broadcast(base), "b").withColumn("run", F.col("base") + F.sum("n").over(inside))
+    edge = run.agg(F.min(F.when(F.col("run") > target, F.col("o"))).alias("o"), F.coalesce(F.max(F.when(F.col("run") <= target, F.col("run"))), F.lit(0)).alias("used")).first()
+    first, last, room, later = edge["o"], edge["o"], target - edge["used"], []
+    while last is not None and room >= 1:
+        some = rows.where((F.col("o") > last) & (F.col("n") >= 1) & (F.col("n") <= room)).orderBy("o").limit(rounds).select("o", "n").collect()
+        for r in some:
+            if r["n"] <= room:
+                room -= r["n"]
+                later.append(r["o"])
+        last = some[-1]["o"] if len(some) == rounds else None
+    taken = F.col("n") == 0
+    if first is None:
+        return rows.select("doc_id", F.lit("train").alias("split"))
+    taken = taken | (F.col("o") < first)
+    if later:
+        more = F.broadcast(rows.sparkSession.createDataFrame([(o,) for o in later], "o string").withColumn("_taken", F.lit(True)))
+        rows = rows.join(more, "o", "left")
+        taken = taken | F.coalesce("_taken", F.lit(False))
+    return rows.select("doc_id", F.when(taken, "val").otherwise("train").alias("split"))

@@ -131,6 +131,16 @@ def order_split(t: Tables):
     return dedup.greedy_split(t.documents.select("doc_id", F.char_length("text").alias("n")), 0.1)
 
 
+@query(
+    """WITH RECURSIVE r AS (SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY sha256('1337:' || doc_id)) AS k FROM documents), z AS (SELECT sum(n) * 0.1 AS target FROM r),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS used, CAST(NULL AS BIGINT) AS doc_id, false AS val UNION ALL SELECT r.k, CASE WHEN used + n <= target THEN used + n ELSE used END, r.doc_id, used + n <= target FROM f JOIN r ON r.k = f.k + 1, z)
+SELECT doc_id, CASE WHEN val THEN 'val' ELSE 'train' END AS split FROM f WHERE k > 0"""
+)
+def filled_split(t: Tables):
+    """Documents that do not fit the validation side are passed over, and later ones that do are taken."""
+    return dedup.filled_split(t.documents.select("doc_id", F.char_length("text").alias("n")), 0.1)
+
+
 @query("SELECT doc_id, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16))::UHUGEINT % 5 AS INTEGER) AS fold FROM documents")
 def fold_assign(t: Tables):
     return t.documents.select("doc_id", fold(F.col("doc_id").cast("string"), 5).alias("fold"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import python_text as p
-from ..operators import dedup, leakage
+from ..operators import dedup, leakage, retrieval
 from ..session import ship_code, spread
 from .registry import Tables, query
 
@@ -50,3 +50,14 @@ def arithmetic_programs(t: Tables):
     ship_code(t.spark)
     text = F.concat_ws("", F.lit("round("), F.col("p_size"), F.lit(" / 7, 2) + max("), F.col("p_size") % 5, F.lit(", 3) // 2"))
     return t.part.select("p_partkey", p.python_udf(p.calculate, "string")(text).alias("value"))
+
+
+@query()
+def cited_passages(t: Tables):
+    """The five windows of six sentences that answer each question best: BM25 over words of any script, all windows as one index."""
+    ship_code(t.spark)
+    windows = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(p.python_udf(p.passages, "array<string>")("text")).alias("part", "text"))
+    windows = windows.select(F.concat_ws(":", "doc_id", F.col("part") + 1).alias("passage"), "text")
+    tokens = lambda text: p.python_udf(p.tokens_any, "array<string>")(F.col(text))
+    scores = retrieval.Postings(windows, t.benchmark, "passage", "item_id", tokens).bm25()
+    return retrieval.top_k(scores, "item_id", "passage", 5)
