@@ -1,9 +1,14 @@
 """What round 3 changed in earlier operators."""
 
+import math
+import random
+import re
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textmill.llm import toxicity
+from textmill.llm import boosting, common, toxicity
 
 
 def test_toxicity_learns_one_text_of_a_doc_id(spark):
@@ -21,3 +26,84 @@ def test_toxicity_learns_one_text_of_a_doc_id(spark):
     for x, y in zip(a["lexicon"], b["lexicon"], strict=True):
         assert np.array_equal(x, y)
     assert np.array_equal(a["calibration"][0], b["calibration"][0])
+
+
+# ------------------------------------------------------------------ op4 by hand
+
+ALNUM = {*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)}
+LETTERS = ALNUM - {*range(48, 58)}
+LEET = {ord(a): ord(b) for a, b in toxicity.LOOKALIKE.items()}
+
+
+def plain_features(text, learnt):
+    """The features of one text, word by word. learnt: (kind, unit) -> log odds; kind 0 is a word, k a beginning of k bytes."""
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    rows, kinds = [], set()
+    for w in words:
+        inner = [i for i, b in enumerate(w) if b in ALNUM]
+        core = w[inner[0] : inner[-1] + 1] if inner else b""
+        low = core.lower()
+        units = [(0, low), *[(k, low[:k]) for k in toxicity.BEGINNINGS if len(core) > k]] if inner else []
+        hits = [u for u in units if u in learnt]
+        kinds.update(hits)
+        n = sum(b in LETTERS for b in core)
+        odd = 0 < n < len(core)
+        seen = bytes(c for c in (LEET.get(b, b) for b in core.lower()) if c in LETTERS)
+        fixed = low.decode("utf-8", "replace") in toxicity.INSULTS
+        hidden = odd and (seen.decode("utf-8", "replace") in toxicity.INSULTS or (0, seen) in learnt)
+        weight = max((learnt[u] for u in hits), default=0.0)
+        rows.append((fixed, weight, hidden, low.decode("utf-8", "replace") in toxicity.SECOND_PERSON, odd, core.isalpha() and core.isascii() and core.isupper() and len(core) > 1))
+    bad = [f or w > 0 or h for f, w, h, *_ in rows]
+    near = sum(b and any(rows[j][3] for j in range(max(0, i - 5), min(len(rows), i + 6)) if j != i) for i, b in enumerate(bad))
+    n_words, n_bytes, n_letters = max(len(words), 1), max(len(raw), 1), max(sum(b in LETTERS for b in raw), 1)
+    punct = [b not in ALNUM and b not in b" \t\n\x0b\x0c\r" for b in raw]
+    share = lambda k: sum(bool(r[k]) for r in rows) / n_words
+    return [
+        share(0), share(1), math.log1p(sum(bad)), len(kinds), max((r[1] for r in rows), default=0.0), sum(r[1] for r in rows) / n_words, near / n_words, share(3),
+        sum(65 <= b <= 90 for b in raw) / n_letters, share(5), sum(b in b"!?" for b in raw) / n_bytes, sum(punct) / n_bytes, sum(punct[i] and raw[i] == raw[i - 1] for i in range(1, len(raw))) / n_bytes, share(4), share(2), math.log1p(n_words),
+    ]
+
+
+def test_toxicity_features():
+    r = random.Random(3)
+    learnt = {(0, b"rotter"): 2.5, (4, b"blor"): 1.7, (6, b"blorbi"): 3.0, (0, b"grum"): 1.9}
+    bits = ["idiot", "1d10t", "ID!OT", "you", "YOU,", "Dich", "rotter", "r0tter!", "R0TTER", "blorbing", "blor", "blorx", "grum", "gr-um", "über", "Ö", "!!", "??", "--", "x", "AB", "A1", "don't", "(tú)", "3", "calm", "so.", "\n", "\t"]
+    texts = ["", " ", "!!!", *[" ".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(150)]]
+    units, odds = [], []
+    for (kind, unit), weight in learnt.items():
+        h = toxicity._hash_words([unit.decode()])
+        units.append(int((toxicity._mix_unit(h, kind) if kind else h)[0]))
+        odds.append(weight)
+    buf, offs = common.buffers(common.text_array(pa.array(texts)))
+    got = toxicity.Featurizer(np.array(units, np.uint64), np.array(odds)).features(buf, offs)
+    for text, row in zip(texts, got, strict=True):
+        assert np.allclose(row, plain_features(text, learnt)), (text, dict(zip(toxicity.FEATURES, zip(row, plain_features(text, learnt), strict=True), strict=True)))
+
+
+def test_toxicity_lexicon_is_a_likelihood_ratio_test():
+    n1, n0, t1, t0 = np.array([40.0, 9, 3, 60, 12]), np.array([2.0, 9, 0, 700, 0]), 100, 900
+    units = np.arange(5, dtype=np.uint64)
+
+    def g(a, b):
+        p, out = t1 / (t1 + t0), 0.0
+        for k, q in ((a, p), (b, 1 - p)):
+            out += k * math.log(k / ((a + b) * q)) if k else 0.0
+        return out
+
+    odds = [math.log((a + 0.5) / (t1 + 1)) - math.log((b + 0.5) / (t0 + 1)) for a, b in zip(n1, n0, strict=True)]
+    want = sorted((i for i in range(5) if g(n1[i], n0[i]) >= toxicity.RATIO and odds[i] > 1.5 and n1[i] >= toxicity.SUPPORT), key=lambda i: -g(n1[i], n0[i]))
+    got, weights = toxicity._lexicon(units, n1, n0, t1, t0)
+    assert got.tolist() == want == [0, 4] and np.allclose(weights, [odds[i] for i in want])
+
+
+def test_calibration_is_the_isotonic_fit():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        score, y = r.integers(0, 12, 40) / 4, r.integers(0, 2, 40).astype(float)
+        xs, fit = boosting.isotonic(score, y)
+        places = np.unique(score)
+        mean = lambda a, b: y[(score >= places[a]) & (score <= places[b])].mean()
+        n = len(places)
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]  # the min-max formula
+        assert np.allclose(np.interp(places, xs, fit), want)

@@ -74,12 +74,13 @@ class Boosted:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, probabilities): the non-decreasing least-squares fit, by pooling adjacent violators."""
-    order = np.argsort(score, kind="stable")
+    """(scores, probabilities): the non-decreasing least-squares fit, by pooling adjacent violators; equal scores are one place."""
+    places, which, times = np.unique(score, return_inverse=True, return_counts=True)
+    means = np.bincount(which, y, len(places)) / times
     values, weights, at = [], [], []
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
+    for s, v, n in zip(places.tolist(), means.tolist(), times.tolist(), strict=True):
         values.append(v)
-        weights.append(1.0)
+        weights.append(float(n))
         at.append([s, s])
         while len(values) > 1 and values[-2] >= values[-1]:
             w = weights[-2] + weights[-1]

@@ -186,6 +186,7 @@ class Featurizer:
         marks, punct = (buf == 33) | (buf == 63), ~_ALNUM[buf] & ~WS[buf]
         twice = np.zeros(len(buf), bool)
         twice[1:] = punct[1:] & (buf[1:] == buf[:-1])
+        twice[offs[:-1][offs[:-1] < len(buf)]] = False  # the byte before is another text's
         return np.stack(
             [
                 per(fixed) / words, per(weight > 0) / words, np.log1p(per(bad)), kinds, strongest, np.bincount(u.text, weight, m) / words, per(near) / words, per(second) / words,
