@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textmill.llm import boosting, common, toxicity
+from textmill.llm import boosting, common, syncmers, toxicity
 
 
 def test_toxicity_learns_one_text_of_a_doc_id(spark):
@@ -107,3 +107,56 @@ def test_calibration_is_the_isotonic_fit():
         n = len(places)
         want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]  # the min-max formula
         assert np.allclose(np.interp(places, xs, fit), want)
+
+
+# ------------------------------------------------------------------ op5 by hand
+
+
+def one_hash(data):
+    return int(common.range_hash(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0])
+
+
+def plain_fingerprint(data):
+    """Anchors by their definition: hash (upper 32 bits) -> first position."""
+    k, s = syncmers.K, syncmers.S
+    if not data:
+        return {}
+    if len(data) < k:
+        return {one_hash(data) >> 32: 0}
+    found = {}
+    for i in range(len(data) - k + 1):
+        inner = [one_hash(data[j : j + s]) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.setdefault(one_hash(data[i : i + k]) >> 32, i)
+    keep = max(syncmers.LEAST, sum(h < (1 << 32) // syncmers.SHARE for h in found))
+    return {h: found[h] for h in sorted(found)[:keep]}
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    limit = min(max(max(x) + 1, (1 << 32) // syncmers.SHARE) if len(x) >= syncmers.LEAST else 1 << 32 for x in (a, b))
+    a, b = ({h: p for h, p in x.items() if h < limit} for x in (a, b))
+    pairs = sorted((a[h], b[h]) for h in a.keys() & b.keys())
+    longest = []
+    for i, (_, y) in enumerate(pairs):
+        longest.append(1 + max((longest[j] for j in range(i) if pairs[j][1] < y), default=0))
+    either = len(a.keys() | b.keys())
+    j = max(longest, default=0) / either if either else 0.0
+    return 2 * j / (1 + j)
+
+
+def test_syncmer_fingerprints_and_likeness():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 7)))
+    base = [word() for _ in range(400)]
+    edited = [w if r.random() > 0.05 else word() for w in base]
+    moved = base[200:] + base[:200]
+    texts = ["", "x", "a" * 19, "a" * 20, "ab" * 200, " ".join(base), " ".join(edited), " ".join(moved), " ".join(base[:60]), " ".join(word() for _ in range(300))]
+    plain = [plain_fingerprint(t.encode()) for t in texts]
+    marks = [syncmers.fingerprint(t.encode()) for t in texts]
+    assert marks == ["".join(f"{h:08x}{p:08x}" for h, p in x.items()) for x in plain]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert abs(syncmers.likeness(marks[i], marks[j]) - plain_likeness(plain[i], plain[j])) < 1e-12
+    assert 0.5 < syncmers.likeness(marks[5], marks[6]) < 1
