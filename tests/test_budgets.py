@@ -251,3 +251,29 @@ def test_cited_passages(spark, tmp_path):
                 scores[key] = round(sum(math.log((len(index) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in shared), 6)
         want = sorted(scores, key=lambda k: (-scores[k], k))[:5]
         assert [(g.passage, pytest.approx(scores[g.passage], abs=2e-6)) for g in got if g.item_id == item] == [(g, scores[g]) for g in want]
+
+
+def test_error_rates(spark):
+    from textmill.operators import transcripts
+
+    def far(a, b):
+        table = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (x != y))
+        return table[-1][-1]
+
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice(["a", "B", "b", "cé", "D."]) for _ in range(r.randint(0, 12)))
+    rows = [(r.randrange(3), text(), r.choice([text(), None])) for _ in range(80)] + [(0, None, "x"), (7, "", ""), (1, "same", "same")]
+    df = spark.createDataFrame(rows, "g int, ref string, hyp string")
+    for unit, cut in (("words", str.split), ("chars", list)):
+        for name, norm, plain in (("none", None, lambda x: x), ("lower", lambda x: F.regexp_replace(F.lower(x), r"\.", ""), lambda x: x.lower().replace(".", ""))):
+            got = {x.g: x for x in transcripts.error_rate(df, "ref", "hyp", norm, unit, ["g"]).collect()}
+            for g in (0, 1, 2, 7):
+                own = [(plain(a), plain(b or ""), b is None) for k, a, b in rows if k == g and a is not None]
+                units, edits = sum(len(cut(a)) for a, _, _ in own), sum(far(cut(a), cut(b)) for a, b, _ in own)
+                x = got[g]
+                assert (x.pairs, x.missing, x.units, x.edits, x.rate) == (len(own), sum(m for *_, m in own), units, edits, edits / units if units else None), name
+    whole = transcripts.error_rate(df.where("g > 99"), "ref", "hyp").collect()
+    assert [(x.pairs, x.units, x.edits, x.rate) for x in whole] == [(0, 0, 0, None)]

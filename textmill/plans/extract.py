@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import python_text as p
-from ..operators import dedup, leakage, retrieval
+from ..operators import dedup, leakage, retrieval, transcripts
 from ..session import ship_code, spread
 from .registry import Tables, query
 
@@ -61,3 +61,12 @@ def cited_passages(t: Tables):
     tokens = lambda text: p.python_udf(p.tokens_any, "array<string>")(F.col(text))
     scores = retrieval.Postings(windows, t.benchmark, "passage", "item_id", tokens).bm25()
     return retrieval.top_k(scores, "item_id", "passage", 5)
+
+
+@query()
+def transcript_error_rates(t: Tables):
+    """Per role, the words of each turn that the same turn of the next conversation gets wrong, both in lower case and without signs; turns without one are missing."""
+    c = t.conversations.select("conv_id", "turn", "role", "text")
+    said = c.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("text").alias("said"))
+    plain = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}\s]", "")
+    return transcripts.error_rate(c.join(said, ["conv_id", "turn"], "left"), "text", "said", plain, by=["role"])
