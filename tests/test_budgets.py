@@ -197,7 +197,7 @@ def test_dense_in_blocks(spark, monkeypatch, block):
     x[7] = x[3]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 8), (502, [None, *[1.0] * 7])]
     df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
-    got = retrieval.dense(df, df.where("id % 10 = 0").withColumnRenamed("id", "q"), "id", "q", 6).collect()
+    got = retrieval.nearest(df, df.where("id % 10 = 0").withColumnRenamed("id", "q"), "id", "q", 6).collect()
     u = x / np.linalg.norm(x, axis=1)[:, None]
     for q in range(0, 120, 10):
         want = sorted(((-round(float(u[q] @ u[i]), 6) + 0.0, str(i)) for i in range(120)))[:6]

@@ -18,12 +18,12 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from ..session import ship_code
 
 
-def lateral(df: DataFrame, function: type, *args: Column | str, how: str = "inner", keep: list[str] | None = None) -> DataFrame:
-    """The rows (their columns `keep`, else all) with the rows of the table function for each; args that are names are columns of df."""
+def lateral(df: DataFrame, function: type, *args: Column | str, keep: list[str] | None = None) -> DataFrame:
+    """The rows (their columns `keep`, else all) with the rows of the table function for each, none where it gives none; args that are names are columns of df."""
     ship_code(df.sparkSession)
     # a lateral table sees the columns of the row before it as outer ones
     outer = [F.col(a).outer() if isinstance(a, str) else a for a in args]
-    joined = df.lateralJoin(F.udtf(function, useArrow=True)(*outer), how=how)
+    joined = df.lateralJoin(F.udtf(function, useArrow=True)(*outer))
     return joined.select(*(keep or df.columns), *joined.columns[len(df.columns) :])
 
 

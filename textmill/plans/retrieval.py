@@ -86,7 +86,7 @@ SELECT * FROM (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION
 )
 def dense_topk(t: Tables):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return r.dense(t.embeddings, q, "vec_id", "query_id", 5)
+    return r.nearest(t.embeddings, q, "vec_id", "query_id", 5)
 
 
 @query("SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY label, i")
