@@ -56,11 +56,11 @@ def arithmetic_programs(t: Tables):
 def cited_passages(t: Tables):
     """The five windows of six sentences that answer each question best: BM25 over words of any script, all windows as one index."""
     ship_code(t.spark)
-    windows = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(p.python_udf(p.passages, "array<string>")("text")).alias("part", "text"))
-    windows = windows.select(F.concat_ws(":", "doc_id", F.col("part") + 1).alias("passage"), "text")
-    tokens = lambda text: p.python_udf(p.tokens_any, "array<string>")(F.col(text))
-    scores = retrieval.Postings(windows, t.benchmark, "passage", "item_id", tokens).bm25()
-    return retrieval.top_k(scores, "item_id", "passage", 5)
+    words = p.python_udf(lambda text: [p.tokens_any(x) for x in p.passages(text)], "array<array<string>>")("text")
+    windows = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(words).alias("part", "w"))
+    windows = windows.select(F.concat_ws(":", "doc_id", F.col("part") + 1).alias("passage"), "w")
+    asked = lambda text: p.python_udf(p.tokens_any, "array<string>")(F.col(text))
+    return retrieval.Postings(windows, t.benchmark, "passage", "item_id", asked, F.col("w")).best("index", 5)
 
 
 @query()
