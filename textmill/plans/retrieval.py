@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
-from ..functions.text import word_tokens
 from ..operators import leaks
 from ..operators import retrieval as r
-from ..operators.ordered import small
 from .registry import Tables, query
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
@@ -23,24 +21,27 @@ sc AS (SELECT item_id, doc_id, round(sum(idf * tf * {k1 + 1} / (tf + {k1} * (0.2
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS INTEGER) AS rank FROM sc)"""
 
 
+def _postings(t: Tables):
+    return r.Postings(t.documents, t.benchmark, "doc_id", "item_id")
+
+
 INDEX = bm25_sql("ln((n - df + 0.5) / (df + 0.5))", 1.5)
 
 
 @query(f"WITH {INDEX} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
 def bm25_topk(t: Tables):
-    return r.top_k(r.bm25(t.documents, t.benchmark, "doc_id", "item_id"), "item_id", "doc_id", 10)
+    return _postings(t).best("index", 10)
 
 
 @query(f"WITH {bm25_sql('ln(1 + (n - df + 0.5) / (df + 0.5))', 1.2)} SELECT item_id, doc_id, coalesce(score, 0) AS score FROM (SELECT item_id, doc_id FROM benchmark, documents) LEFT JOIN sc USING (item_id, doc_id)")
 def bm25_memory_scores(t: Tables):
-    scores = r.bm25(t.documents, t.benchmark, "doc_id", "item_id", "memory")
-    everything = t.documents.select("doc_id").crossJoin(small(t.benchmark.select("item_id")))  # the stated queries against all documents
-    return everything.join(scores, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
+    scores = _postings(t).bm25("memory", every=True)  # the stated queries against all documents
+    return scores.select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {bm25_sql('ln(1 + (n - df + 0.5) / (df + 0.5))', 1.5)} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 5 AND score > 0")
 def bm25_page_topk(t: Tables):
-    return r.top_k(r.bm25(t.documents, t.benchmark, "doc_id", "item_id", "page"), "item_id", "doc_id", 5).where("score > 0")
+    return _postings(t).best("page", 5).where("score > 0")
 
 
 OVERLAP = f"""dw AS (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents), qw AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark),
@@ -48,13 +49,9 @@ ov AS (SELECT item_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM dw JOIN qw
 oranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS INTEGER) AS rank FROM ov)"""
 
 
-def _postings(t: Tables):
-    return r.Postings(t.documents, t.benchmark, "doc_id", "item_id")
-
-
 @query(f"WITH {OVERLAP} SELECT item_id, doc_id, score, rank FROM oranked WHERE rank <= 10")
 def overlap_topk(t: Tables):
-    return r.top_k(_postings(t).overlap(), "item_id", "doc_id", 10)
+    return _postings(t).best("overlap", 10)
 
 
 @query(
@@ -65,7 +62,7 @@ SELECT * FROM (SELECT item_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(row_
 def rrf_fusion(t: Tables):
     """Both lists come from one table of postings."""
     p = _postings(t)
-    return r.fuse([r.top_k(scores, "item_id", "doc_id", 20) for scores in (p.bm25(), p.overlap())], "item_id", "doc_id", 5)
+    return r.fuse([p.best(kind, 20) for kind in ("index", "overlap")], "item_id", "doc_id", 5)
 
 
 @query(
@@ -74,7 +71,7 @@ h AS (SELECT item_id, max(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS hit FROM tr
 SELECT count(*) AS queries, CAST(sum(hit) AS BIGINT) AS found, round(avg(hit), 6) AS recall FROM h"""
 )
 def recall_at_k(t: Tables):
-    ranked = r.top_k(r.bm25(t.documents, t.benchmark, "doc_id", "item_id"), "item_id", "doc_id", 10)
+    ranked = _postings(t).best("index", 10)
     truth = leaks.leak_check(t.documents, t.benchmark.select("item_id", F.col("text").alias("needle"), F.lit(False).alias("words"))).select("item_id", "doc_id")
     return r.recall(ranked, truth, "item_id", "doc_id")
 
