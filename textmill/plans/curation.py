@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import alnum_words, word_tokens
-from ..operators import dedup
+from ..operators import dedup, retrieval
 from ..operators.chars import counts
-from ..operators.ordered import ranked, small, sum_before
+from ..operators.ordered import ranked, sum_before
+from ..session import spread
 from .registry import Tables, query
 
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -126,14 +126,12 @@ SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY it
 )
 def fixture_search(t: Tables):
     """3 x title overlap + snippet overlap, through the shared terms alone; the first line is the title, all the rest the snippet."""
-    q = t.benchmark.select("item_id", F.explode(F.array_distinct(word_tokens("text"))).alias("w"))
     first = F.substring_index("text", "\n", 1)
-    cut = t.documents.select("doc_id", first.alias("title"), F.substring(F.col("text"), F.char_length(first) + 1, F.char_length("text")).alias("snippet"))
-    part = lambda c, p: F.transform(F.array_distinct(word_tokens(c)), lambda w: F.struct(w.alias("w"), F.lit(p).alias("p")))
-    words = cut.select("doc_id", F.explode(F.concat(part("title", 3), part("snippet", 1))).alias("x")).select("doc_id", "x.w", "x.p")
-    s = words.join(small(q), "w").groupBy("item_id", "doc_id").agg(F.sum("p").alias("score"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
+    cut = spread(t.documents.select("doc_id", "text")).select("doc_id", first.alias("title"), F.substring(F.col("text"), F.char_length(first) + 1, F.char_length("text")).alias("snippet"))
+    part = lambda c: F.coalesce(F.array_distinct(word_tokens(c)), F.array().cast("array<string>"))
+    words = F.concat(*[part("title")] * 3, part("snippet"))  # a word of the title counts three times
+    found = retrieval.Postings(cut, t.benchmark, ["doc_id"], "item_id", words=words).best("hits", 10)
+    return found.select("item_id", "doc_id", F.col("score").cast("long").alias("score"))
 
 
 @query(
