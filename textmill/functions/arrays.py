@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a single longer text is one step).
-STEP = 4 << 20
+STEP = 1 << 20
 #: Bytes that words consist of (ASCII letters and digits), and lower case.
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
