@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import grams
 
-from ..functions.python_text import python_udf, winnow
+from ..functions.python_text import python_udf, winnowed
 from ..functions.text import alnum_words, ngrams, split_lines_py, statement_key, strip_py
 from ..session import ship_code, spread
 from .ordered import small
@@ -101,7 +101,7 @@ def line_overlap(rows: DataFrame) -> DataFrame:
 def content_overlap(rows: DataFrame, digest: str = "blake2b") -> DataFrame:
     """One row: distinct winnowing fingerprints of the validation side, and those of them that training has."""
     ship_code(rows.sparkSession)
-    prints = rows.select("split", F.explode(python_udf(lambda text: winnow(text, digest=digest), "array<bigint>")("text")).alias("h"))
+    prints = rows.select("split", F.explode(python_udf(lambda text: winnowed(text, digest=digest), "array<bigint>")("text")).alias("h"))
     sides = prints.groupBy("h").agg(F.bool_or(F.col("split") == "val").alias("v"), F.bool_or(F.col("split") == "train").alias("t"))
     return sides.agg(F.count_if("v").alias("fingerprints"), F.count_if(F.col("v") & F.col("t")).alias("shared"))
 

@@ -26,8 +26,9 @@ def winnow_fingerprint_overlap(t: Tables):
 def sentence_windows(t: Tables):
     """doc_id, window, sentences, chars: non-overlapping windows of six sentences."""
     ship_code(t.spark)
-    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(p.python_udf(p.sentences, "array<string>")("text")).alias("pos", "s"))
-    return rows.groupBy("doc_id", F.floor(F.col("pos") / 6).alias("window")).agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.char_length("s")).alias("chars"))
+    sizes = p.python_udf(p.window_sizes, "array<array<bigint>>")("text")
+    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(sizes).alias("window", "w"))
+    return rows.select("doc_id", F.col("window").cast("long").alias("window"), F.col("w")[0].alias("sentences"), F.col("w")[1].alias("chars"))
 
 
 @query()
