@@ -69,3 +69,27 @@ def test_several_keys_order_ties_by_value(spark):
     queries = spark.createDataFrame([(1, "a b")], "q long, text string")
     got = retrieval.Postings(docs, queries, ["d", "s"], "q", words=F.col("w")).best("overlap", 3).orderBy("rank").collect()
     assert [(g.d, g.s, g.score) for g in got] == [(2, 0, 1.0), (2, 1, 1.0), (9, 0, 1.0)]
+
+
+def test_lines_meet_by_digests(spark):
+    from textmill.operators import leakage
+
+    rows = [("train", "a\n\n b \n　\nlong line"), ("train", "a\na"), ("val", "a\r\nlong line\n \t\n\x0b\nb\nnew\na"), ("val", None), ("val", ""), ("val", "\x85  b ")]
+    df = spark.createDataFrame(rows, "split string, text string")
+    got = leakage.line_overlap(df)
+    assert tuple(got.first()) == (6, 4)
+    shuffled = [line for line in plan(got).splitlines() if "hashpartitioning" in line]
+    assert shuffled and all("hashpartitioning(h#" in line or "hashpartitioning(_groupingexpression" in line for line in shuffled)
+
+
+@pytest.mark.parametrize("name", ["split_overlap_lines", "split_overlap_docs", "leakage_verdict", "winnow_fingerprint_overlap"])
+def test_split_texts_are_not_joined(spark, monkeypatch, name):
+    from textmill.operators import ordered
+
+    monkeypatch.setattr(ordered.small, "__defaults__", (10,))  # as if there were too many documents for a broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [doc_id" not in got and "hashpartitioning(doc_id" not in got

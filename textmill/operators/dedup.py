@@ -71,6 +71,11 @@ def hash_split(docs: DataFrame, share: float = 0.1, seed: int = 1337) -> DataFra
     return docs.select("doc_id", F.when(holdout("text", share, seed), "val").otherwise("train").alias("split"))
 
 
+def hash_split_rows(docs: DataFrame, share: float = 0.1, seed: int = 1337) -> DataFrame:
+    """doc_id, text, split: the side follows from the text, so texts are neither joined nor moved, however many they are (doc_ids are distinct)."""
+    return spread(docs.select("doc_id", "text")).select("doc_id", "text", F.when(holdout("text", share, seed), "val").otherwise("train").alias("split"))
+
+
 def family_split(docs: DataFrame, family: str | Column, share: float = 0.1) -> DataFrame:
     """All members of a family on one side, by the family's whole digest."""
     key = F.col(family) if isinstance(family, str) else family
@@ -79,7 +84,7 @@ def family_split(docs: DataFrame, family: str | Column, share: float = 0.1) -> D
 
 def split_health(split: DataFrame, docs: DataFrame, share: float = 0.1) -> DataFrame:
     """One row: characters on each side, share reached, verdict."""
-    rows = docs.join(split, "doc_id").select("split", F.char_length("text").alias("chars"))
+    rows = docs.select("doc_id", F.char_length("text").alias("chars")).join(split, "doc_id").select("split", "chars")  # texts are not moved
     sums = rows.agg(
         F.coalesce(F.sum(F.when(F.col("split") == "val", F.col("chars"))), F.lit(0)).alias("val_chars"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.max("chars"), F.lit(0)).alias("longest")
     )

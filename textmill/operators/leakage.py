@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import grams
 
 from ..functions.python_text import python_udf, winnowed
-from ..functions.text import alnum_words, ngrams, split_lines_py, statement_key, strip_py
+from ..functions.text import PY_SPACE, alnum_words, ngrams, split_lines_py, statement_key, strip_py
 from ..session import ship_code, spread
 from .ordered import small
 from .rows import cap_per_group
@@ -92,9 +92,9 @@ def document_overlap(rows: DataFrame) -> DataFrame:
 
 
 def line_overlap(rows: DataFrame) -> DataFrame:
-    """One row: validation lines that are not blank, and how many are lines of training (unchanged, with multiplicity)."""
-    lines = rows.select("split", F.explode(split_lines_py("text")).alias("l"))
-    counts = lines.groupBy("l").agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "val").alias("v")).where(strip_py("l") != "")
+    """One row: validation lines that are not blank, and how many are lines of training (unchanged, with multiplicity); lines meet by digests, their text is not moved."""
+    lines = rows.select("split", F.explode(split_lines_py("text")).alias("l")).where(~F.col("l").rlike(f"^[{PY_SPACE}]*+(?![\\s\\S])"))
+    counts = lines.groupBy(F.unhex(F.sha2("l", 256)).alias("h")).agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "val").alias("v"))
     return counts.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("lines"), F.coalesce(F.sum(F.when(F.col("t") > 0, F.col("v"))), F.lit(0)).alias("shared"))
 
 

@@ -156,7 +156,7 @@ def hash_sample_topk(t: Tables):
 SELECT count(*) AS documents, count(*) FILTER (x IN (SELECT x FROM r WHERE split = 'train')) AS shared FROM r WHERE split = 'val'"""
 )
 def split_overlap_docs(t: Tables):
-    return leakage.document_overlap(leakage.split_rows(dedup.hash_split(t.documents), t.documents))
+    return leakage.document_overlap(dedup.hash_split_rows(t.documents))
 
 
 LINES = rf"""s AS {SPLIT}, lines AS (SELECT split, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c]')) AS l FROM documents JOIN s USING (doc_id))"""
@@ -165,7 +165,7 @@ LINE_COUNTS = r"SELECT count(*) AS lines, count(*) FILTER (l IN (SELECT l FROM l
 
 @query(f"WITH {LINES} {LINE_COUNTS}")
 def split_overlap_lines(t: Tables):
-    return leakage.line_overlap(leakage.split_rows(dedup.hash_split(t.documents), t.documents))
+    return leakage.line_overlap(dedup.hash_split_rows(t.documents))
 
 
 # md5 instead of blake2b, which SQL doesn't have; grams are byte ranges, here of the hexadecimal text
@@ -188,7 +188,7 @@ SELECT round(cs, 6) AS content_share, round(ds, 6) AS document_share, round(ls,
 array_to_string(list_filter([CASE WHEN ca = level AND level > 0 THEN 'content' END, CASE WHEN da = level AND level > 0 THEN 'document' END, CASE WHEN la = level AND level > 0 THEN 'line' END], lambda x: x IS NOT NULL), ',') AS reason FROM z"""
 )
 def leakage_verdict(t: Tables):
-    r = leakage.split_rows(dedup.hash_split(t.documents), t.documents)
+    r = dedup.hash_split_rows(t.documents)
     return leakage.verdict(leakage.content_overlap(r, "md5"), leakage.document_overlap(r), leakage.line_overlap(r))
 
 

@@ -19,7 +19,7 @@ def html_to_text(t: Tables):
 @query()
 def winnow_fingerprint_overlap(t: Tables):
     """fingerprints, shared: those of the validation side, and those of them that the training side has too."""
-    return leakage.content_overlap(leakage.split_rows(dedup.hash_split(t.documents), t.documents))
+    return leakage.content_overlap(dedup.hash_split_rows(t.documents))
 
 
 @query()
