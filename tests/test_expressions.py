@@ -198,3 +198,31 @@ def test_whole_powers_and_roots(spark):
 def test_refused(spark, ast, functions):
     with pytest.raises(x.IllFormed):
         x.compile_value(ast, {}, functions)
+
+
+def test_values_as_columns(spark):
+    """Trees that are added to a table: as the interpreter has them; what is outside of loops is computed in columns, once."""
+    r = random.Random(9)
+    df = spark.createDataFrame([(a, b) for a in range(-2, 3) for b in range(-2, 3)], "a long, `_held0` long").coalesce(1)
+    some = {f"c{i}": trees(r, 2 + (k == "int"), k, ["a", "b"]) for i, k in enumerate(("int", "bool", "seq", "int", "bool", "seq", "int", "bool"))}
+    rows = x.with_values(df, some, {"a": F.col("a"), "b": F.col("_held0")}, FUNCTIONS)
+    assert rows.columns == ["a", "_held0", *some]
+    for row in rows.collect():
+        for name, t in some.items():
+            try:
+                want = (value(t, {"a": row.a, "b": row._held0}, FUNCTIONS), True)
+            except Undefined:
+                want = (None, False)
+            assert (row[name].v if row[name].o else None, row[name].o) == want, (t, row)
+    nulls = x.with_values(spark.sql("SELECT CAST(NULL AS BIGINT) AS a"), {"c": ["+", ["var", "a"], 1], "d": ["and", False, ["=", ["var", "a"], 1]]}, {"a": F.col("a")}).first()
+    assert nulls.c.o is False and tuple(nulls.d) == (False, True)
+
+
+def test_fractions_are_reduced_once(spark):
+    from textmill.plans import registry
+
+    plan = registry.QUERIES["total_expressions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 3  # two quotients and their sum; what is whole, or upside down, is in lowest terms
+    assert plan.count("transform(") < 20
+    whole = ["toreal", -(2**63)]
+    assert run(spark, ["tostr", whole]).v == str(-(2**63)) and tuple(run(spark, ["tostr", ["neg", whole]])) == (None, False) and tuple(run(spark, ["tostr", ["div", ["rat", 1, 3], whole]])) == (None, False)

@@ -10,7 +10,8 @@ collection and text functions below.
 Every value carries whether it is defined: a place outside a sequence, a division by zero or a number beyond
 64 bits has no value, which is not the same as false. What is not reached does not count: the right side of and,
 or, implies that the left decides, the other branch of ite, what follows the element that decides a quantifier.
-`compile_value` gives both; `compile_ast` gives null where there is no value.
+`compile_value` gives both; `compile_ast` gives null where there is no value. `with_values` adds many trees to a table:
+what is computed outside of loops becomes columns, one after another, which Spark turns into generated code.
 
 Functions of the user are inlined: each may call the ones before it, its arguments are computed once, and a
 call of itself or of a later one is refused. An unknown operator, a wrong number of arguments or an unbound name is an
@@ -22,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import numbers, text
@@ -137,9 +138,9 @@ OPERATORS: dict[str, tuple[int, int, bool, Callable[..., Column]]] = {
 #: The same signs between fractions, and what leads from and to whole numbers: (result is a fraction, how to build it).
 RATIONALS: dict[str, tuple[bool, Callable[..., Column]]] = {
     "+": (True, numbers.rational_add),
-    "-": (True, lambda a, b: numbers.rational_add(a, numbers.rational_neg(b))),
+    "-": (True, numbers.rational_sub),
     "*": (True, numbers.rational_mul),
-    "div": (True, lambda a, b: numbers.rational_mul(a, numbers.rational(b["den"], b["num"]))),
+    "div": (True, numbers.rational_div),
     "neg": (True, numbers.rational_neg),
     "=": (False, lambda a, b: a == b),
     "!=": (False, lambda a, b: a != b),
@@ -161,7 +162,10 @@ def _all(oks: Sequence[Column]) -> Column:
 
 
 class _Compiler:
-    def __init__(self, functions: Sequence[Function]):
+    """rows: the table that gets what is computed outside of loops as columns, if there is one; loops: how many are around what is compiled."""
+
+    def __init__(self, functions: Sequence[Function], rows: DataFrame | None = None):
+        self.rows, self.held, self.loops = rows, [], 0
         self.functions: dict[str, Function] = {}
         for f in functions:
             if f.name in self.functions:
@@ -197,8 +201,29 @@ class _Compiler:
 
         return self._on(values, make)
 
+    @property
+    def _staged(self) -> bool:
+        return self.rows is not None and not self.loops
+
+    def column(self, v: Value) -> Value:
+        """The value as a column of the rows, where it may be one: lambda functions are interpreted, columns are not."""
+        if v.simple or not self._staged:
+            return v
+        name = f"_held{len(self.held)}"
+        while name in self.rows.columns:
+            name = f"_{name}"
+        if v.whole is not None:
+            self.held.append(name)
+            self.rows = self.rows.withColumn(name, v.whole)
+            return Value.named(F.col(name), v.kind)
+        ok = f"{name}_ok"  # two columns: a struct would be taken apart and computed wherever it is used
+        self.held += [name, ok]
+        self.rows = self.rows.withColumns({name: v.value, ok: v.ok})
+        return Value(F.col(name), F.col(ok), v.kind, True)
+
     def _on(self, values: list[Value], make: Callable[[list[Value]], Value]) -> Value:
         """What is made of the values, each computed once however often it is used: expressions grow with the tree, not faster."""
+        values = [self.column(v) for v in values]
         if all(v.simple for v in values):
             return make(values)
         return self._bound({f"a{i}": v for i, v in enumerate(values)}, lambda bound: make(list(bound.values())))
@@ -210,7 +235,7 @@ class _Compiler:
         op = ast[0]
         if op == "toreal":
             _arity(ast, 1)
-            stays, build = True, lambda a: numbers.rational(a, F.lit(1))
+            stays, build = True, numbers.rational_whole
         elif op not in RATIONALS or len(values) != (1 if op in ("neg", "floor", "ceil", "tostr") else 2) or any(v.kind != RATIONAL for v in values):
             raise IllFormed(f"no such operator between fractions: {ast!r}")
         else:
@@ -275,6 +300,10 @@ class _Compiler:
 
     def _bound(self, values: dict[str, Value], body: Callable[[dict[str, Value]], Value], strict: bool = False) -> Value:
         """The body with names for values that are computed once; strict: all of them need a value, even those not used."""
+        if self._staged:
+            named = {name: self.column(v) for name, v in values.items()}
+            out = self.column(body(named))
+            return Value(out.value, out.ok & _all([v.ok for v in named.values()]), out.kind) if strict else out
         packed = F.struct(*[v.packed.alias(name) for name, v in values.items()])
         kind: list[str] = []
 
@@ -307,14 +336,16 @@ class _Compiler:
         of, kinds = go(seq), []
 
         def inner(x: Column) -> Column:
+            self.loops += 1
             out = go(body, {name: Value(x, F.lit(True), of.kind, True)})
+            self.loops -= 1
             kinds.append(out.kind)
             return F.struct(x.alias("x"), out.packed.alias("r"))
 
         def outer(bound: list[Value]) -> Value:
             each = F.transform(bound[0].value, inner)
             packed = F.transform(F.array(each), lambda e: self._noted(make(e, of.kind, kinds[0]), kinds))
-            made = Value.of(F.get(packed, F.lit(0)))
+            made = self.column(Value.of(F.get(packed, F.lit(0))))
             return Value(made.value, bound[0].ok & F.coalesce(made.ok, F.lit(False)))
 
         out = self._on([of], outer) if not of.simple else outer([of])
@@ -380,11 +411,13 @@ class _Compiler:
             of, first = values
 
             def step(a: Column, x: Column) -> Column:
+                self.loops += 1
                 out = go(body, {names[0]: Value.named(a, first.kind), names[1]: Value(x, F.lit(True), of.kind, True)})
+                self.loops -= 1
                 both = F.transform(F.array(out.packed), lambda r: F.struct(r["v"].alias("v"), (a["o"] & r["o"]).alias("o")))
                 return F.get(both, F.lit(0))
 
-            end = Value.of(F.aggregate(of.value, first.packed, step), first.kind)
+            end = self.column(Value.of(F.aggregate(of.value, first.packed, step), first.kind))
             return Value(end.value, of.ok & F.coalesce(end.ok, F.lit(False)), first.kind)
 
         return self._on([of, first], make)
@@ -408,5 +441,13 @@ def compile_ast(ast, env: dict[str, Column | Value], functions: Sequence[Functio
     return F.when(out.ok, out.value)
 
 
+def with_values(rows: DataFrame, trees: dict[str, object], env: dict[str, Column], functions: Sequence[Function] = ()) -> DataFrame:
+    """rows with a struct for each tree: v, its value, and o, whether it has one (where it has none, v means nothing)."""
+    compiler = _Compiler(functions, rows)
+    bound = {name: compiler.column(Value(x, x.isNotNull())) for name, x in env.items()}
+    found = {name: compiler.column(compiler.value(tree, bound)) for name, tree in trees.items()}
+    return compiler.rows.withColumns({name: v.packed for name, v in found.items()}).drop(*compiler.held)
+
+
 def defined(x: Column) -> Column:
     return x.isNotNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,50 +31,65 @@ def floor_div(x: Column | str, y: Column | str) -> Column:
 
 def gcd(x: Column | str, y: Column | str) -> Column:
     """Greatest common divisor by Euclid's steps: at most 1.45 times the bits of the smaller number, and a few."""
-    x, y = F.abs(c(x)), F.abs(c(y))
+    return _euclid(F.abs(c(x)), F.abs(c(y)), lambda g: g)
+
+
+def _euclid(x: Column, y: Column, end: Callable[[Column], Column]) -> Column:
+    """What is made of the greatest common divisor of two numbers from 0; null if either is null."""
     steps = (F.log2(F.least(x, y).cast("double") + 1) * 1.45 + 3).cast("int")
     start = F.struct(x.alias("a"), y.alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step)["a"]
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: end(s["a"]))
 
 
 def rational(num: Column | str, den: Column | str) -> Column:
-    """struct(num, den) in lowest terms with a positive denominator; null for den = 0."""
-    num, den = c(num).cast("long"), c(den).cast("long")
+    """struct(num, den) in lowest terms with a positive denominator; null for den = 0 and where either is null."""
     # a list of one entry: what is computed once has a name inside
-    with_gcd = F.transform(F.array(F.struct(num.alias("n"), den.alias("d"))), lambda s: F.struct(s["n"].alias("n"), s["d"].alias("d"), F.greatest(gcd(s["n"], s["d"]), F.lit(1)).alias("g")))
+    pair = F.struct(c(num).cast("long").alias("n"), c(den).cast("long").alias("d"))
 
     def lowest(s: Column) -> Column:
         sign = F.when(s["d"] < 0, -1).otherwise(1)
-        whole = lambda x: F.call_function("div", x * sign, s["g"])
-        return F.when(s["d"] != 0, F.struct(whole(s["n"]).alias("num"), whole(s["d"]).alias("den")))
+        over = lambda g: F.struct(*[F.call_function("div", s[x] * sign, g).alias(name) for x, name in (("n", "num"), ("d", "den"))])
+        return F.when(s["n"].isNotNull() & (s["d"] != 0), _euclid(F.abs(s["n"]), F.abs(s["d"]), over))
 
-    return F.get(F.transform(with_gcd, lowest), F.lit(0))
+    return F.get(F.transform(F.array(pair), lowest), F.lit(0))
+
+
+def rational_whole(num: Column | str) -> Column:
+    """A whole number as a fraction."""
+    return F.struct(c(num).cast("long").alias("num"), F.lit(1).cast("long").alias("den"))
 
 
 def rational_add(a: Column, b: Column) -> Column:
     """The sum; null where a number on the way is beyond 64 bits (as for the others)."""
     times = F.try_multiply
-    return _known(F.try_add(times(a["num"], b["den"]), times(b["num"], a["den"])), times(a["den"], b["den"]))
+    return rational(F.try_add(times(a["num"], b["den"]), times(b["num"], a["den"])), times(a["den"], b["den"]))
+
+
+def rational_sub(a: Column, b: Column) -> Column:
+    times = F.try_multiply
+    return rational(F.try_subtract(times(a["num"], b["den"]), times(b["num"], a["den"])), times(a["den"], b["den"]))
 
 
 def rational_mul(a: Column, b: Column) -> Column:
-    return _known(F.try_multiply(a["num"], b["num"]), F.try_multiply(a["den"], b["den"]))
+    return rational(F.try_multiply(a["num"], b["num"]), F.try_multiply(a["den"], b["den"]))
+
+
+def rational_div(a: Column, b: Column) -> Column:
+    """The quotient; null for b = 0. b upside down is in lowest terms as it is."""
+    sign = F.when(b["num"] < 0, -1).otherwise(1).cast("long")
+    return rational(F.try_multiply(a["num"], b["den"] * sign), F.try_multiply(a["den"], F.try_multiply(b["num"], sign)))
 
 
 def rational_neg(a: Column) -> Column:
-    return rational(-a["num"], a["den"])
+    num = F.try_subtract(F.lit(0).cast("long"), a["num"])
+    return F.when(num.isNotNull(), F.struct(num.alias("num"), a["den"].alias("den")))
 
 
 def rational_less(a: Column, b: Column) -> Column:
     return F.try_multiply(a["num"], b["den"]) < F.try_multiply(b["num"], a["den"])
 
 
-def _known(num: Column, den: Column) -> Column:
-    made = F.transform(F.array(F.struct(num.alias("n"), den.alias("d"))), lambda s: F.when(s["n"].isNotNull() & s["d"].isNotNull(), rational(s["n"], s["d"])))
-    return F.get(made, F.lit(0))
-
-
 def power(base: Column, exponent: Column) -> Column:
     """base ** exponent for exponents from 0; null below 0 or beyond 64 bits."""
     odd = F.pmod(exponent, F.lit(2)) == 1

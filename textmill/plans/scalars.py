@@ -83,9 +83,9 @@ def compiled_expressions(t: Tables):
     value = ["+", ["*", ["var", "k"], 3], 1]
     flag = ["and", [">", ["var", "k"], 4], ["=", ["var", "s"], ["str", "F"]]]
     squares = ["fold", ["range", 0, ["var", "k"]], 0, ["acc", "i"], ["+", ["var", "acc"], ["*", ["var", "i"], ["var", "i"]]]]
-    run = lambda ast: expressions.compile_ast(ast, env)
-    sq = run(squares)
-    return t.orders.select("o_orderkey", run(value).alias("value"), run(flag).alias("flag"), run(["div", 100, ["var", "k"]]).alias("quotient"), F.when(env["k"] > 0, sq).alias("squares"))
+    rows = expressions.with_values(t.orders, {"_value": value, "_flag": flag, "_quotient": ["div", 100, ["var", "k"]], "_squares": squares}, env)
+    run = lambda name: F.when(F.col(name)["o"], F.col(name)["v"])
+    return rows.select("o_orderkey", run("_value").alias("value"), run("_flag").alias("flag"), run("_quotient").alias("quotient"), F.when(env["k"] > 0, run("_squares")).alias("squares"))
 
 
 @query(
@@ -102,12 +102,14 @@ def total_expressions(t: Tables):
         expressions.Function("both", ["x", "y"], ["and", ["!=", ["mod", ["var", "x"], ["var", "y"]], -1], ["call", "over", ["var", "x"], ["var", "y"]]]),
         expressions.Function("share", ["x", "y"], ["div", ["toreal", ["var", "x"]], ["toreal", ["var", "y"]]]),
     ]
-    go = lambda ast: expressions.compile_value(ast, env, functions)
-    both = go(["call", "both", k, m])
-    reached = go(["and", ["!=", k, 0], ["and", ["=", m, 0], ["call", "over", k, 3]]])
-    found = go(["exists", "i", ["seq", 5, ["at", ["range", 0, k], 4], m], ["and", [">", ["var", "i"], 3], ["!=", ["var", "i"], 5], ["!=", ["var", "i"], 4]]])
-    exact = go(["tostr", ["+", ["call", "share", k, ["*", 2, ["+", m, 1]]], ["call", "share", 1, ["*", 3, ["+", m, 1]]]]])
-    said = F.when(~found.ok, "no value").when(found.value, "true").otherwise("false")
-    return t.orders.select(
-        "o_orderkey", (~both.ok).alias("undefined"), F.when(both.ok, both.value).alias("holds"), F.when(reached.ok, reached.value).alias("reached"), said.alias("searched"), F.when(exact.ok, exact.value).alias("exact")
+    trees = {
+        "both": ["call", "both", k, m],
+        "reached": ["and", ["!=", k, 0], ["and", ["=", m, 0], ["call", "over", k, 3]]],
+        "found": ["exists", "i", ["seq", 5, ["at", ["range", 0, k], 4], m], ["and", [">", ["var", "i"], 3], ["!=", ["var", "i"], 5], ["!=", ["var", "i"], 4]]],
+        "exact": ["tostr", ["+", ["call", "share", k, ["*", 2, ["+", m, 1]]], ["call", "share", 1, ["*", 3, ["+", m, 1]]]]],
+    }
+    both, reached, found, exact = (F.col(name) for name in trees)
+    said = F.when(~found["o"], "no value").when(found["v"], "true").otherwise("false")
+    return expressions.with_values(t.orders, trees, env, functions).select(
+        "o_orderkey", (~both["o"]).alias("undefined"), F.when(both["o"], both["v"]).alias("holds"), F.when(reached["o"], reached["v"]).alias("reached"), said.alias("searched"), F.when(exact["o"], exact["v"]).alias("exact")
     )
