@@ -64,6 +64,29 @@ def test_pairs_are_not_aggregated_in_a_shuffle(spark, name):
     assert name != "bm25_memory_scores" or "Exchange" not in got
 
 
+def task_memory(spark, run):
+    """Bytes of execution memory of the task that took most while `run` ran."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    store = sc.statusStore()
+    rows = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    stages = lambda: {(s.stageId(), s.attemptId()) for s in rows(store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()))}
+    before = stages()
+    run()
+    sc.listenerBus().waitUntilEmpty()
+    tasks = [t for key in stages() - before for t in rows(store.taskList(*key, 1000))]
+    return max(t.taskMetrics().get().peakExecutionMemory() for t in tasks if t.taskMetrics().isDefined())
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_memory_of_a_task_does_not_grow_with_the_documents(spark, tmp_path, name):
+    most = []
+    for n in (2_000, 20_000):
+        spark.range(n).selectExpr("id AS doc_id", "concat('a w', id % 7, ' v', id % 3) AS text").coalesce(1).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        spark.range(200).selectExpr("id AS item_id", "concat('a b w', id % 7) AS text").coalesce(1).write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+        most.append(task_memory(spark, lambda: registry.QUERIES[name](spark, f"{tmp_path}/{n}").write.format("noop").mode("overwrite").save()))  # noqa: B023
+    assert 0 < most[1] < 1.2 * most[0]  # every document meets every query: 4 million pairs
+
+
 def test_several_keys_order_ties_by_value(spark):
     docs = spark.createDataFrame([(i, s, ["a"]) for i in (10, 9, 2) for s in (1, 0)], "d long, s long, w array<string>")
     queries = spark.createDataFrame([(1, "a b")], "q long, text string")
