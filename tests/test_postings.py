@@ -77,7 +77,7 @@ def task_memory(spark, run):
     return max(t.taskMetrics().get().peakExecutionMemory() for t in tasks if t.taskMetrics().isDefined())
 
 
-@pytest.mark.parametrize("name", ["bm25_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "few_shot"])
 def test_memory_of_a_task_does_not_grow_with_the_documents(spark, tmp_path, name):
     most = []
     for n in (2_000, 20_000):
